@@ -3,8 +3,8 @@
 A document's ids, with an end id, are cut into pieces of ``capacity`` ids; only the last piece may
 be shorter. Let N(g) be how many open sequences have a gap of g ids. A piece goes where the sum of
 N(g)**2 over the gaps above 0 is smallest afterwards: into a sequence of some gap, or a new one.
-Ties go to the smallest gap left. Pieces come in the order of a hash, which suits the method:
-longest first leaves some ten times as many open sequences.
+Ties go to the smallest gap left. Pieces over an eighth of the capacity come longest
+first, then the short ones in the order of a hash, so they meet sequences of all kinds of gaps.
 
 Groups are packed apart, so tasks never wait for each other: each has about ``group_pieces`` pieces,
 dealt out by a hash, and leaves a few open sequences, however large the corpus is. Full
@@ -117,5 +117,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + s for s in seqs], pa.int64()), pa.array(offsets, pa.int64())], names=[*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.repartition(groups, F.xxhash64(id_col, "piece", "ids_crc32")).sortWithinPartitions(F.xxhash64(id_col, "piece", "ids_crc32"), id_col, "piece")
+    dealt = pieces.repartition(groups, F.xxhash64(id_col, "piece", "ids_crc32")).sortWithinPartitions(F.coalesce(F.when(F.col("length") > capacity // 8, -F.col("length")), F.lit(0)), F.xxhash64(id_col, "piece", "ids_crc32"), id_col, "piece")
     return dealt.mapInArrow(pack, f"{kinds}, sequence_id long, offset long")
