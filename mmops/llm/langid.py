@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIM = 1 << 17, 16
-TRAIN_ROWS = 4000
-EPOCHS, RATE = 6, 0.5
+TRAIN_ROWS = 3000
+STEPS, RATE = 9000, 0.5
 REJECT_SHARE = 0.002
 MAX_THRESHOLD = 0.5
 CACHE_LIMIT = 300_000
@@ -110,8 +110,9 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     data = [(*_features(t), langs.index(lang)) for t, lang in rows]
     held = data[::5] if len(data) >= 25 else []
     fit = [d for i, d in enumerate(data) if i % 5] if held else data
-    steps, done = EPOCHS * len(fit), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // len(fit))
+    steps, done = epochs * len(fit), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(fit)):
             at, weight, label = fit[i]
             rate = RATE * (1 - done / steps)
