@@ -134,7 +134,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = rows.withColumn("suffix", text.suffix(F.col("file"))).where(F.col("suffix").isin(*LABEL_SUFFIXES))
     xml = F.col("suffix") == ".xml"
-    hint = F.when(xml, F.regexp_extract("value", r"(?s)<filename>\s*(.*?)\s*</filename>", 1)).otherwise(F.get_json_object("value", "$.imagePath"))
+    hint = F.when(xml, F.regexp_extract("value", r"(?s)<filename>\s*(.*?)\s*</filename>", 1)).otherwise(F.get_json_object(first_json(F.col("value")), "$.imagePath"))
     return rows.select("file", text.stem(F.col("file")).alias("stem"), hint.alias("hint"), F.when(xml, voc_shapes(F.col("value"))).otherwise(labelme_shapes(F.col("value"))).alias("shapes"))
 
 
