@@ -96,7 +96,7 @@ def with_defaults(arguments: list[str], defaults: dict) -> list[str]:
 def named_argument(arguments: list[str], name: str, default: str | None = None) -> str | None:
     """C-CFG-2: the last value of --name value or --name=value."""
     found = default
-    for a, b in zip(arguments, [*arguments[1:], None], strict=True):
+    for a, b in zip(arguments, [*arguments, None][1:], strict=True):
         if a == f"--{name}" and b is not None:
             found = b
         elif a.startswith(f"--{name}="):
