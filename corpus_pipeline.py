@@ -20,14 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mmops.llm import decontam, langid, minhash, packing, secrets
-from mmops.llm.common import Scratch, read_table
+from mmops.llm.common import Scratch, bounded_broadcast, read_table
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
+    bad = bounded_broadcast(bad, bad.count(), 40)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """Of rows of one id and text, one. Only rows whose id occurs again are compared, so the others' texts aren't shuffled."""
+    again = docs.groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
+    n = again.count()
+    if not n:
+        return docs
+    again = bounded_broadcast(again, n, 40)
+    same = docs["doc_id"].eqNullSafe(again["__again"])
+    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, ~langid.is_held_out())
     judged = langid.predict(docs, model)
@@ -36,8 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs)
-    kept = _without(docs, found.where(~F.col("kept")))
-    return kept.dropDuplicates(["doc_id", "text"])
+    return _once(_without(docs, found.where(~F.col("kept"))))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
