@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import ChunkEncoder, default_tokenizer_path
+from .tokens import default_tokenizer_path, encoder_for
 
 CAPACITY = 2048
 GROUP_PIECES = 100_000
@@ -74,13 +74,13 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches):
         import pyarrow as pa
 
-        encoder, end = ChunkEncoder(path), struct.pack("<I", end_id)
+        encoder, end = encoder_for(path), struct.pack("<I", end_id)
         names = ["row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
         for batch in batches:
             rows = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            for row, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import ChunkEncoder, default_tokenizer_path
+from .tokens import default_tokenizer_path, encoder_for
 
 MAGIC = b"MMOPSST1"
 FOOTER = struct.Struct("<QQQQQQQI8s")
@@ -222,7 +222,7 @@ def write_sstables(docs: DataFrame, out_dir: str, id_col: str = "doc_id", text_c
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), ChunkEncoder(path)
+        part, encoder = TaskContext.get().partitionId(), encoder_for(path)
         filesystem, root = open_for(out_dir)
         filesystem.create_dir(root, recursive=True)
         rows, writer, name = [], None, ""
@@ -233,11 +233,11 @@ def write_sstables(docs: DataFrame, out_dir: str, id_col: str = "doc_id", text_c
 
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
                 if writer is None:
                     name = f"{part:05d}-{len(rows):04d}-{uuid.uuid4().hex}.sst"
                     writer = ShardWriter(filesystem.open_output_stream(f"{root}/{name}"))
-                writer.add(encode_key(key), encoder.encode(text) + end)
+                writer.add(encode_key(key), ids + end)
                 if writer.offset >= shard_bytes:
                     finish()
                     writer = None
