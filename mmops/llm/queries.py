@@ -89,8 +89,8 @@ _OP9 = r"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM doc WHERE len(w) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 reach AS (SELECT doc_id, doc_id AS r FROM doc UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a),
 comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc.doc_id = component_id AS kept FROM doc LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
