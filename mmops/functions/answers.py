@@ -86,7 +86,7 @@ def index_of(letter: Column) -> Column:
 
 
 def fallback_option(index: Column, options: Column) -> Column:
-    """L-10: one of the options, by a hash of the row's index, where the reference draws at random."""
+    """L-10: one of the options, by a hash of the row's index instead of a random draw."""
     keys = F.map_keys(options)
     return F.try_element_at(keys, (F.pmod(F.xxhash64(index), F.greatest(F.size(keys), F.lit(1))) + 1).cast("int"))
 
