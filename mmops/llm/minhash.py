@@ -4,12 +4,12 @@ Words are runs of anything but ASCII white space, A-Z lower-cased; a document's
 shingles of five words (a shorter text: all its words as one shingle). Two documents are linked where
 their Jaccard similarity is at least 0.75.
 
-1. One pass over the texts gives each row its set's size, a 128-bit digest of the set, ``BANDS`` band
-   keys over full minima, and the low ``B`` bits of each minimum, packed into longs.
+1. One pass over the texts gives each row its set's size, a 128-bit digest of the set, and ``BANDS`` band
+   keys over full minima.
 2. Rows of one set are one class; a class costs one vertex, however many copies it has.
-3. Classes that share a band key are candidates. The packed bits give the collision-corrected estimate
-   ``(matches - 2**-B) / (1 - 2**-B)``; pairs whose estimate is within ``SLACK`` of the threshold, and
-   whose sizes allow it, are confirmed on their full sets.
+3. Classes that share a band key are candidates. They get a signature of the lowest bit of each of ``BITS`` minima,
+   packed into longs; bit counts give the collision-corrected estimate ``(matches - 1/2) / (1/2)``. Pairs whose estimate is
+   within ``SLACK`` of the threshold, and whose sizes allow it, are confirmed on their full sets.
 4. Large buckets never become all pairs at once: rounds of hubs (each class against its most similar hubs of
    all its buckets) merge most of them first, and then all pairs of classes that are still in
    different components and share a bucket are confirmed. So no link between components goes
@@ -25,8 +25,6 @@ take part; a component of null ids only has a null component_id. Repeated rows a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +32,15 @@ from .common import Scratch, bounded_broadcast
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
-BANDS, ROWS, B = 40, 5, 2
-SLACK = 0.16
-LONGS = -(-BANDS * ROWS * B // 64)
-HUBS, BEST_HUBS, MAX_ROUNDS = 3, 2, 6
-#: Hub rounds stop when so many cross pairs a class are left at most.
+BANDS, ROWS = 40, 5
+#: Bits of a signature, one of each minimum; the estimate's deviation at 0.75 is 0.012, and SLACK four of it.
+BITS = 3072
+SLACK = 0.048
+BEST_HUBS, HUB_ROUNDS = 2, 3
+#: Hub rounds stop early when so many cross pairs a class with candidates are left at most.
 PAIRS_PER_CLASS = 4
+#: Rows a task of the tables of links, labels and buckets, which are far smaller than the texts.
+ROWS_A_TASK = 200_000
 
 
 def shingle_hashes(data: bytes, size: int = SHINGLE):
@@ -93,22 +94,30 @@ class Signer:
             key ^= key >> np.uint64(30)
         return key.view(np.int64)
 
-    @staticmethod
-    def bits(minima):
-        """The low B bits of each minimum, after mixing, side by side in longs."""
+
+class BitSigner:
+    """The lowest bit, after mixing, of each of BITS minima, packed into longs."""
+
+    def __init__(self, seed: int = 12):
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        self._a = rng.integers(1, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._b = rng.integers(0, 1 << 63, BITS, dtype=np.uint64)
+
+    def bits(self, hashes) -> list[int]:
         import numpy as np
 
-        x = minima * np.uint64(0xD6E8FEB86659FD93)
-        x = x >> np.uint64(64 - B)
-        per = 64 // B
-        padded = np.zeros(LONGS * per, np.uint64)
-        padded[: len(x)] = x
-        shifts = np.arange(per, dtype=np.uint64) * np.uint64(B)
-        return np.bitwise_or.reduce(padded.reshape(LONGS, per) << shifts, axis=1).view(np.int64)
+        low = np.full(BITS, np.iinfo(np.uint64).max)
+        for at in range(0, len(hashes), 64):
+            np.minimum(low, (hashes[at : at + 64, None] * self._a + self._b).min(axis=0), out=low)
+        low ^= low >> np.uint64(33)
+        low *= np.uint64(0xD6E8FEB86659FD93)
+        return np.packbits((low >> np.uint64(63)).astype(np.uint8)).view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rid, id, text, n_shingles, cls (digest of the set; null if empty), bands, bits."""
+    """rid, id, text, n_shingles, cls (digest of the set; null if empty), bands."""
 
     def sign(batches):
         import pyarrow as pa
@@ -116,44 +125,53 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         signer = Signer()
         for batch in batches:
-            n, cls, bands, bits = [], [], [], []
+            n, cls, bands = [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 hashes = shingle_hashes(text.as_py() or b"")
                 n.append(len(hashes))
                 if not len(hashes):
-                    cls.append(None), bands.append(None), bits.append(None)
+                    cls.append(None), bands.append(None)
                     continue
                 minima = signer.minima(hashes)
                 cls.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                bands.append(signer.bands(minima)), bits.append(signer.bits(minima))
+                bands.append(signer.bands(minima))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["rid", "id", "text", "n_shingles", "cls", "bands", "bits"],
+                [*batch.columns, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["rid", "id", "text", "n_shingles", "cls", "bands"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(sign, f"rid long, id {kind}, text string, n_shingles long, cls binary, bands array<long>, bits array<long>")
+    return rows.mapInArrow(sign, f"rid long, id {kind}, text string, n_shingles long, cls binary, bands array<long>")
+
+
+def bit_signatures(texts: DataFrame) -> DataFrame:
+    """rid, n, text to v, n, bits (array<long>)."""
+
+    def sign(batches):
+        import pyarrow as pa
+
+        signer = BitSigner()
+        for batch in batches:
+            bits = [signer.bits(shingle_hashes(t.as_py())) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["v", "n", "bits"])
+
+    return texts.mapInArrow(sign, "v long, n long, bits array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
-    """The collision-corrected similarity of two packed signatures, columns ``{a}0`` ... and ``{b}0`` ..."""
-    differ = []
-    for i in range(LONGS):
-        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
-        any_bit = x if B == 1 else reduce(lambda p, q: p.bitwiseOR(q), [F.shiftright(x, s) for s in range(B)])
-        differ.append(F.bit_count(any_bit.bitwiseAND(F.lit(sum(1 << i for i in range(0, 63, B))))))
-    matches = 1 - reduce(lambda p, q: p + q, differ) / F.lit(float(BANDS * ROWS))
-    return (matches - 2.0**-B) / (1 - 2.0**-B)
+    """The collision-corrected similarity of two packed signatures: half of the bits agree by chance."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return (1 - differ / F.lit(float(BITS)) - 0.5) / 0.5
 
 
 def _similar(a: str, b: str) -> Column:
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * small >= THRESHOLD_PERCENT * large) & (estimate(f"{a}b", f"{b}b") >= THRESHOLD_PERCENT / 100 - SLACK)
+    return (100 * small >= THRESHOLD_PERCENT * large) & (estimate(f"{a}bits", f"{b}bits") >= THRESHOLD_PERCENT / 100 - SLACK)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n_pairs: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; texts: rid, text."""
+    """Those of the pairs (a, b, la, lb) whose full sets are similar enough, as la, lb; texts: rid, text."""
 
     def exact(batches):
         import numpy as np
@@ -161,8 +179,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, n_pairs: int) -> DataFrame:
 
         last: tuple = (None, None)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+            b, ta, tb = batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()), batch.column(4).cast(pa.binary())
             keep = []
             for i in range(batch.num_rows):
                 if last[0] != b[i]:
@@ -171,77 +188,105 @@ def confirm(pairs: DataFrame, texts: DataFrame, n_pairs: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= THRESHOLD_PERCENT * (len(x) + len(y) - both):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    hinted = bounded_broadcast(pairs, n_pairs, 32)
-    with_a = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")).join(hinted, "a").select("a", "b", "ta")
-    with_b = with_a.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long")
+    # Only the texts of pairs are shuffled: the others drop out against the broadcast ids, while those are few by their count.
+    of = lambda c: texts.join(bounded_broadcast(pairs.select(F.col(c).alias("rid")).distinct(), n_pairs, 24), "rid", "left_semi").select(F.col("rid").alias(c), F.col("text").alias(f"t{c}"))
+    with_a = of("a").join(bounded_broadcast(pairs, n_pairs, 48), "a")
+    return with_a.join(of("b"), "b").select("la", "lb", "b", "ta", "tb").mapInArrow(exact, "la long, lb long")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """No more tasks than the rows need."""
+    return df.coalesce(max(4, -(-rows // ROWS_A_TASK)))
+
+
+def connected_components(edges: DataFrame, n_edges: int, scratch: Scratch) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of the edges (a, b) reaches. A written table.
 
-    Each round takes the smallest label among the neighbours, then the label of that label, so the
-    rounds are about the logarithm of the longest path.
+    Each round takes the smallest label among a vertex and its neighbours, then the label of that label, so
+    the rounds are about the logarithm of the longest path. The labels are broadcast while they are few, by their count.
     """
-    both = scratch.table(edges.where("a <> b").select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = scratch.table(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("label")), "labels")
+    n = 2 * n_edges
+    both = scratch.table(_few(edges.where("a <> b").select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.where("a <> b").select("b", "a")).distinct(), n), "edges")
+    labels = scratch.table(_few(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("label")), n), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = scratch.table(step.join(hop, "label").select("v", "old", F.least("label", "far").alias("label")), "labels")
+        near = both.join(bounded_broadcast(labels.withColumnRenamed("v", "w"), n, 40), "w").select("v", "label", F.lit(None).cast("long").alias("old"))
+        step = near.unionByName(labels.withColumn("old", F.col("label"))).groupBy("v").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        hop = bounded_broadcast(labels.select(F.col("v").alias("label"), F.col("label").alias("far")), n, 40)
+        new = scratch.table(_few(step.join(hop, "label").select("v", "old", F.least("label", "far").alias("label")), n), "labels")
         if not new.where("label <> old").limit(1).count():
             return new.select("v", "label")
         labels = new.select("v", "label")
 
 
+def _hub(turn: int) -> Column:
+    """A bucket's hub: at first the class that meets the most others in all its buckets, as it is the likeliest to be near what
+    the others were copied from; in later rounds one drawn with that number as its weight."""
+    draw = (F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    rank = F.col("met").cast("double") if turn == 0 else F.log(draw) / F.col("met")
+    return F.max(F.struct(rank.alias("rank"), "v", "label")).alias("hub")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the smallest id reachable), kept (id = component_id)."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.table(signatures(docs, id_col, text_col), "rows", keep=True)
-    classes = scratch.table(rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("v"), F.min("id").alias("least_id")), "classes", keep=True)
-    packed = [F.col("bits")[i].alias(f"b{i}") for i in range(LONGS)]
-    reps = rows.select(F.col("rid").alias("v"), "n_shingles", "bands", "bits").join(classes.select("v"), "v")
-    reps = scratch.table(reps.select("v", F.col("n_shingles").alias("n"), "bands", *packed), "reps")
-    n_reps = reps.count()
-    bits = [f"b{i}" for i in range(LONGS)]
-    banded = reps.select("v", F.explode("bands").alias("key"))
-    banded = banded.join(banded.groupBy("key").count().where("count > 1").select("key"), "key")
-    banded = scratch.table(banded, "banded")
+    grouped = rows.where("cls is not null").groupBy("cls").agg(F.min("rid").alias("v"), F.min("id").alias("least_id"), F.count("*").alias("copies"))
+    classes = scratch.table(grouped, "classes", keep=True)
+    # A class's first row stands for it. Only classes with copies are needed to tell, so signatures needn't be shuffled.
+    copied = classes.where("copies > 1").select("cls", "v")
+    firsts = rows.where("cls is not null").join(bounded_broadcast(copied, copied.count(), 80), "cls", "left").where("v is null or v = rid")
+    banded = firsts.select(F.col("rid").alias("v"), F.explode("bands").alias("key"))
+    shared = scratch.table(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    banded = scratch.table(banded.join(bounded_broadcast(shared, shared.count(), 48), "key"), "met")
+    active = scratch.table(banded.groupBy("v").agg(F.sum(F.col("n") - 1).alias("met")), "active")
+    n_banded, n_active = banded.count(), active.count()
+    banded = scratch.table(banded.select("v", "key").join(bounded_broadcast(active, n_active, 48), "v"), "banded")
+    # Only classes that share a band key need their bits.
+    active = rows.join(bounded_broadcast(active.select(F.col("v").alias("rid")), n_active, 40), "rid", "left_semi")
+    reps = scratch.table(bit_signatures(active.select("rid", "n_shingles", "text")), "reps")
     texts = rows.select("rid", "text")
+    side = lambda s: reps.select(F.col("v").alias(s), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
 
-    edges, labels = None, None
-    for turn in range(MAX_ROUNDS + 1):
+    labels, n_labels = None, 0
+    for turn in range(HUB_ROUNDS + 1):
         if labels is None:
             labelled = banded.withColumn("label", F.col("v"))
+            buckets = labelled.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("cross"), _hub(turn))
         else:
-            labelled = banded.join(labels, "v", "left").select("v", "key", F.coalesce("label", "v").alias("label"))
-        each = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("v", F.lit(100 * turn + h)).alias("h"), "v", "label")).alias(f"h{h}") for h in range(HUBS)])
-        buckets = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.array_distinct(F.array(*[F.min(f"h{h}") for h in range(HUBS)])).alias("hubs")).where("cross > 0")
-        buckets = scratch.table(buckets, "buckets")
-        cross = buckets.agg(F.sum("cross")).first()[0] or 0
+            labelled = banded.join(bounded_broadcast(labels, n_labels, 40), "v", "left").select("v", "key", "met", F.coalesce("label", "v").alias("label"))
+            each = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), _hub(turn))
+            buckets = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.max("hub").alias("hub"))
+        buckets = scratch.table(_few(buckets.where("cross > 0"), n_banded), "buckets")
+        n_buckets, cross = buckets.agg(F.count("*"), F.coalesce(F.sum("cross"), F.lit(0))).first()
         if not cross:
             break
-        last = turn == MAX_ROUNDS or cross <= PAIRS_PER_CLASS * n_reps
-        side = lambda df, s: df.select(F.col("v").alias(s), F.col("n").alias(f"{s}n"), *[F.col(b).alias(f"{s}b{i}") for i, b in enumerate(bits)])
+        last = turn == HUB_ROUNDS or cross <= PAIRS_PER_CLASS * n_active
         if last:
-            live = labelled.join(buckets.select("key"), "key")
-            x, y = live.select("key", F.col("v").alias("a"), F.col("label").alias("la")), live.select("key", F.col("v").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("la < lb").select("a", "b").distinct()
+            # All pairs of different components in a bucket; the estimate is part of the join, so no other pair leaves it.
+            live = labelled.join(bounded_broadcast(buckets.select("key"), n_buckets, 40), "key")
+            x = live.select("key", F.col("v").alias("a"), F.col("label").alias("la")).join(side("a"), "a")
+            y = live.select("key", F.col("v").alias("b"), F.col("label").alias("lb")).join(side("b"), "b").withColumnRenamed("key", "kb")
+            pairs = x.join(y, (F.col("key") == F.col("kb")) & (F.col("la") < F.col("lb")) & _similar("a", "b")).select("a", "b", "la", "lb").distinct()
         else:
-            pairs = labelled.join(buckets.select("key", F.explode("hubs").alias("hub")), "key").where("label <> hub.label").select(F.col("v").alias("a"), F.col("hub.v").alias("b")).distinct()
-        pairs = pairs.join(side(reps, "a"), "a").join(side(reps, "b"), "b").where(_similar("a", "b"))
-        if not last:
+            met = labelled.join(bounded_broadcast(buckets.select("key", "hub"), n_buckets, 80), "key").where("label <> hub.label")
+            met = met.select(F.col("v").alias("a"), F.col("label").alias("la"), F.col("hub.v").alias("b"), F.col("hub.label").alias("lb")).distinct()
+            near = met.join(side("b"), "b").join(side("a"), "a").where(_similar("a", "b"))
             best = Window.partitionBy("a").orderBy(F.desc("likely"), "b")
-            pairs = pairs.select("a", "b", estimate("ab", "bb").alias("likely")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST_HUBS)
-        pairs = scratch.table(pairs.select("a", "b"), "pairs")
+            pairs = near.select("a", "b", "la", "lb", estimate("abits", "bbits").alias("likely")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEST_HUBS).select("a", "b", "la", "lb")
+        pairs = scratch.table(_few(pairs, n_banded), "pairs")
         n_pairs = pairs.count()
-        found = scratch.table(confirm(pairs, texts, n_pairs), "found") if n_pairs else pairs
-        edges = found if edges is None else edges.union(found)
         if n_pairs:
-            labels = connected_components(edges, scratch)
+            found = scratch.table(confirm(pairs, texts, n_pairs), "found").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            merged = connected_components(found, n_pairs, scratch)
+            if labels is None:
+                labels = merged
+            else:
+                moved = labels.join(bounded_broadcast(merged.select(F.col("v").alias("label"), F.col("label").alias("to")), 2 * n_pairs, 40), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+                fresh = merged.join(bounded_broadcast(labels.select("v"), n_labels, 24), "v", "left_anti")
+                labels = scratch.table(_few(moved.union(fresh), n_labels + 2 * n_pairs), "moved")
+            n_labels += 2 * n_pairs
         if last:
             break
 
