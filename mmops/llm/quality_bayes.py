@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_broadcast
 
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 4000
 FEATURES = 600
 LEAST_Z = 4.0
 L2 = 0.05
@@ -116,7 +116,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = bounded_broadcast(drawn, min(n, 2 * train_rows), 32)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(drawn, "k").limit(2 * train_rows).collect()
     rows.sort(key=lambda r: (r.k, r.t or ""))
-    words, forms = [words_of(r.t or "") for r in rows], [form_of(r.t or "") for r in rows]
+    pool: dict[str, str] = {}  # one string for each word, however many documents have it
+    words = [{pool.setdefault(w, w) for w in words_of(r.t or "")} for r in rows]
+    forms = [form_of(r.t or "") for r in rows]
+    del pool
     models = []
     for at, default in (("q", 1), ("x", 0)):
         use = [i for i, r in enumerate(rows) if r[at] is not None]
