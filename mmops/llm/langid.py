@@ -1,11 +1,11 @@
 """Language identification (operator 4): averaged hashed subword embeddings and a linear softmax.
 
-A word is a run of letters, lower-cased; its subwords are the n-grams of 2 to 4 characters of
-``<word>`` and the whole, each hashed into ``BUCKETS`` rows of an embedding. A text is the mean of the
-embeddings of all subwords of all its words, and a linear softmax over that gives its language.
+A word is a run of letters, lower-cased; its subwords are the n-grams of 2 to 4 characters of the word
+with a space before and after it, and the whole, each hashed into ``BUCKETS`` rows of an embedding. A text is the
+mean of the embeddings of all subwords of all its words, and a linear softmax over that gives its language.
 Embeddings and weights are trained together by stochastic gradient descent in numpy, on a bounded sample
 of labelled rows (``TRAIN_ROWS``; whole texts). Prediction uses embedding times weights, a score a
-subword and language, so a word's sum is computed once and kept.
+subword and language. Subwords are hashed by numpy for a whole text at once, a long one by parts of ``PART`` characters.
 
 Calibrated rejection: a part of the sample is held back from the training; a temperature is fitted to it, and
 the threshold is the score under which ``REJECT_SHARE`` of its rightly predicted texts fall, and not above ``MAX_THRESHOLD``.
@@ -27,30 +27,53 @@ TRAIN_ROWS = 3000
 STEPS, RATE = 9000, 0.5
 REJECT_SHARE = 0.002
 MAX_THRESHOLD = 0.5
-CACHE_LIMIT = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters hashed at once; parts end between words.
+PART = 100_000
+_GAP = re.compile(r"[\W\d_]+")
 
 
-def subwords(word: str) -> list[int]:
-    import xxhash
+def _hash(part):
+    """Buckets of the subwords of a part: code points of words, with one space before, between and after them."""
+    import numpy as np
+
+    step, letter = np.uint64(0x9E3779B97F4A7C15), part != 32
+    h, whole, found = part, np.ones(len(part), bool), []
+    for n in (2, 3, 4):
+        h = h[:-1] * step + part[n - 1 :]
+        if n > 2:  # a space is only the first or the last character
+            whole = whole[: len(h)] & letter[n - 2 : n - 2 + len(h)]
+        found.append(h[whole[: len(h)]])
+    ends = np.flatnonzero(~letter)
+    place = np.arange(len(part)) - np.repeat(ends, np.diff(ends, append=len(part)))
+    each = (part + place.astype(np.uint64) * step) * np.uint64(0xBF58476D1CE4E5B9)
+    each = (each ^ (each >> np.uint64(31))) * step * letter
+    found.append(np.add.reduceat(each, ends[:-1]))
+    h = np.concatenate(found)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(33)).astype(np.int64) % BUCKETS
+
+
+def subwords(text: str):
+    """Arrays of the buckets of all subwords of a text, part by part; none if it has no letter."""
+    import numpy as np
 
-    w = f"<{word}>"
-    grams = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return [xxhash.xxh3_64_intdigest(g) % BUCKETS for g in {*grams, w}]
+    if not any(map(str.isalpha, text)):
+        return
+    codes = np.frombuffer(f" {_GAP.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.flatnonzero(codes == 32)
+    first = 0
+    while first < len(ends) - 1:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + PART, "right")) - 1)
+        yield _hash(codes[ends[first] : ends[last] + 1])
+        first = last
 
 
 def _features(text: str):
     """Bucket indices and their weights, which add up to 1."""
     import numpy as np
-    from collections import Counter
 
-    counts: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        for s in subwords(word):
-            counts[s] += n
-    at = np.fromiter(counts.keys(), np.int64, len(counts))
-    w = np.fromiter(counts.values(), np.float64, len(counts))
-    return at, w / w.sum() if len(w) else w
+    at, n = np.unique(np.concatenate([np.empty(0, np.int64), *subwords(text)]), return_counts=True)
+    return at, n / max(1, n.sum())
 
 
 class Model:
@@ -58,29 +81,15 @@ class Model:
 
     def __init__(self, langs, table, bias, temperature=1.0, threshold=0.0):
         self.langs, self.table, self.bias, self.temperature, self.threshold = langs, table, bias, temperature, threshold
-        self._cache: dict = {}
-
-    def word(self, word: str):
-        got = self._cache.get(word)
-        if got is None:
-            s = subwords(word)
-            got = (self.table[s].sum(axis=0), len(s))
-            if len(word) <= 40:
-                self._cache[word] = got
-        return got
 
     def logits(self, text: str):
         """None if the text has no letter."""
         import numpy as np
-        from collections import Counter
 
-        if len(self._cache) > CACHE_LIMIT:
-            self._cache.clear()
         total, n = np.zeros(len(self.langs)), 0
-        for word, times in Counter(_WORD.findall(text.lower())).items():
-            v, k = self.word(word)
-            total += times * v
-            n += times * k
+        for at in subwords(text):
+            total += self.table.take(at, axis=0).sum(axis=0, dtype=np.float64)
+            n += len(at)
         return total / n + self.bias if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -100,7 +109,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     """Rows are (text, language). Every fifth row calibrates."""
     import numpy as np
 
-    rows = [r for r in rows if r[0] and r[1] is not None and _WORD.search(r[0])]
+    rows = [r for r in rows if r[0] and r[1] is not None and any(map(str.isalpha, r[0]))]
     langs = sorted({r[1] for r in rows})
     if not langs:
         return Model([], np.zeros((1, 0)), np.zeros(0))
