@@ -106,9 +106,8 @@ def test_tally(results: DataFrame, problem: str = "problem", code: str = "code")
 def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part") -> DataFrame:
     """J-14 and J-18: rows of ``texts`` whose text holds a part. ``parts`` is a small table, counted before it is sent out.
 
-    A part's first word run narrows the candidates to texts with that word; then the text must hold the part itself.
+    A part's longest inner word narrows the candidates to texts with that word; then the text must hold the part itself.
     """
-    word = lambda c: F.regexp_extract(F.lower(c), r"[a-z0-9]{2,}", 0)
     # The part's edge words may be cut short, so its longest inner word is the key; parts without one are compared with all.
     inner = F.array_max(F.transform(F.slice(F.split(F.lower(F.col(part)), "[^a-z0-9]+"), F.lit(2), F.greatest(F.size(F.split(F.lower(F.col(part)), "[^a-z0-9]+")) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     keyed = parts.withColumn("__w", F.when(inner.n > 0, inner.w))
@@ -117,10 +116,9 @@ def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part
     spread = texts.withColumn("__w", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9]+"))))
     found = spread.join(hint(keyed.where("__w is not null")), "__w").where(F.contains(F.col(text), F.col(part))).drop("__w")
     bare = keyed.where("__w is null").drop("__w")
-    del word
     if not bare.limit(1).count():
         return found
-    every = texts.join(F.broadcast(bare.limit(10_000)) if small else bare, F.contains(F.col(text), F.col(part)))
+    every = texts.join(hint(bare), F.contains(F.col(text), F.col(part)))
     return found.unionByName(every)
 
 

@@ -186,9 +186,9 @@ def label_accuracy(spark, sf):
     return evaluation.accuracy(d, ["lang"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("SELECT doc_id, CAST(item_id AS BIGINT) AS item_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 40) AS part FROM benchmark) b ON contains(d.text, part)")
+@query("SELECT doc_id, CAST(item_id AS BIGINT) AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def substring_leakage(spark, sf):
-    parts = table(spark, sf, "benchmark").select(_l("item_id").alias("item_id"), F.substring("text", 1, 40).alias("part"))
+    parts = table(spark, sf, "benchmark").select(_l("item_id").alias("item_id"), F.col("text").alias("part"))
     return evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), parts).select("doc_id", "item_id")
 
 
@@ -228,13 +228,13 @@ def conv_to_record(spark, sf):
     return merged.join(n, ["folder", "image"]).select("folder", "image", "n_items", _l(F.size("conversations")).alias("n_turns"))
 
 
-@query("""SELECT conv_id, turn, "from" AS role, CASE WHEN contains(value, '<image>') THEN 2 ELSE 1 END AS n_parts FROM conv WHERE conv_id % 2 = 1""", V_CONV)
+@query("""SELECT conv_id, turn, "from" AS role, CASE WHEN contains(value, '<image>') THEN 2 ELSE 1 END AS n_parts FROM conv""", V_CONV)
 def conv_messages(spark, sf):
-    r = _records(spark, sf).where("conv_id % 2 = 1")
-    msg = sequences.media_messages(F.col("conversations"), F.array(F.lit("a.jpg")), F.array().cast("array<string>"))
+    r = _records(spark, sf)
+    marks = F.size(F.filter("conversations", lambda t: F.contains(t["value"], F.lit("<image>"))))
+    msg = sequences.media_messages(F.col("conversations"), F.array_repeat(F.lit("a.jpg"), marks), F.array().cast("array<string>"))
     ok = r.select("conv_id", "conversations", msg.alias("m"))
-    human = F.size(F.filter("conversations", lambda t: t["from"] == "human")) > 0
-    rows = ok.where(human).select("conv_id", F.posexplode("m.messages").alias("pos", "p"), "conversations")
+    rows = ok.select("conv_id", F.posexplode("m.messages").alias("pos", "p"), "conversations")
     turn = table(spark, sf, "conversations").select("conv_id", "turn")
     turn = turn.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
     return rows.join(turn, ["conv_id", "pos"]).select("conv_id", "turn", F.col("conversations")[F.col("pos")]["from"].alias("role"), F.size("p.content").alias("n_parts"))
@@ -616,14 +616,14 @@ def det_rescale(spark, sf):
 @query()
 def det_map(spark, sf):
     labels = F.when(F.col("label") == "AF", 0).when(F.col("label") == "RF", 1).otherwise(2)
-    shape = lambda b: b.where("stem % 16 = 0").select(F.col("stem").alias("image_id"), labels.alias("category_id"), geometry.xywh(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), "obj_id")
+    shape = lambda b: b.select(F.col("stem").alias("image_id"), labels.alias("category_id"), geometry.xywh(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), "obj_id")
     truth = shape(views.boxes(spark, sf)).withColumn("area", detection.box_area(F.col("bbox"))).withColumn("iscrowd", F.lit(0))
     return detection.average_precision(truth, shape(views.found_boxes(spark, sf)).withColumn("score", F.lit(1.0)).withColumnRenamed("obj_id", "ord"))
 
 
 @query("SELECT 1.0 AS \"mAP\", 1.0 AS \"mAP_50\", 1.0 AS \"mAP_75\"")
 def det_map_perfect(spark, sf):
-    b = views.boxes(spark, sf).where("stem % 16 = 0 and obj_id < 2").select(F.col("stem").alias("image_id"), F.lit(1).alias("category_id"), geometry.xywh(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), "obj_id")
+    b = views.boxes(spark, sf).select(F.col("stem").alias("image_id"), F.lit(1).alias("category_id"), geometry.xywh(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), "obj_id")
     b = b.dropDuplicates(["image_id", "bbox"])
     truth = b.withColumn("area", detection.box_area(F.col("bbox"))).withColumn("iscrowd", F.lit(0))
     return detection.average_precision(truth, b.withColumn("score", F.lit(1.0)).withColumnRenamed("obj_id", "ord")).select("mAP", "mAP_50", "mAP_75")
