@@ -143,10 +143,10 @@ def average_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
     later = Window.partitionBy(*groups).orderBy("n").rowsBetween(0, Window.unboundedFollowing)
     points = points.withColumn("envelope", F.max("precision").over(later))
     # The first point at each recall level: the envelope falls, so that is the largest envelope among the points that reach it.
-    levels = F.transform(F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int")), lambda i: i)
-    best = points.where("tp").select(*groups, F.explode(levels).alias("level"), "envelope").groupBy(*groups, "level").agg(F.max("envelope").alias("p"))
-    zero = points.groupBy(*groups).agg(F.max("envelope").alias("p")).withColumn("level", F.lit(0)).select(*groups, "level", "p")
-    ap = best.unionByName(zero).groupBy(*groups, "level").agg(F.max("p").alias("p")).groupBy(*groups).agg((F.sum("p") / 101).alias("ap"))
+    # A point that isn't a hit counts at level 0 only. One branch, so the matching runs once.
+    levels = F.when(F.col("tp"), F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int"))).otherwise(F.array(F.lit(0)))
+    best = points.select(*groups, F.explode(levels).alias("level"), "envelope").groupBy(*groups, "level").agg(F.max("envelope").alias("p"))
+    ap = best.groupBy(*groups).agg((F.sum("p") / 101).alias("ap"))
     grid = positives.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in THRESHOLDS]))).withColumn("limit", F.explode(F.array(*[F.lit(n) for n in LIMITS])))
     full = grid.join(ap, groups, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
     mean = lambda cond: F.coalesce(F.bround(F.avg(F.when(cond, F.col("ap"))), 3), F.lit(0.0))
