@@ -137,7 +137,7 @@ def features(found) -> list[list[int]]:
         names.update(f"w:{w}" for w in words)
         names.update((
             "bias", f"p:{tags[-1] if tags else '-'}", f"n:{min(size, 2000).bit_length()}", f"l:{0 if share < 0.1 else 1 if share < 0.6 else 2}",
-            f"e:{'stop' if last in '.!?…。' else 'colon' if last == ':' else 'other'}", f"d:{sum(c.isdigit() for c in text[:400]) * 4 > min(size, 400)}", f"c:{'©' in text}",
+            f"e:{'stop' if last in '.!?…。' else 'colon' if last == ':' else 'other'}", f"d:{sum(map(str.isdigit, text)) * 4 > size}", f"c:{'©' in text}",
             f"a:{4 * i // n}", f"article:{'article' in tags or 'main' in tags}",
         ))
         out.append([slot(f) for f in sorted(names)])

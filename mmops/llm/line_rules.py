@@ -2,7 +2,7 @@
 
 Base rules count words, word characters, symbols, repeated lines and words in repeated three-word windows of
 the whole text. The method: the lines of a text are a sequence; a linear-chain CRF with features of
-each line's form labels them content or boilerplate, and Viterbi finds the likeliest labels. A text
+each line's form, counted over the whole line, labels them content or boilerplate, and Viterbi finds the likeliest labels. A text
 is kept if it passes the base rules and its content lines hold at least ``CONTENT_SHARE`` of its word characters.
 
 The CRF is trained on labelled texts, which ``labelled_texts`` writes from invented words: paragraphs,
@@ -15,6 +15,7 @@ nothing is grouped. Long texts are read whole, each in one task, in memory of a
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -77,11 +78,12 @@ def line_features(lines: list[str]) -> list[list[int]]:
         marks = sum(line.count(c) for c in SYMBOLS) / chars
         distinct = len(set(words)) / max(1, len(words))
         last = line.rstrip()[-1:]
+        notice = sum(w.strip(".,:") in NOTICE_WORDS for w in line.lower().split()) / max(1, len(words))
         names = (
             "bias", f"n:{min(len(words), 300).bit_length()}", f"m:{min(4, int(marks * 40))}", f"u:{int(upper * 4)}:{len(words) > 3}",
             f"r:{int(distinct * 5)}:{len(words) > 8}", f"e:{'stop' if last in '.!?' else 'other'}", f"d:{line in seen}",
-            f"b:{line.count('!') * 12 > chars}", f"k:{min(3, len(NOTICE_WORDS.intersection(w.strip('.,:').lower() for w in words[:40])))}",
-            f"g:{sum(map(str.isdigit, line[:300])) * 5 > min(chars, 300)}", f"p:{'first' if i == 0 else 'last' if i == n - 1 else 'mid'}",
+            f"b:{line.count('!') * 12 > chars}", f"k:{min(3, math.ceil(notice * 10))}",
+            f"g:{sum(map(str.isdigit, line)) * 5 > chars}", f"p:{'first' if i == 0 else 'last' if i == n - 1 else 'mid'}",
         )
         seen.add(line)
         out.append([slot("line/" + f) for f in names])

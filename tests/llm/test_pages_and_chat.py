@@ -150,3 +150,27 @@ def test_urls(spark):
     df = spark.createDataFrame([("http://www.A.example.com:80/fr/825?x=1",), ("https://m.b.org/top",), ("nothing",), (None,)], "url string")
     got = [tuple(r) for r in df.select(quality_bayes.url_host(F.col("url")), quality_bayes.url_path(F.col("url"))).collect()]
     assert got == [("a.example.com", "/fr"), ("m.b.org", "/"), (None, "/"), (None, None)]
+
+
+def test_line_features_read_whole_lines():
+    opening = "wenlo karimen stado berchi quenu fator lisal " * 10  # 70 words, over 300 characters
+    plain, noticed, numbered = (line_rules.line_features([opening + rest])[0] for rest in ("wenlo " * 300, "Licensed under terms. " * 100, "12345 67890 " * 100))
+    at = lambda f: line_rules.slot("line/" + f)
+    assert at("k:0") in plain and at("k:3") in noticed
+    assert at("g:False") in plain and at("g:True") in numbered
+    few = line_rules.line_features([opening * 10 + "Licensed under terms."])[0]
+    assert at("k:1") in few
+
+
+def test_late_notices_change_the_verdict():
+    crf = line_rules.train()
+    prose = lambda lo, hi: " ".join(f"Tio{i}na verpar{i} gil{i}ka menzu{i}, orsta{i} hilo{i}." for i in range(lo, hi))
+    notices = " ".join(f"Copyright menzu{i}, all rights reserved, licensed under terms of orsta{i}." for i in range(90))
+    assert line_rules.content_share(crf, prose(0, 100)) == 1
+    assert line_rules.content_share(crf, prose(0, 10) + " " + notices) == 0
+
+
+def test_block_features_read_whole_blocks():
+    opening = "wenlo karimen stado berchi " * 20
+    late, none = html_extract.features([(opening + "12345 67890 " * 200, ("p",), (), 0), (opening, ("p",), (), 0)])
+    assert html_extract.slot("d:True") in late and html_extract.slot("d:False") in none
