@@ -6,7 +6,7 @@ an equals sign or colon, and a value of 6 characters or more), ``access`` (AKIA
 in code points, without positions from the regex engine.
 
 Entropy: candidates are runs of 20 or more of ``[A-Za-z0-9+/_=-]``. Each has the narrowest character
-class that holds it: lower-case hex, upper-case letters and digits, or base 64. A window of that class's width
+class that holds it: lower-case hex, upper-case hex, upper-case letters and digits, lower-case letters and digits, or base 64. A window of that class's width
 slides over it; counts are kept by character and change by one entering and one leaving
 character, and with them ``sum(c * log2 c)``, from which the window's entropy in bits follows. The
 windows at or above the class's threshold give one span from the first's start to the last's end, of kind ``entropy``. Runs
@@ -34,7 +34,9 @@ KINDS = ("assign", "access", "hex", "entropy")
 # Fixed values: (class, pattern, alphabet, window, least bits).
 CLASSES = (
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 20, 3.2),
+    ("upper_hex", r"^[0-9A-F]+$", "0123456789ABCDEF", 20, 3.2),
     ("upper", r"^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.6),
+    ("lower", r"^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.6),
     ("base64", r"^[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.9),
 )
 # What is well known not to be a secret.

@@ -106,6 +106,22 @@ def test_entropy_spans(odd):
     assert by_id[7] == by_id[1] == ""
 
 
+def test_entropy_finds_random_keys_of_each_class(spark):
+    import random
+    import string
+
+    rng, low, up = random.Random(17), string.ascii_lowercase, string.ascii_uppercase
+    alphabets = {"hex": "0123456789abcdef", "upper_hex": "0123456789ABCDEF", "upper": up + string.digits, "lower": low + string.digits, "base64": low + up + string.digits}
+    # Lower-case hex of 24 and more is a base span.
+    keys = [(c, n, "".join(rng.choice(a) for _ in range(n))) for c, a in alphabets.items() for n in ((20, 23) if c == "hex" else (20, 32, 40)) for _ in range(100)]
+    found = secrets.find_secrets(spark.createDataFrame(keys, "kind string, n int, text string")).groupBy("kind", "n").agg(F.count_if(F.size("secret_spans") > 0)).collect()
+    for kind, n, hits in found:
+        assert hits >= (65 if n < 32 else 95), (kind, n, hits)
+    word = lambda: "".join(rng.choice(("an", "ber", "chi", "do", "er", "fa", "gu", "hil", "io", "ka", "lo", "men")) for _ in range(rng.randint(1, 6)))
+    clean = [(" ".join(rng.choice((word(), word().upper(), f"{word()}{rng.randrange(9999)}", f"{word()}-{rng.randrange(99)}", str(rng.randrange(10**9)), "DEADBEEF" * 3 + "00", "item" * 6 + "7up")) for _ in range(300)),) for _ in range(50)]
+    assert secrets.find_secrets(spark.createDataFrame(clean, "text string")).where(F.size("secret_spans") > 0).count() == 0
+
+
 def test_redact(odd):
     text = {r[0]: r[1] for r in rows(secrets.redact(odd), "doc_id", "text")}
     assert text[13] == "[SECRET] " * 3 and text[1] is None and text[2] == ""
