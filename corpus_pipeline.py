@@ -9,9 +9,9 @@ reads again as the next stage's docs. All but the last return the columns of doc
 * secrets: every secret span is replaced by a mark; the document stays.
 * pack: what is left is packed into sequences; a row per piece.
 
-Decisions are joined back by id with null-safe equality, so a null id is one id like any other. Rows that
-share an id share the decision: one of them that must go takes the others along, except in
-near-dedup, where equal ids and equal texts are one document and the first row stays.
+Near-dedup and decontamination write their input with an id for each row and decide by that id, so rows that share
+a doc_id, or whose doc_id is null, are decided one by one. In near-dedup the order is that of doc_id, nulls
+last, then of the rows: one row of each group stays. Rows without words are near to nothing and stay.
 """
 
 from __future__ import annotations
@@ -23,21 +23,17 @@ from mmops.llm import decontam, langid, minhash, packing, secrets
 from mmops.llm.common import Scratch, bounded_broadcast, read_table
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
-    bad = bounded_broadcast(bad, bad.count(), 40)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+ROW = "__row"
+
 
+def _with_rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and an id for each row. A written table, as the ids of a lazy one may change when it is read again."""
+    return Scratch(docs.sparkSession, name).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed", keep=True)
 
-def _once(docs: DataFrame) -> DataFrame:
-    """Of rows of one id and text, one. Only rows whose id occurs again are compared, so the others' texts aren't shuffled."""
-    again = docs.groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
-    n = again.count()
-    if not n:
-        return docs
-    again = bounded_broadcast(again, n, 40)
-    same = docs["doc_id"].eqNullSafe(again["__again"])
-    return docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` of :func:`_with_rows` without the rows of ``bad``."""
+    return docs.join(bounded_broadcast(bad, bad.count(), 40), ROW, "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +43,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs)
-    return _once(_without(docs, found.where(~F.col("kept"))))
+    keyed = _with_rows(docs, "near_duplicates")
+    # Orders as doc_id does, nulls last, and is another for each row.
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    found = minhash.near_duplicates(keyed.select(order.alias(ROW), "text"), ROW)
+    return _without(keyed, found.where(~F.col("kept")).select(F.col(f"{ROW}.row").alias(ROW)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    keyed = _with_rows(docs, "decontaminate")
+    found = decontam.contamination(keyed, read_table(spark, sf_dir, "benchmark"), ROW)
+    return _without(keyed, found.where("contaminated").select(ROW))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,3 +252,20 @@ def test_pipeline(spark, tmp_path):
         docs = after
     assert 0 < len(kept) < len(base)
     assert {r[0] for r in p.STAGES[-1][1](spark, docs, SF).select("doc_id").collect()} == {d for d, _ in kept}
+
+
+def test_pipeline_decides_row_by_row(spark):
+    """Null and repeated ids: clean rows stay, and one row of each group."""
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").first().text
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    near = lambda k: text(k) + " tail"
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = rows(p.decontaminate(spark, df([(None, item), (None, text("a")), (None, None), (4, item), (4, text("b")), (5, text("c"))]), SF))
+    assert got == sorted([(None, text("a")), (None, None), (4, text("b")), (5, text("c"))], key=str)
+    dup = [(5, text("x")), (9, near("x")), (3, text("y")), (5, near("y")), (None, text("z")), (None, near("z")), (None, text("y")), (None, text("v")), (7, text("u")), (7, text("u")), (8, None), (8, "")]
+    got = rows(p.near_duplicates(spark, df(dup), SF))
+    zs = [r for r in got if r[1] in (text("z"), near("z"))]
+    assert len(zs) == 1
+    assert sorted((r for r in got if r not in zs), key=str) == sorted([(5, text("x")), (3, text("y")), (None, text("v")), (7, text("u")), (8, None), (8, "")], key=str)
