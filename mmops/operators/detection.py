@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from .records import ranged
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
@@ -73,11 +74,17 @@ def detections(jobs: DataFrame, classes: list[str], category_ids: list[int], rel
     return rows.select(F.col("img_id").alias("image_id"), F.get(ids, F.col("class_index")).alias("category_id"), geometry.xywh(*[F.col("box")[i] for i in range(4)]).alias("bbox"), F.lit(1.0).alias("score"), F.col("pos").alias("ord"))
 
 
-def match_image(truths: list, found: list) -> list:
-    """One image and category: truths [(box xywh, area, crowd)], detections [(box xywh, score)] in order, best first.
+#: What is counted: an area and how many detections of an image. A slot is one of these at one threshold.
+COUNTED = (("all", 100), ("all", 1000), ("small", 1000), ("medium", 1000), ("large", 1000))
+SLOTS = tuple((area, limit, t) for area, limit in COUNTED for t in THRESHOLDS)
+SKIPPED, MISS, HIT = 0, 1, 2
 
-    Returns (range, threshold, place, score, tp, ignored) of each detection. A detection takes the free truth of the highest overlap; of equal
-    ones the later. An ignored truth is taken only if no other reaches the threshold.
+
+def match_image(truths: list, found: list) -> list[bytes]:
+    """One image and category: truths [(box xywh, area, crowd)], detections [box xywh] in order, best first.
+
+    A byte a slot for each detection: skipped (ignored, or beyond the slot's limit), a miss or a hit. A detection takes the free truth of the
+    highest overlap; of equal ones the later. An ignored truth is taken only if no other reaches the threshold.
     """
 
     def overlap(d, t, crowd):
@@ -87,73 +94,130 @@ def match_image(truths: list, found: list) -> list:
         union = d[2] * d[3] if crowd else d[2] * d[3] + t[2] * t[3] - both
         return both / union if union > 0 else 0.0
 
-    table = [[overlap(d[0], t[0], t[2]) for t in truths] for d in found]
-    out = []
+    least = min(THRESHOLDS)
+    # Only truths that a detection overlaps enough for some threshold can be taken.
+    near = [[(i, o) for i, t in enumerate(truths) if (o := overlap(d, t[0], t[2])) >= least - 1e-9] for d in found]
+    out = [bytearray(len(SLOTS)) for _ in found]
     for area, (low, high) in AREAS.items():
         ignored = [bool(t[2]) or not low <= t[1] <= high for t in truths]
-        order = sorted(range(len(truths)), key=lambda i: ignored[i])
-        for threshold in THRESHOLDS:
+        ranked = [sorted(x, key=lambda io: ignored[io[0]]) for x in near]
+        outside = [not low <= d[2] * d[3] <= high for d in found]
+        for step, threshold in enumerate(THRESHOLDS):
             taken: set[int] = set()
-            for place, d in enumerate(found):
+            at_slots = [(k * len(THRESHOLDS) + step, limit) for k, (a, limit) in enumerate(COUNTED) if a == area]
+            for place, candidates in enumerate(ranked):
                 best, at = min(threshold, 1 - 1e-10), -1
-                for i in order:
+                for i, o in candidates:
                     if i in taken and not truths[i][2]:
                         continue
                     if at >= 0 and not ignored[at] and ignored[i]:
                         break
-                    if table[place][i] >= best:
-                        best, at = table[place][i], i
+                    if o >= best:
+                        best, at = o, i
                 if at >= 0:
                     taken.add(at)
-                own = d[0][2] * d[0][3]
-                skip = ignored[at] if at >= 0 else not low <= own <= high
-                out.append((area, threshold, place, d[1], at >= 0 and not skip, skip))
-    return out
+                code = SKIPPED if (ignored[at] if at >= 0 else outside[place]) else HIT if at >= 0 else MISS
+                for slot, limit in at_slots:
+                    if place < limit:
+                        out[place][slot] = code
+    return [bytes(x) for x in out]
 
 
-def average_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """A-19 and W-09: mAP, mAP_50, mAP_75, mAP_s, mAP_m, mAP_l (rounded to 3; 0 where there is nothing to average).
+def matched_detections(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """category_id, score, image_id, place, codes (a byte a slot of SLOTS) of each detection among its image's and category's first 1,000.
 
-    truth: image_id, category_id, bbox (xywh), area, iscrowd. found: image_id, category_id, bbox, score, ord. Matching is a
-    grouped map of one image and category; counting, the envelope of precision and the sampling at 101 recalls are windows and aggregates.
+    The limit is taken before an image's detections are brought together; its truths are what an image can hold.
     """
     keys = ["image_id", "category_id"]
+    first = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")
     t = truth.groupBy(*keys).agg(F.collect_list(F.struct("bbox", "area", "iscrowd")).alias("truths"))
-    d = found.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", "bbox"))), 1, max(LIMITS)).alias("found"))
-    both = d.join(t, keys, "left")
-
+    d = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(LIMITS))
+    d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "score", "bbox"))).alias("found"))
 
-    @F.pandas_udf("array<struct<area:string,threshold:double,place:int,score:double,tp:boolean,skip:boolean>>")
+    @F.pandas_udf("array<binary>")
     def matched(truths: pd.Series, dets: pd.Series) -> pd.Series:
         out = []
         for ts, ds in zip(truths, dets, strict=True):
             ts = [(list(x["bbox"]), x["area"], x["iscrowd"]) for x in (ts if ts is not None else [])]
-            rows = match_image(ts, [(list(x["bbox"]), -x["s"]) for x in ds])
-            out.append([dict(zip(("area", "threshold", "place", "score", "tp", "skip"), r, strict=True)) for r in rows])
+            out.append(match_image(ts, [list(x["bbox"]) for x in ds]))
         return pd.Series(out)
 
-    rows = both.select(*keys, F.explode(matched("truths", "found")).alias("m")).select(*keys, "m.*").where("not skip")
-    rows = rows.withColumn("limit", F.explode(F.array(*[F.lit(n) for n in LIMITS]))).where("place < limit and (area = 'all' or limit = 1000)")
-    groups = ["category_id", "area", "threshold", "limit"]
-    order = Window.partitionBy(*groups).orderBy(F.desc("score"), "image_id", "place").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn("tp_n", F.sum(F.col("tp").cast("int")).over(order)).withColumn("n", F.count("*").over(order))
-    inside = [F.struct(F.lit(a).alias("area"), ((F.col("iscrowd") == 0) & F.col("area").between(lo, hi)).alias("in")) for a, (lo, hi) in AREAS.items()]
-    positives = truth.select("category_id", F.explode(F.array(*inside)).alias("x")).groupBy("category_id", F.col("x.area").alias("area")).agg(F.count_if("x.in").alias("npos")).where("npos > 0")
-    points = counted.join(positives, ["category_id", "area"]).withColumn("recall", F.col("tp_n") / F.col("npos")).withColumn("precision", F.col("tp_n") / F.col("n"))
-    later = Window.partitionBy(*groups).orderBy("n").rowsBetween(0, Window.unboundedFollowing)
-    points = points.withColumn("envelope", F.max("precision").over(later))
-    # The first point at each recall level: the envelope falls, so that is the largest envelope among the points that reach it.
-    # A point that isn't a hit counts at level 0 only. One branch, so the matching runs once.
-    levels = F.when(F.col("tp"), F.sequence(F.lit(0), F.floor(F.col("recall") * 100 + 1e-9).cast("int"))).otherwise(F.array(F.lit(0)))
-    best = points.select(*groups, F.explode(levels).alias("level"), "envelope").groupBy(*groups, "level").agg(F.max("envelope").alias("p"))
-    ap = best.groupBy(*groups).agg((F.sum("p") / 101).alias("ap"))
-    grid = positives.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in THRESHOLDS]))).withColumn("limit", F.explode(F.array(*[F.lit(n) for n in LIMITS])))
-    full = grid.join(ap, groups, "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-    mean = lambda cond: F.coalesce(F.bround(F.avg(F.when(cond, F.col("ap"))), 3), F.lit(0.0))
-    at = lambda area, limit: (F.col("area") == area) & (F.col("limit") == limit)
+    both = d.join(t, keys, "left").withColumn("codes", matched("truths", "found"))
+    rows = both.select(*keys, F.explode(F.arrays_zip("found", "codes")).alias("m"))
+    return rows.select("category_id", F.col("m.found.score").alias("score"), "image_id", F.col("m.found.place").alias("place"), F.col("m.codes").alias("codes"))
+
+
+def _codes(pdf):
+    import numpy as np
+
+    return np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), len(SLOTS))
+
+
+def best_precision(matched: DataFrame, positives: DataFrame) -> DataFrame:
+    """category_id, slot, level (0 to 100), p: the highest precision of a hit at that level of recall.
+
+    Counts run over all detections of a category by falling score. They are dealt out in ranges of that order, so a large category is many
+    tasks' work: a range's sums first, then the sums of the ranges before it, then the counts inside it. positives: category_id, npos (by place in AREAS).
+    """
+    parts = ranged(matched.withColumn("falling", -F.col("score")), ["category_id", "falling", "image_id", "place"])
+    keys = ["__p", "category_id"]
+
+    def total(pdf):
+        codes = _codes(pdf)
+        return pd.DataFrame({"__p": [pdf["__p"].iloc[0]], "category_id": [pdf["category_id"].iloc[0]], "tp": [(codes == HIT).sum(axis=0)], "n": [(codes != SKIPPED).sum(axis=0)]})
+
+    kind = matched.schema["category_id"].dataType.simpleString()
+    totals = parts.groupBy(*keys).applyInPandas(total, f"`__p` int, category_id {kind}, tp array<long>, n array<long>")
+    # A row a range, category and slot: small, whatever the detections are.
+    by_slot = totals.select(*keys, F.posexplode(F.arrays_zip("tp", "n")).alias("slot", "x")).select(*keys, "slot", "x.tp", "x.n")
+    earlier = Window.partitionBy("category_id", "slot").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_slot.select(*keys, "slot", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("tp", "n")])
+    before = before.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "tp", "n"))).alias("slots"))
+    before = before.select(*keys, F.col("slots.tp").alias("tp"), F.col("slots.n").alias("n")).join(positives, "category_id")
+
+    def levels(pdf, start):
+        import numpy as np
+
+        columns = ["category_id", "slot", "level", "p"]
+        if pdf.empty or start.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        pdf = pdf.sort_values("__i", kind="stable")
+        codes, row, out = _codes(pdf), start.iloc[0], []
+        hits = codes == HIT
+        tp, n = hits.cumsum(axis=0) + np.asarray(row["tp"]), (codes != SKIPPED).cumsum(axis=0) + np.asarray(row["n"])
+        for slot, (area, _, _) in enumerate(SLOTS):
+            npos, at = row["npos"][list(AREAS).index(area)], hits[:, slot]
+            if npos and at.any():
+                level = np.searchsorted(np.linspace(0, 1, 101), tp[at, slot] / npos, side="right") - 1
+                best = pd.Series(tp[at, slot] / n[at, slot]).groupby(level).max()
+                out.append(pd.DataFrame({"category_id": row["category_id"], "slot": slot, "level": best.index, "p": best.values}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
+
+    points = parts.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(levels, f"category_id {kind}, slot int, level int, p double")
+    return points.groupBy("category_id", "slot", "level").agg(F.max("p").alias("p"))
+
+
+def average_precision(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """A-19 and W-09: mAP, mAP_50, mAP_75, mAP_s, mAP_m, mAP_l (rounded to 3; 0 where there is nothing to average).
+
+    truth: image_id, category_id, bbox (xywh), area, iscrowd. found: image_id, category_id, bbox, score, ord. The precision at each of 101
+    levels of recall is the highest at that level or a later one; a category without truths of an area doesn't count there.
+    """
+    inside = [F.count_if((F.col("iscrowd") == 0) & F.col("area").between(lo, hi)) for lo, hi in AREAS.values()]
+    positives = truth.groupBy("category_id").agg(F.array(*inside).alias("npos"))
+    best = best_precision(matched_detections(truth, found), positives)
+    later = Window.partitionBy("category_id", "slot").orderBy(F.desc("level"))
+    lower = Window.partitionBy("category_id", "slot").orderBy("level")
+    steps = best.withColumn("envelope", F.max("p").over(later)).withColumn("width", F.col("level") - F.coalesce(F.lag("level").over(lower), F.lit(-1)))
+    ap = steps.groupBy("category_id", "slot").agg((F.sum(F.col("envelope") * F.col("width")) / 101).alias("ap"))
+    places = F.array(*[F.lit(list(AREAS).index(area)) for area, _, _ in SLOTS])
+    grid = positives.select("category_id", "npos", F.explode(F.sequence(F.lit(0), F.lit(len(SLOTS) - 1))).alias("slot")).where(F.get("npos", F.get(places, F.col("slot"))) > 0)
+    full = grid.join(ap, ["category_id", "slot"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    slots = lambda area, limit, t=None: [i for i, s in enumerate(SLOTS) if s[:2] == (area, limit) and t in (None, s[2])]
+    mean = lambda name, chosen: F.coalesce(F.bround(F.avg(F.when(F.col("slot").isin(chosen), F.col("ap"))), 3), F.lit(0.0)).alias(name)
     return full.agg(
-        mean(at("all", 100)).alias("mAP"), mean(at("all", 1000) & (F.col("threshold") == 0.5)).alias("mAP_50"), mean(at("all", 1000) & (F.col("threshold") == 0.75)).alias("mAP_75"),
-        mean(at("small", 1000)).alias("mAP_s"), mean(at("medium", 1000)).alias("mAP_m"), mean(at("large", 1000)).alias("mAP_l"),
+        mean("mAP", slots("all", 100)), mean("mAP_50", slots("all", 1000, 0.5)), mean("mAP_75", slots("all", 1000, 0.75)),
+        mean("mAP_s", slots("small", 1000)), mean("mAP_m", slots("medium", 1000)), mean("mAP_l", slots("large", 1000)),
     )
 
 

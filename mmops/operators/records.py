@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences
+from ..scratch import Scratch
 
 TURN = "struct<from:string,value:string>"
 
@@ -36,17 +37,25 @@ def with_folder(records: DataFrame, folder: str, image: str = "image") -> DataFr
 def numbered(df: DataFrame, name: str, order: list[str], within: list[str] | None = None, start: int = 1) -> DataFrame:
     """W-01 to W-04: consecutive numbers, within groups or over all.
 
-    Over all rows no window sees everything: rows are sorted by range, counted by partition, and numbered within.
+    Over all rows no window sees everything: rows are sorted by range and written with their partition and their place in it,
+    once, so that the counts and the numbers are of the same partitions; then each partition's offset is added.
     """
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) + (start - 1))
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
+    parts = ranged(df, order)
+    counts = parts.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))  # a row a partition
     before = F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("__p", "first", F.coalesce(before, F.lit(0)).alias("before"))
     return parts.join(F.broadcast(offsets), "__p").withColumn(name, F.col("before") + F.col("__i") - F.col("first") + start).drop("__p", "__i", "first", "before")
 
 
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """The rows in ranges of ``order`` as a written table, with the range ``__p`` and the place ``__i``, which rises within a range.
+    Written, because a second run of the same plan may sample other ranges and merge other partitions."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    return Scratch(df.sparkSession, "ranged").table(parts, "ranged", keep=True)
+
+
 def drop_empty(items: DataFrame, conversations: str = "conversations") -> DataFrame:
     """P-07: items without turns go; the numbers of the others stay."""
     return items.where(F.size(conversations) > 0)

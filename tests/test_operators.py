@@ -199,3 +199,84 @@ def test_writers_and_stream(spark, tmp_path):
     assert rows(spark.read.json(str(tmp_path / "out")).select("id", "is_valid"), "id") == [(1, "true"), (2, "false")]
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:00:00", "a")], "ts string, event_type string")
     assert sorted(r.n for r in incremental.windowed_counts(events).collect()) == [1, 2]
+
+
+def plain_average_precision(truth, found):
+    """The COCO protocol on lists, without Spark: truth (image, category, box, area, crowd), found (image, category, box, score)."""
+    import numpy as np
+
+    def overlap(d, t, crowd):
+        both = max(min(d[0] + d[2], t[0] + t[2]) - max(d[0], t[0]), 0) * max(min(d[1] + d[3], t[1] + t[3]) - max(d[1], t[1]), 0)
+        return both / (d[2] * d[3] + (0 if crowd else t[2] * t[3] - both))
+
+    def one(category, low, high, limit, threshold):
+        rows, npos = [], 0
+        for image in sorted({x[0] for x in truth} | {x[0] for x in found}):
+            ts = [t for t in truth if t[:2] == (image, category)]
+            out = [bool(t[4]) or not low <= t[3] <= high for t in ts]
+            npos += out.count(False)
+            free = set(range(len(ts)))
+            ds = sorted((d for d in found if d[:2] == (image, category)), key=lambda d: -d[3])
+            for d in ds[:limit]:
+                fits = [(i, overlap(d[2], ts[i][2], ts[i][4])) for i in range(len(ts)) if i in free or ts[i][4]]
+                fits = [x for x in fits if x[1] >= threshold]
+                pool = [x for x in fits if not out[x[0]]] or fits
+                if not pool:
+                    if low <= d[2][2] * d[2][3] <= high:
+                        rows.append((-d[3], len(rows), 0))
+                    continue
+                i = max(pool, key=lambda x: (x[1], x[0]))[0]
+                free.discard(i)
+                if not out[i]:
+                    rows.append((-d[3], len(rows), 1))
+        if not npos:
+            return None
+        tp = np.cumsum([r[2] for r in sorted(rows)])
+        precision, recall = tp / np.arange(1, len(tp) + 1), tp / npos
+        return np.mean([max(precision[recall >= level], default=0.0) for level in np.linspace(0, 1, 101)])
+
+    def mean(area, limit, thresholds):
+        low, high = detection.AREAS[area]
+        values = [one(c, low, high, limit, t) for c in sorted({t[1] for t in truth}) for t in thresholds]
+        values = [v for v in values if v is not None]
+        return round(float(np.mean(values)), 3) if values else 0.0
+
+    ten = detection.THRESHOLDS
+    return [mean("all", 100, ten), mean("all", 1000, [0.5]), mean("all", 1000, [0.75]), *[mean(a, 1000, ten) for a in ("small", "medium", "large")]]
+
+
+def test_average_precision_equals_plain_version(spark):
+    """Crowds, ties in score, areas on both sides of the limits, images with more than 100 detections."""
+    import random
+
+    rng = random.Random(5)
+    truth, found = [], []
+    for image in range(40):
+        for _ in range(rng.randint(0, 6)):
+            w, h = rng.choice(((20, 20), (60, 50), (150, 130))), rng.choice((1.0, 1.5))
+            box = (float(rng.randrange(300)), float(rng.randrange(300)), w[0] * h, float(w[1]))
+            category = rng.randrange(3)
+            truth.append((image, category, box, box[2] * box[3], int(rng.random() < 0.1)))
+            for _ in range(rng.randint(0, 3)):
+                moved = tuple(v + rng.choice((0, 1, 3, 9)) for v in box)
+                found.append((image, rng.choice((category, category, 2)), moved, rng.choice((0.2, 0.5, 0.9, 1.0))))
+    found += [(41, 1, (float(i), 5.0, 40.0, 40.0), 0.3) for i in range(130)]
+    truth += [(41, 1, (float(i), 5.0, 40.0, 40.0), 1600.0, 0) for i in (50, 128)]
+    t = spark.createDataFrame([(i, c, list(b), a, k) for i, c, b, a, k in truth], "image_id long, category_id int, bbox array<double>, area double, iscrowd int")
+    d = spark.createDataFrame([(i, c, list(b), s, n) for n, (i, c, b, s) in enumerate(found)], "image_id long, category_id int, bbox array<double>, score double, ord int")
+    got = [float(v) for v in detection.average_precision(t, d).first()]
+    assert got == pytest.approx(plain_average_precision(truth, found), abs=1.01e-3)
+
+
+def test_numbers_have_no_gaps_at_size(spark):
+    """A million rows, 64 partitions, a wide column: every number once."""
+    df = spark.range(0, 1_000_000, 1, 64).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.repeat(F.col("id").cast("string"), 20).alias("wide"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = records.numbered(df, "n", ["k"]).cache()
+        n, distinct, low, high = got.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()
+        falls = got.join(got.select((F.col("n") - 1).alias("n"), F.col("k").alias("next")), "n").where("next <= k").count()
+        got.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert (n, distinct, low, high, falls) == (1_000_000, 1_000_000, 1, 1_000_000, 0)
