@@ -11,9 +11,10 @@ their Jaccard similarity is at least 0.75.
    packed into longs; bit counts give the collision-corrected estimate ``(matches - 1/2) / (1/2)``. Pairs whose estimate is
    within ``SLACK`` of the threshold, and whose sizes allow it, are confirmed on their full sets.
 4. Large buckets never become all pairs at once: rounds of hubs (each class against its most similar hubs of
-   all its buckets) merge most of them first, and then all pairs of classes that are still in
-   different components and share a bucket are confirmed. So no link between components goes
-   unchecked; a pair that has joined already needs no check.
+   all its buckets, fresh hubs each round) merge most of them first, for as long as a round halves the pairs of
+   different components. Then all pairs of classes that are still in different components and share a bucket
+   are judged in the join itself and leave it once, in the first bucket they share, if similar enough to be confirmed.
+   So no link between components goes unchecked; a pair that has joined already needs no check.
 5. Components are found by label propagation with pointer jumping, on written tables.
 
 A pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: at 0.75 a pair is missed
@@ -25,6 +26,10 @@ take part; a component of null ids only has a null component_id. Repeated rows a
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +41,12 @@ BANDS, ROWS = 40, 5
 #: Bits of a signature, one of each minimum; the estimate's deviation at 0.75 is 0.012, and SLACK four of it.
 BITS = 3072
 SLACK = 0.048
-BEST_HUBS, HUB_ROUNDS = 2, 3
-#: Hub rounds stop early when so many cross pairs a class with candidates are left at most.
+#: Most pairs are told to be unlike by the first bits of their signatures. Their estimate's deviation at 0.75 is 0.029, and FIRST_SLACK five of it.
+FIRST_BITS = 512
+FIRST_SLACK = 0.147
+BEST_HUBS = 2
+#: Hub rounds end when so many cross pairs a class with candidates are left at most, or when a round
+#: with drawn hubs leaves more than half of them.
 PAIRS_PER_CLASS = 4
 #: Rows a task of the tables of links, labels and buckets, which are far smaller than the texts.
 ROWS_A_TASK = 200_000
@@ -165,9 +174,16 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / F.lit(float(BITS)) - 0.5) / 0.5
 
 
+def first_estimate(a: str, b: str) -> Column:
+    """The same of the first FIRST_BITS bits only, written out: code is generated for this, and not for lambda functions."""
+    differ = reduce(add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(FIRST_BITS // 64)])
+    return (1 - differ / F.lit(float(FIRST_BITS)) - 0.5) / 0.5
+
+
 def _similar(a: str, b: str) -> Column:
     small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
-    return (100 * small >= THRESHOLD_PERCENT * large) & (estimate(f"{a}bits", f"{b}bits") >= THRESHOLD_PERCENT / 100 - SLACK)
+    near, least = (f"{a}bits", f"{b}bits"), THRESHOLD_PERCENT / 100
+    return (100 * small >= THRESHOLD_PERCENT * large) & (first_estimate(*near) >= least - FIRST_SLACK) & (estimate(*near) >= least - SLACK)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n_pairs: int) -> DataFrame:
@@ -249,8 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.select("rid", "text")
     side = lambda s: reps.select(F.col("v").alias(s), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"))
 
-    labels, n_labels = None, 0
-    for turn in range(HUB_ROUNDS + 1):
+    labels, n_labels, before = None, 0, None
+    for turn in count():
         if labels is None:
             labelled = banded.withColumn("label", F.col("v"))
             buckets = labelled.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("cross"), _hub(turn))
@@ -262,13 +278,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_buckets, cross = buckets.agg(F.count("*"), F.coalesce(F.sum("cross"), F.lit(0))).first()
         if not cross:
             break
-        last = turn == HUB_ROUNDS or cross <= PAIRS_PER_CLASS * n_active
+        last = cross <= PAIRS_PER_CLASS * n_active or (turn > 1 and 2 * cross > before)
+        before = cross
         if last:
-            # All pairs of different components in a bucket; the estimate is part of the join, so no other pair leaves it.
-            live = labelled.join(bounded_broadcast(buckets.select("key"), n_buckets, 40), "key")
-            x = live.select("key", F.col("v").alias("a"), F.col("label").alias("la")).join(side("a"), "a")
-            y = live.select("key", F.col("v").alias("b"), F.col("label").alias("lb")).join(side("b"), "b").withColumnRenamed("key", "kb")
-            pairs = x.join(y, (F.col("key") == F.col("kb")) & (F.col("la") < F.col("lb")) & _similar("a", "b")).select("a", "b", "la", "lb").distinct()
+            # All pairs of different components in a bucket. The estimate and the first shared bucket are part of
+            # the join, so no other pair leaves it and none leaves it twice.
+            live = scratch.table(labelled.join(bounded_broadcast(buckets.select("key"), n_buckets, 40), "key").select("key", "v", "label"), "live")
+            vectors = reps.join(live.groupBy("v").agg(F.collect_list("key").alias("keys")), "v")  # at most BANDS keys each
+            of = lambda s: live.join(vectors, "v").select(F.col("key").alias(f"{s}key"), F.col("v").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"), F.col("keys").alias(f"{s}keys"))
+            first = F.col("akey") == F.array_min(F.array_intersect("akeys", "bkeys"))
+            pairs = of("a").join(of("b"), (F.col("akey") == F.col("bkey")) & (F.col("la") < F.col("lb")) & _similar("a", "b") & first).select("a", "b", "la", "lb")
         else:
             met = labelled.join(bounded_broadcast(buckets.select("key", "hub"), n_buckets, 80), "key").where("label <> hub.label")
             met = met.select(F.col("v").alias("a"), F.col("label").alias("la"), F.col("hub.v").alias("b"), F.col("hub.label").alias("lb")).distinct()
