@@ -1,64 +1,12 @@
-"""Shared helpers: scratch tables in the shared folder, and Arrow batches."""
+"""Shared helpers: scratch tables in the shared folder, and reading a table."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where it is unset one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="mmops-")
-        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
-    return "file://" + _OWN["dir"]
-
-
-class Scratch:
-    """Written tables that cut the lineage; a lost executor costs nothing that was written.
-
-    ``keep=True`` marks a table that the returned, lazy result still reads. It stays until
-    the application's shared folder is cleared; the others go with :meth:`close`.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/mmops/{name}-{uuid.uuid4().hex}"
-        self._drop: list[str] = []
-        self._n = 0
-
-    def path(self, tag: str, keep: bool = False) -> str:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{tag}"
-        if not keep:
-            self._drop.append(path)
-        return path
-
-    def table(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-        path = self.path(tag, keep)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self._drop:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        self._drop = []
-
+from ..scratch import Scratch, bounded_broadcast, shared_dir
 
-def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
-    """``df`` with a broadcast hint where its counted rows are within the limit; else the join shuffles."""
-    return df.hint("broadcast") if rows * row_bytes <= limit_bytes else df
+__all__ = ["Scratch", "bounded_broadcast", "read_table", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
