@@ -81,6 +81,34 @@ def base_secrets(docs):
     return sorted(out, key=str)
 
 
+def all_spans(text):
+    """Every span of a text as kind:start:end, entropy ones found by counting each window anew."""
+    import math
+
+    text = text or ""
+    keys = r"(?i:password|passwd|secret|token|api_?key)"
+    base = [(m.start(), 0, m.end()) for m in re.finditer(keys + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    high = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run, kinds = m[0], {"d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in m[0]}
+        if "d" not in kinds or not kinds & {"l", "u"} or any(s <= m.start() and m.end() <= e for s, _, e in base):
+            continue
+        parts = re.split("[/_=-]", run.rstrip("0123456789"))
+        named = len(run) - len(run.rstrip("0123456789")) <= 4 and all(x.isalpha() for x in parts)
+        uuid = [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and set(run) <= set("0123456789abcdef-")
+        if named or uuid or len(set(run)) == 1 or any(k in run for k in ("EXAMPLE", "0123456789", "abcdefghijklm", "ABCDEFGHIJKLM")):
+            continue
+        least = 3.2 if set(run) <= set("0123456789abcdef") or set(run) <= set("0123456789ABCDEF") else 3.6 if kinds in ({"d", "u"}, {"d", "l"}) else 3.9
+        bits = lambda w: -sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w))
+        found = [i for i in range(len(run) - 19) if bits(run[i : i + 20]) >= least - 1e-9]
+        if found:
+            high.append((m.start() + found[0], 3, m.start() + found[-1] + 20))
+    high = [h for h in high if not any(s <= h[0] and h[2] <= e for s, _, e in base)]
+    return ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{s}:{e}" for s, k, e in sorted(base + high))
+
+
 def token_ids(texts, end):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -122,6 +122,46 @@ def test_entropy_finds_random_keys_of_each_class(spark):
     assert secrets.find_secrets(spark.createDataFrame(clean, "text string")).where(F.size("secret_spans") > 0).count() == 0
 
 
+def test_all_secret_spans_equal_plain_version(spark, docs):
+    import random
+
+    rng = random.Random(23)
+    pieces = ["password=", "token: ", "api_key='", "AKIA", "=", "/", "-", "_", " ", " ", "é", "\U0001f600", "\n", "0123456789", "EXAMPLE", "some/path-name/2024", "550e8400-e29b-41d4-a716-446655440000", "z" * 25]
+    kinds = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcABC012+/=_-", "ab1", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"]
+    run = lambda: "".join(rng.choice(alphabet) for _ in range(rng.choice((5, 19, 20, 21, 24, 40, 300, 700)))) if (alphabet := rng.choice(kinds)) else ""
+    texts = ["".join(rng.choice((rng.choice(pieces), run())) for _ in range(rng.choice((1, 3, 12, 60)))) for _ in range(300)]
+    texts += ["token=abcdef12 " * 600 + run(), "".join(rng.choice(kinds[-1]) + "a1" * 150 for _ in range(9))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    wanted = {d: brute.all_spans(t) for d, t in pairs(df)}
+    assert dict(rows(secrets.digest(secrets.find_secrets(df)), "doc_id", "spans")) == wanted
+    assert sum("entropy" in s for s in wanted.values()) > 100
+
+    def redacted(text, spans):
+        out, end = [], 0
+        places = sorted(tuple(int(x) for x in s.split(":")[1:]) for s in spans.split(",") if s)
+        for i, (a, b) in enumerate(places):
+            if i == 0 or a > end:
+                out.append(text[end:a] + "[SECRET]")
+            end = max(end, b)
+        return "".join(out) + text[end:]
+
+    assert dict(pairs(secrets.redact(df.where("text is not null")))) == {d: redacted(t, wanted[d]) for d, t in pairs(df) if t is not None}
+
+
+@pytest.mark.parametrize("text", ["aB3xY9kLmQ2rT7vW1zP5" * 50_000, "a/" * 500_000 + "1", "xy1" * 333_333, "token=abcdef12 " * 60_000])
+def test_secrets_of_very_long_texts(spark, text):
+    import time
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found, began = secrets.digest(secrets.find_secrets(df)), time.perf_counter()
+    got = found.first()
+    assert time.perf_counter() - began < 30
+    if text[0] == "t":
+        assert got.n_assign == 60_000 and got.spans.endswith(f":{len(text) - 1}")
+    else:
+        assert got.spans == ("entropy:0:1000000" if "kL" in text else "")
+
+
 def test_redact(odd):
     text = {r[0]: r[1] for r in rows(secrets.redact(odd), "doc_id", "text")}
     assert text[13] == "[SECRET] " * 3 and text[1] is None and text[2] == ""
