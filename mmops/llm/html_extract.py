@@ -11,7 +11,10 @@ or div elements, with menus, headers, footers, sidebars, notices, adverts, forms
 reader comments before, inside and after them, and with unclosed paragraphs. Nothing of it depends on the pages judged.
 
 A null or empty page, and one without main text, gives the empty text. Pages are judged one by
-one: nothing is grouped, and repeated rows give equal results. Whole pages are read, whatever their length.
+one: nothing is grouped, and repeated rows give equal results. Whole pages are read, whatever their length, in time that
+is linear in it: an open element's place is looked up, not searched for, and every character is passed once. Broken markup is
+read as the HTML standard has it: quotes open only after an equals sign, only void and foreign elements close themselves, and a
+tag that the page's end cuts off is dropped; a "<" without any ">" after it is text, and so is a quote that nothing closes.
 """
 
 from __future__ import annotations
@@ -41,66 +44,151 @@ KEYWORDS = frozenset(
     "article content post entry main story body text page prose".split()
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+FOREIGN = frozenset(("svg", "math"))
+#: Other names count as one kind, so that a block's features are bounded.
+KNOWN = VOID | SILENT | INLINE | CLOSES_P | OWN_KIND | frozenset("html head body button caption colgroup tbody tfoot thead legend label summary figcaption hgroup search".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(["'])|([^\s>"'][^\s>]*)|(?=>)))?)""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+_ENDS = {tag: re.compile(rf"</{tag}(?![a-zA-Z])[^>]*>", re.I) for tag in SILENT}
+_TELLING = frozenset(("class", "id", "role", "style", "aria-hidden", "hidden"))
 
 
 @lru_cache(maxsize=4096)
-def _words_of(attrs: str) -> tuple[str, ...]:
+def _words_of(attrs: tuple) -> tuple[str, ...]:
     found = set()
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
+    for name, value in attrs:
         if name in ("class", "id", "role"):
-            found.update(w for w in _SPLIT.split(value.lower()) if w in KEYWORDS)
-        elif name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value == "true":
+            found.update(w for w in (x.lower() for x in _SPLIT.split(value)) if w in KEYWORDS)
+        elif name == "hidden" or name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value == "true":
             found.add("hidden")
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs):
-        found.add("hidden")
     return tuple(sorted(found))
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]:
-    """[(text, ancestor tags, their key words, characters in links)] of the non-empty leaf blocks, in page order."""
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[list, bool, int]:
+    """The telling attributes of a tag from behind its name, whether it ends in a slash, and the place behind it (-1: the page ends in it)."""
+    found = []
+    while m := _ATTR.match(page, at):
+        at = m.end()
+        if m.group(1):
+            return found, page[at - 2] == "/" and m.start() < at - 1, at
+        value = m.group(4) or ""
+        if quote := m.group(3):
+            end = page.find(quote, at) if at <= last[quote] else -1
+            if end < 0:
+                end = page.find(">", at) if at <= last[">"] else len(page)
+                value, at = page[at:end], end
+            else:
+                value, at = page[at:end], end + 1
+        if (name := m.group(2).lower()) in _TELLING:
+            found.append((name, value))
+    return found, False, -1
+
+
+class _Open:
+    """The open elements: each tag's places, how many are links, and the counts of tags and key words."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.words: dict[str, int] = {}
+        self.tags: dict[str, int] = {}
+        self.blocks: list[str] = []
+
+    @property
+    def links(self) -> int:
+        return len(self.places.get("a", ()))
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, words))
+        for w in words:
+            self.words[w] = self.words.get(w, 0) + 1
+        if tag not in INLINE:
+            kind = tag if tag in KNOWN else "other"
+            self.blocks.append(kind)
+            self.tags[kind] = self.tags.get(kind, 0) + 1
+
+    def place(self, tag: str, stop: tuple[str, ...] = ()) -> int:
+        """Where the innermost ``tag`` is, if none of ``stop`` is further in; -1 if nowhere."""
+        at = (self.places.get(tag) or (-1,))[-1]
+        return at if all((self.places.get(s) or (-1,))[-1] < at for s in stop) else -1
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag, words = self.stack.pop()
+            self.places[tag].pop()
+            for w in words:
+                self.words[w] -= 1
+                if not self.words[w]:
+                    del self.words[w]
+            if tag not in INLINE:
+                kind = self.blocks.pop()
+                self.tags[kind] -= 1
+                if not self.tags[kind]:
+                    del self.tags[kind]
+
+
+def blocks(page: str | None) -> list[tuple[str, str, tuple[str, ...], tuple[str, ...], int]]:
+    """[(text, parent tag, ancestor tags, their key words, characters in links)] of the non-empty leaf blocks, in page order."""
     page, out = page or "", []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = links = 0
-    at, n = 0, len(page)
+    opened, parts = _Open(), []
+    linked, at, n = 0, 0, len(page)
+    last = {c: page.rfind(c) for c in "\"'>"}
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, tuple(t for t, _ in stack if t not in INLINE), tuple(w for _, ws in stack for w in ws), linked))
+                out.append((text, opened.blocks[-1] if opened.blocks else "-", tuple(opened.tags), tuple(opened.words), linked))
             parts.clear()
         linked = 0
 
-    def pop(tag: str, stop: frozenset = frozenset()) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                if tag not in INLINE:
-                    flush()
-                links -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+    def say(text):
+        nonlocal linked
+        parts.append(text)
+        if opened.links:
+            linked += len(text)
+
+    def pop(tag: str, stop: tuple[str, ...] = ()) -> None:
+        if (place := opened.place(tag, stop)) >= 0:
+            if tag not in INLINE:
+                flush()
+            opened.cut(place)
 
     while at < n:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        opened, closed = m.group(1), m.group(3)
-        if opened:
-            tag, attrs = opened.lower(), m.group(2)
+        start = page.find("<", at)
+        if start != at:
+            say(page[at : start if start >= 0 else n])
+            if start < 0:
+                break
+        mark = page[start + 1 : start + 2]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+        elif start > last[">"] or not (mark in ("!", "?", "/") or mark.isascii() and mark.isalpha()):
+            say("<")
+            at = start + 1
+        elif mark in ("!", "?"):
+            at = page.find(">", start) + 1
+        elif mark == "/":
+            if m := _NAME.match(page, start + 2):
+                pop(m.group().lower())
+            at = page.find(">", start) + 1
+        else:
+            m = _NAME.match(page, start + 1)
+            tag = m.group().lower()
+            attrs, slash, at = _attributes(page, m.end(), last)
+            if at < 0:
+                break
             if tag not in INLINE:
                 flush()
             if tag in SILENT:
-                if not attrs.endswith("/"):
-                    end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+                if not (slash and tag in FOREIGN):
+                    end = _ENDS[tag].search(page, at)
                     at = end.end() if end else n
                 continue
             if tag == "br":
@@ -108,21 +196,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
             if tag in VOID:
                 continue
             if tag in CLOSES_P:
-                pop("p", frozenset(("button", "td", "th", "table")))
+                pop("p", ("button", "td", "th", "table"))
             elif tag in OWN_KIND:
                 for other in (("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)):
-                    pop(other, frozenset(("ul", "ol", "dl", "table", "select")))
-            if not attrs.endswith("/"):
-                stack.append((tag, _words_of(attrs) if "=" in attrs or "hidden" in attrs else ()))
-                links += tag == "a"
-        elif closed:
-            tag = closed.lower()
-            pop(tag)
-        elif page[m.start()] != "<" or m.end() == m.start() + 1:
-            text = m.group()
-            parts.append(text)
-            if links:
-                linked += len(text)
+                    pop(other, ("ul", "ol", "dl", "table", "select"))
+            opened.push(tag, _words_of(tuple(attrs)) if attrs else ())
     flush()
     return out
 
@@ -130,13 +208,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...]
 def features(found) -> list[list[int]]:
     """Feature slots of each block of a page."""
     n, out = len(found), []
-    for i, (text, tags, words, linked) in enumerate(found):
+    for i, (text, parent, tags, words, linked) in enumerate(found):
         size, last = len(text), text[-1]
         share = linked / (size + 1)
         names = {f"t:{t}" for t in tags}
         names.update(f"w:{w}" for w in words)
         names.update((
-            "bias", f"p:{tags[-1] if tags else '-'}", f"n:{min(size, 2000).bit_length()}", f"l:{0 if share < 0.1 else 1 if share < 0.6 else 2}",
+            "bias", f"p:{parent}", f"n:{min(size, 2000).bit_length()}", f"l:{0 if share < 0.1 else 1 if share < 0.6 else 2}",
             f"e:{'stop' if last in '.!?…。' else 'colon' if last == ':' else 'other'}", f"d:{sum(map(str.isdigit, text)) * 4 > size}", f"c:{'©' in text}",
             f"a:{4 * i // n}", f"article:{'article' in tags or 'main' in tags}",
         ))

@@ -11,9 +11,9 @@ A shard holds documents in ascending key order::
 * Bloom filter: ``m`` bits with ``k`` probes by double hashing of the key's xxh3.
 * footer: offsets and lengths of both, entries, ids, ``m``, ``k`` and a magic word (fixed size).
 
-Integer keys are 8 bytes, big-endian with the sign bit flipped, so byte order is number order.
-String keys are UTF-8. A null key is the empty byte string and sorts first. Repeated keys keep
-all their entries. A null or empty text has the end id only.
+A key begins with a byte for its kind. Integers follow as 8 bytes, big-endian with the sign bit flipped, so byte order is
+number order; strings follow as UTF-8, so the empty string is a key like others. A null key is a byte of its own that sorts first. Repeated keys keep
+all their entries. A null or empty text has the end id only; a text longer than a block is one entry of a longer block.
 """
 
 from __future__ import annotations
@@ -30,23 +30,26 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .tokens import default_tokenizer_path, encoder_for
 
-MAGIC = b"MMOPSST1"
+MAGIC = b"MMOPSST2"
 FOOTER = struct.Struct("<QQQQQQQI8s")
 BLOCK_BYTES = 1 << 16
 SHARD_BYTES = 64 << 20
 BITS_PER_KEY, PROBES = 10, 7
 
 
+NULL_KEY, INTEGER_KEY, STRING_KEY = b"\x00", b"\x01", b"\x02"
+
+
 def encode_key(key) -> bytes:
     if key is None:
-        return b""
-    return key.encode() if isinstance(key, str) else struct.pack(">Q", int(key) + (1 << 63))
+        return NULL_KEY
+    return STRING_KEY + key.encode() if isinstance(key, str) else INTEGER_KEY + struct.pack(">Q", int(key) + (1 << 63))
 
 
 def decode_key(raw: bytes, kind: str):
-    if not raw:
+    if raw == NULL_KEY:
         return None
-    return raw.decode() if kind == "string" else struct.unpack(">Q", raw)[0] - (1 << 63)
+    return raw[1:].decode() if kind == "string" else struct.unpack(">Q", raw[1:])[0] - (1 << 63)
 
 
 def _put_varint(out: bytearray, n: int) -> None:

@@ -225,6 +225,17 @@ def test_shards(which, request, spark):
     assert len(found[7]) == 1 and len(found[16]) == (2 if which == "odd" else 1) and found[123456789] == []
 
 
+def test_shards_with_string_ids(spark):
+    """Null and the empty string are two keys; a document longer than a block."""
+    given = [("", "empty key"), (None, "null key"), ("é", "x"), ("a", "long words " * 60_000), ("a", None), ("ab", ""), (None, None)]
+    manifest = sstable.token_shards(spark, spark.createDataFrame(given, "doc_id string, text string"))
+    got = sorted(((r.key, zlib.crc32(r.ids)) for r in sstable.read_sstables(manifest, "string").collect()), key=str)
+    ids = brute.token_ids([t for _, t in given], 2)
+    assert got == sorted(((d, brute.crc(i)) for (d, _), i in zip(given, ids, strict=True)), key=str)
+    found = sstable.lookup(manifest, ["", None, "a", "b"])
+    assert [len(found[k]) for k in ("", None, "a", "b")] == [1, 2, 2, 0]
+
+
 def test_shard_blocks(tmp_path):
     path = str(tmp_path / "x.sst")
     filesystem, p = sstable.open_for(path)

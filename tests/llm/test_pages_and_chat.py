@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from mmops.llm import chat, html_extract, line_rules, quality_bayes
 
+from .layouts import PAGES
+
 SF = "/root/testdata/sf0.001"
 TURNS = [
     (1, 0, "user", "hi \\ \\\\ ### x </turn> \\"), (1, 1, "assistant", "a\\"), (1, 2, "user", ""), (1, 3, "assistant", None), (1, 4, "user", "bye"),
@@ -66,6 +68,35 @@ def test_html_oddities(spark, model):
     assert [b[0] for b in html_extract.blocks("<div>a<p>b<p>c<script>no</script><!-- no --></div>d<li>e<li>f")] == ["a", "b", "c", "d", "e", "f"]
 
 
+def test_layouts_by_hand(model):
+    """Of all blocks of pages that another hand laid out, nearly all are judged rightly."""
+    right = total = 0
+    for page, main in PAGES:
+        found = [b[0] for b in html_extract.blocks(page)]
+        assert all(m in found for m in main)
+        got = html_extract.main_text(model, page).split("\n\n")
+        right += sum((b in main) == (b in got) for b in found)
+        total += len(found)
+    assert right / total >= 0.9, (right, total)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>one</p><script src=http://x/>var leak=1;</script><p title=don't>two</p><p>it's three</p>", ["one", "two", "it's three"]),
+    ("a < b<p>c <b title='>'>d</b></p><svg/>e<style/>f{}</style>", ["a < b", "c d", "e"]), ("<div a=\"x>y</div><p>z</p>", ["y", "z"]), ("<p>x<br>y</p a='>'><p", ["x y", "'><p"]),
+])
+def test_broken_markup(page, want):
+    assert [b[0] for b in html_extract.blocks(page)] == want
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, '<b "' * 100_000, '<b x="' * 100_000, "<p title=don't>t</p>" * 50_000, "<" * 200_000, "<p><button>" + "<div>x" * 100_000, "<!" * 100_000, "<div>" * 50_000 + "</span>x" * 100_000])
+def test_long_pages_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.features(html_extract.blocks(page))
+    assert time.process_time() - began < 10
+
+
 def naive_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines, seen, dup = text.split("\n"), set(), 0
