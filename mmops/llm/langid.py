@@ -4,7 +4,8 @@ A word is a run of letters, lower-cased; its subwords are the n-grams of 2 to 4
 with a space before and after it, and the whole, each hashed into ``BUCKETS`` rows of an embedding. A text is the
 mean of the embeddings of all subwords of all its words, and a linear softmax over that gives its language.
 Embeddings and weights are trained together by stochastic gradient descent in numpy, on a bounded sample
-of labelled rows (``TRAIN_ROWS``; whole texts). Prediction uses embedding times weights, a score a
+of labelled rows (``TRAIN_ROWS``, ``TRAIN_BYTES``; whole texts). A text's step on its embeddings is scaled by the root of the number of its
+subwords: the plain gradient, a share of one over that number for each, hardly moves the embeddings of long texts. Prediction uses embedding times weights, a score a
 subword and language. Subwords are hashed by numpy for a whole text at once, a long one by parts of ``PART`` characters.
 
 Calibrated rejection: a part of the sample is held back from the training; a temperature is fitted to it, and
@@ -22,8 +23,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 BUCKETS, DIM = 1 << 17, 16
 TRAIN_ROWS = 3000
+TRAIN_BYTES = 48 << 20
 STEPS, RATE = 9000, 0.5
 REJECT_SHARE = 0.002
 MAX_THRESHOLD = 0.5
@@ -152,14 +156,15 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     return model
 
 
-def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """Trains on about ``train_rows`` labelled rows where ``may_learn`` holds, chosen by a hash of the id."""
+def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Trains on about ``train_rows`` labelled rows where ``may_learn`` holds, chosen by a hash of the id, and ``train_bytes`` of text at most.
+    Of several languages of one id and text the first in the alphabet holds."""
     labelled = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = docs.select(id_col, lang_col).where(may_learn & F.col(lang_col).isNotNull()).count()
     share = min(1.0, train_rows / max(1, n))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    rows = labelled.where(draw).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(2 * train_rows).collect()
-    rows.sort(key=lambda r: (r.k is None, r.k, r.t))
+    drawn = labelled.where(draw).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = bounded_sample(drawn, 2 * train_rows, train_bytes)
     return train([(r.t, r.l) for r in rows])
 
 

@@ -2,7 +2,7 @@
 
 Document evidence: two logistic classifiers, of quality and of toxicity, over hashed features of the whole text (words, beginnings
 of words, and its form). They are trained in numpy on a bounded sample of labelled documents
-(``TRAIN_ROWS``): features are chosen by the significance of their log odds, and weights are fitted by Newton steps.
+(about ``TRAIN_ROWS`` ids, ``TRAIN_BYTES`` of text at most): features are chosen by the significance of their log odds, and weights are fitted by Newton steps.
 
 Site evidence: each document belongs to a host, and to a path within it. Grouped aggregates give
 the mean probability of each; a host's mean is shrunk toward the global one and a path's toward its
@@ -14,7 +14,8 @@ never overturns a document whose own evidence is strong (``SITE_LIMIT`` in log o
 Sums are aggregated before they are shuffled, so a host with a third of all rows is one row each task.
 
 A null or empty text has the form features only. A null host or path is a group of its own. Repeated
-rows count as often as they occur. Without labels of both kinds for a question, the evidence is the
+rows count as often as they occur, and are one row in training. Of several labels of one id the least (quality, then toxic) holds;
+texts are read whole, however long, but one that exceeds ``TRAIN_BYTES`` isn't learned from. Without labels of both kinds for a question, the evidence is the
 labels' share, or else good and not toxic.
 """
 
@@ -27,9 +28,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_broadcast
+from .common import Scratch, bounded_broadcast, bounded_sample
 
 TRAIN_ROWS = 4000
+TRAIN_BYTES = 48 << 20
 FEATURES = 600
 LEAST_Z = 4.0
 L2 = 0.05
@@ -107,15 +109,14 @@ def train_one(words: list[set[str]], forms: list[list[float]], labels: list[int]
     return Classifier(dict(zip(chosen, beta[:m].tolist(), strict=True)), beta[m:-1].tolist(), float(beta[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[Classifier, Classifier]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> tuple[Classifier, Classifier]:
     """(quality, toxic) from about ``train_rows`` labelled documents, drawn by a hash of the id."""
     known = labels.select(F.col(id_col).alias("k"), F.col("quality").alias("q"), F.col("toxic").alias("x")).where(F.col("k").isNotNull())
     n = known.count()
     share = min(1.0, train_rows / max(1, n))
-    drawn = known.where(F.pmod(F.xxhash64("k", F.lit(23)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).dropDuplicates(["k"])
-    drawn = bounded_broadcast(drawn, min(n, 2 * train_rows), 32)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(drawn, "k").limit(2 * train_rows).collect()
-    rows.sort(key=lambda r: (r.k, r.t or ""))
+    drawn = known.where(F.pmod(F.xxhash64("k", F.lit(23)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).groupBy("k").agg(F.min(F.struct("q", "x")).alias("l"))
+    drawn = bounded_broadcast(drawn.select("k", "l.q", "l.x"), min(n, 2 * train_rows), 32)
+    rows = bounded_sample(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(drawn, "k"), 2 * train_rows, train_bytes)
     pool: dict[str, str] = {}  # one string for each word, however many documents have it
     words = [{pool.setdefault(w, w) for w in words_of(r.t or "")} for r in rows]
     forms = [form_of(r.t or "") for r in rows]

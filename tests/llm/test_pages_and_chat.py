@@ -168,6 +168,60 @@ def test_quality(spark):
     assert quality_bayes.fit(docs, labels.limit(0))[1].logit(set(), [0.0] * 6) < 0
 
 
+def plain_posteriors(rows, kind):
+    """The site model on lists: rows (host, path, log odds of the evidence) to posteriors."""
+    import math
+
+    p_of = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    hosts, paths = {}, {}
+    for host, path, z in rows:
+        for sums, key in ((hosts, host), (paths, (host, path))):
+            s, n = sums.get(key, (0.0, 0))
+            sums[key] = (s + p_of(z), n + 1)
+
+    def kappa(groups, prior_of):
+        total = sum(n for _, n in groups.values())
+        within = sum(s * (1 - s / n) for s, n in groups.values()) / total
+        between = sum(n * (s / n - prior_of(k)) ** 2 for k, (s, n) in groups.items()) / total
+        return min(max(within / max(between - within * len(groups) / total, 1e-9), 1.0), 1e6)
+
+    prior = sum(s for s, _ in hosts.values()) / len(rows)
+    k_host = kappa(hosts, lambda _: prior)
+    k_path = kappa(paths, lambda key: (hosts[key[0]][0] + k_host * prior) / (hosts[key[0]][1] + k_host))
+    out = []
+    for host, path, z in rows:
+        own, (hs, hn), (s, n) = p_of(z), hosts[host], paths[host, path]
+        of_host = (max(hs - own, 0) + k_host * prior) / (hn - 1 + k_host)
+        of_path = (max(s - own, 0) + k_path * of_host) / (n - 1 + k_path)
+        shift = quality_bayes.SITE_WEIGHT * (logit(of_path) - logit(prior))
+        out.append(p_of(z + min(max(shift, -quality_bayes.SITE_LIMIT), quality_bayes.SITE_LIMIT)))
+    return out
+
+
+def test_posteriors_equal_plain_version_and_hold_on_unseen_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    models = quality_bayes.fit(docs, labels.where(~held))
+    rows = quality_bayes.evidence(docs, models, "doc_id", "text", F.col("source"), F.col("lang")).orderBy("id").collect()
+    got = {r.doc_id: r for r in quality_bayes.classify(docs, models).collect()}
+    for kind in ("quality", "toxic"):
+        want = plain_posteriors([(r.host, r.path, r[kind]) for r in rows], kind)
+        assert [got[r.id][f"{kind}_score"] for r in rows] == pytest.approx(want, rel=1e-6, abs=1e-9)
+    judged = [(got[d].kept, q == 1 and x == 0) for d, q, x in labels.where(held).collect()]
+    assert len(judged) > 50 and sum(a == b for a, b in judged) / len(judged) >= 0.93
+
+
+def test_training_rows_are_defined(spark):
+    """Of several labels of one id the least holds, and two runs give one model, whatever the order of rows; long texts are passed over by bytes."""
+    docs = spark.createDataFrame([(i % 40, f"{'good' if i % 2 else 'bad'} word{i} " * 9) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = (quality_bayes.fit(d, x) for d, x in ((docs, labels), (docs.repartition(7, "text"), labels.orderBy(F.desc("quality"), F.desc("doc_id")))))
+    assert a[0].weights == b[0].weights and a[0].bias == b[0].bias and a[0].weights["good"] > 0 > a[0].weights["bad"] and not a[1].weights
+    long = docs.unionByName(spark.createDataFrame([(1, "x " * 100_000)], "doc_id long, text string"))
+    assert quality_bayes.fit(long, labels, train_bytes=100_000)[0].weights == a[0].weights
+
+
 def test_shrinkage(spark):
     """A host of many poor documents lowers an unclear one more than a host of one does."""
     models = (quality_bayes.Classifier({"bad": -6.0, "good": 6.0}, [0.0] * 6, 0.0), quality_bayes.Classifier({}, [0.0] * 6, -6.0))
