@@ -11,7 +11,7 @@ from ..functions import answers, geometry, parsing, sequences, text
 from ..operators import detection, evaluation, grounding, media, packing, records, validation
 from ..sources import readers, sinks
 from . import views
-from .views import V_BOX, V_CONV, V_DET, V_MCQ, V_PHRASE, V_SIZE, table
+from .views import V_BOX, V_CONV, V_DET, V_LINE, V_MCQ, V_PHRASE, V_SIZE, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,7 +34,10 @@ def _l(c) -> F.Column:
 
 
 TOKENS = "list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: NOT list_contains(['" + "','".join(text.STOP_WORDS) + "'], t))"
-SYNONYM = """array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({}, '\\b(?:hard hats?|safety (?:helmet|hats?))\\b', 'helmet', 'g'), '\\b(?:t|tee) shirt\\b', 'shirt', 'g'), '\\b(?:cell|mobile|smart) phone\\b', 'phone', 'g'), ' '),
+_PAIRS_SQL = "{}"
+for _name in ("helmet", "shirt", "phone"):
+    _PAIRS_SQL = f"regexp_replace({_PAIRS_SQL}, '\\b(?:" + "|".join(f"{a} {b}" for a, b, n in text.WORD_PAIRS if n == _name) + f")\\b', '{_name}', 'g')"
+SYNONYM = f"""array_to_string(list_transform(string_split({_PAIRS_SQL}, ' '),
  lambda t: CASE t """ + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.TOKEN_SYNONYMS.items()) + " ELSE t END), ' ')"
 
 
@@ -85,22 +88,23 @@ def excel_clean(spark, sf):
     return sinks.clean_text_columns(table(spark, sf, "documents").select("doc_id", t.alias("cleaned")))
 
 
-@query("SELECT doc_id, instr(caption, p) - 1 AS span_start, instr(caption, p) - 1 + length(p) AS span_end FROM (SELECT doc_id, caption, string_split(phrase, ' ')[2] AS p FROM phr) WHERE p <> '' AND instr(caption, p) > 0", V_PHRASE)
+@query("SELECT doc_id, line, place, instr(caption, p) - 1 AS span_start, instr(caption, p) - 1 + length(p) AS span_end FROM (SELECT doc_id, line, caption, unnest(range(len(runs))) AS place, unnest(runs) AS p FROM lin) WHERE instr(caption, p) > 0", V_LINE)
 def span_first(spark, sf):
-    p = views.phrases(spark, sf).withColumn("p", F.try_element_at(F.split("phrase", " "), F.lit(2)))
-    span = text.first_span(F.col("caption"), F.col("p"))
-    return p.where(span.isNotNull()).select("doc_id", _l(span[0]).alias("span_start"), _l(span[1]).alias("span_end"))
+    rows = views.lines(spark, sf)
+    places = F.transform("runs", lambda p, i: F.struct(_l(i).alias("place"), text.first_span(F.col("caption"), p).alias("span")))
+    out = rows.select("doc_id", "line", F.inline(F.filter(places, lambda x: x.span.isNotNull())))
+    return out.select("doc_id", "line", "place", _l(F.col("span")[0]).alias("span_start"), _l(F.col("span")[1]).alias("span_end"))
 
 
-@query("SELECT lang, phrase_key, min(doc_id) AS doc_id, arg_min(phrase, doc_id) AS phrase FROM (SELECT *, array_to_string(" + TOKENS.format("phrase") + ", ' ') AS phrase_key FROM phr) WHERE phrase_key <> '' GROUP BY ALL", V_PHRASE)
+@query("SELECT lang, phrase_key, min(place) AS place, arg_min(phrase, place) AS phrase FROM (SELECT *, array_to_string(" + TOKENS.format("phrase") + ", ' ') AS phrase_key FROM phr) WHERE phrase_key <> '' GROUP BY ALL", V_PHRASE)
 def phrase_dedup_keep_first(spark, sf):
-    return grounding.dedup_phrases(views.phrases(spark, sf), ["lang"], "doc_id").select("lang", "phrase_key", "doc_id", "phrase")
+    return grounding.dedup_phrases(views.phrases(spark, sf), ["lang"], "place").select("lang", "phrase_key", "place", "phrase")
 
 
 @query("""SELECT lang, source, pool, own, pool - own AS remaining FROM (SELECT lang, count(DISTINCT k) AS pool FROM k WHERE k <> '' GROUP BY lang) JOIN (SELECT lang, source, count(DISTINCT k) AS own FROM k WHERE k <> '' GROUP BY lang, source) USING (lang)""",
        V_PHRASE, "k AS (SELECT lang, source, array_to_string(" + TOKENS.format("phrase") + ", ' ') AS k FROM phr)")
 def class_pool_remaining(spark, sf):
-    return grounding.remaining_pool(views.phrases(spark, sf), "source", ["lang"], "doc_id").select("lang", "source", _l("pool").alias("pool"), _l("own").alias("own"), _l("remaining").alias("remaining"))
+    return grounding.remaining_pool(views.phrases(spark, sf), "source", ["lang"], "place").select("lang", "source", _l("pool").alias("pool"), _l("own").alias("own"), _l("remaining").alias("remaining"))
 
 
 @query("""SELECT source, CAST(count(*) FILTER (w) AS BIGINT) AS n_weak, count(*) AS n, count(*) FILTER (w) * 10 >= count(*) * 4 AS rebuild FROM
@@ -169,10 +173,11 @@ def answer_equal_numeric(spark, sf):
     return table(spark, sf, "part").select("p_partkey", answers.answers_equal(F.concat(F.lit(" "), s), F.concat(s, F.lit(" "))).alias("same"), answers.answers_equal(s, near).alias("near"), answers.answers_equal(s, F.lit("word")).alias("other"), answers.answers_equal(F.concat(F.col("p_size").cast("string")), F.lit("15/2")).alias("fraction"))
 
 
-@query("SELECT quality AS gt, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d JOIN labels USING (doc_id) GROUP BY quality")
+@query("SELECT quality AS gt, count(*) AS n FROM documents d JOIN (SELECT * FROM labels UNION ALL SELECT doc_id + 1000000000, quality, toxic FROM labels) USING (doc_id) GROUP BY quality")
 def truth_semi_join(spark, sf):
-    docs, labels = table(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id"), table(spark, sf, "labels").withColumnRenamed("quality", "gt")
-    return evaluation.with_truth(docs, labels, "doc_id").groupBy("gt").agg(F.count("*").alias("n"))
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("gt"))
+    labels = labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))  # truths of items that nothing was predicted for
+    return evaluation.with_truth(table(spark, sf, "documents").select("doc_id"), labels, "doc_id").groupBy("gt").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n_unknown FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -450,10 +455,11 @@ def project_3d(spark, sf):
 # ------------------------------------------------------------------ layout, drafts, coverage
 
 
-@query("SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired, count(*) FILTER (l.doc_id IS NULL) AS image_only, count(*) FILTER (d.doc_id IS NULL) AS label_only FROM (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired, count(*) FILTER (l.doc_id IS NULL) AS image_only, count(*) FILTER (d.doc_id IS NULL) AS label_only FROM documents d FULL JOIN (SELECT doc_id FROM labels UNION ALL SELECT doc_id + 1000000000 FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id")
 def layout_full_outer(spark, sf):
-    d, l = table(spark, sf, "documents").where("doc_id % 9 <> 0").select(F.col("doc_id").alias("stem")), table(spark, sf, "labels").select(F.col("doc_id").alias("stem"))
-    return validation.layout(d, l)
+    labels = table(spark, sf, "labels")
+    apart = labels.where("toxic = 1").select((F.col("doc_id") + 1_000_000_000).alias("stem"))  # labels beside the real ones that have no document
+    return validation.layout(table(spark, sf, "documents").select(F.col("doc_id").alias("stem")), labels.select(F.col("doc_id").alias("stem")).unionByName(apart))
 
 
 @query("SELECT lang, count(*) AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang")
@@ -518,9 +524,9 @@ def phrase_pick(spark, sf):
     return grounding.pick_phrases(d).select("stem", "obj_id", "phrase")
 
 
-@query("SELECT stem, CAST(row_number() OVER (PARTITION BY stem ORDER BY obj_id) - 1 AS BIGINT) AS annotation_id, obj_id, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area FROM box WHERE obj_id < 10", V_BOX)
+@query("SELECT stem, CAST(row_number() OVER (PARTITION BY stem ORDER BY obj_id) - 1 AS BIGINT) AS annotation_id, obj_id, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area FROM box", V_BOX)
 def export_annotations(spark, sf):
-    d = _described(spark, sf).where("obj_id < 10")
+    d = _described(spark, sf)
     groups = d.groupBy("stem").agg(F.array_sort(F.collect_list("obj_id")).alias("obj_ids")).select("stem", F.lit(0).alias("sentence_id"), "obj_ids", F.lit("all").alias("strategy"), F.lit(-1).alias("grid_cell"))
     picked = d.withColumn("phrase", F.col("phrases")[0])
     out = grounding.export_annotations(grounding.write_captions(groups, picked), d)
@@ -529,9 +535,8 @@ def export_annotations(spark, sf):
 
 @query()
 def span_assign(spark, sf):
-    words = F.split("phrase", " ")
-    p = views.phrases(spark, sf).select("doc_id", "caption", F.array("phrase", F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(2))).alias("phrases"))
-    return grounding.with_spans(p).select("doc_id", F.to_json("spans").alias("spans"))
+    p = views.lines(spark, sf).withColumnRenamed("runs", "phrases")
+    return grounding.with_spans(p).select("doc_id", "line", F.to_json("spans").alias("spans"))
 
 
 @query("SELECT stem, obj_id, CASE WHEN obj_id % 2 = 0 THEN 'model' ELSE 'fallback' END AS source, CASE WHEN obj_id % 2 = 0 THEN 1 ELSE 3 END AS n_phrases FROM box", V_BOX)

@@ -5,7 +5,7 @@ Only integer arithmetic makes them, so that both sides have equal values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,14 +80,32 @@ inferred AS (SELECT *, CASE "index" % 8 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 T
  THEN CASE WHEN contains(lower(prediction), lower("A")) THEN 'A' WHEN contains(lower(prediction), lower("B")) THEN 'B' WHEN contains(lower(prediction), lower("C")) THEN 'C' ELSE 'D' END END AS t FROM mcq))"""
 
 
+def _runs(words) -> Column:
+    """All words in runs of four, the last one shorter."""
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(4))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(4)), " "))
+
+
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, label, phrase (the first four words), caption."""
-    d = table(spark, sf_dir, "documents")
-    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
-    return d.select("doc_id", "lang", "source", F.concat(F.col("lang"), F.lit("Word")).alias("label"), F.array_join(F.slice(words, 1, 4), " ").alias("phrase"), F.col("text").alias("caption"))
+    """doc_id, place, lang, source, label, phrase: every text in phrases of four words; ``place`` rises with document and place."""
+    d = table(spark, sf_dir, "documents").withColumn("words", F.filter(F.split("text", r"[ \n]+"), lambda w: w != ""))
+    p = d.select("doc_id", "lang", "source", F.concat(F.col("lang"), F.lit("Word")).alias("label"), F.posexplode(_runs("words")).alias("k", "phrase"))
+    return p.select("doc_id", (F.col("doc_id") * 10_000_000 + F.col("k")).alias("place"), "lang", "source", "label", "phrase")
+
+
+V_PHRASE = """phr AS (SELECT doc_id, doc_id * 10000000 + unnest(range(len(runs))) AS place, lang, source, lang || 'Word' AS label, unnest(runs) AS phrase FROM (SELECT *, list_transform(range(0, len(w), 4), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) AS runs FROM
+(SELECT doc_id, lang, source, list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents)))"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line, caption, runs: every line of every text with its words in runs of four."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "caption"))
+    words = F.filter(F.split("caption", " +"), lambda w: w != "")
+    return d.withColumn("words", words).select("doc_id", F.col("line").cast("long").alias("line"), "caption", _runs("words").alias("runs"))
 
 
-V_PHRASE = """phr AS (SELECT doc_id, lang, source, lang || 'Word' AS label, array_to_string(list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '')[1:4], ' ') AS phrase, text AS caption FROM documents)"""
+V_LINE = """lin AS (SELECT doc_id, line, caption, list_transform(range(0, len(w), 4), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) AS runs FROM (SELECT doc_id, line, caption, list_filter(string_split_regex(caption, ' +'), lambda x: x <> '') AS w FROM
+(SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS caption FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))"""
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
