@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,10 +46,19 @@ def pad(values: Column, size: Column, fill) -> Column:
     return F.slice(F.concat(values.cast("array<long>"), F.array_repeat(fill, F.greatest(size - F.size(values), F.lit(0)))), F.lit(1), size)
 
 
-def cumulative_lengths(lengths: Column) -> Column:
-    """W-05: [0, l1, l1 + l2, ...]."""
-    start = F.array(F.lit(0).cast("long"))
-    return F.aggregate(lengths, start, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+def cumulative_lengths(lengths: Column, block: int = 256) -> Column:
+    """W-05: [0, l1, l1 + l2, ...]. A fold that appends copies what it has, so it runs over blocks and inside each block."""
+
+    def fold(items, at):
+        start = F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, n: F.struct((acc.at + n).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out"))
+        return F.aggregate(items, start, step, lambda acc: acc.out)
+
+    zero = F.lit(0).cast("long")
+    longs = F.concat(lengths.cast("array<bigint>"), F.array(zero))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / block).cast("int")), lambda k: F.slice(longs, k * block + 1, F.lit(block)))
+    sums = F.transform(cut, lambda b: F.aggregate(b, zero, lambda acc, n: acc + n))
+    return F.flatten(F.transform(F.arrays_zip(cut.alias("b"), fold(sums, zero).alias("at")), lambda x: fold(x["b"], x["at"])))
 
 
 def word_length(values: Column, has_image: Column) -> Column:
@@ -60,9 +71,11 @@ def signed_length(length: Column, has_media: Column) -> Column:
     return F.when(has_media, length).otherwise(-length)
 
 
-def token_total(values: Column, media_tokens: Column) -> Column:
-    """A-26 with words for tokens."""
-    return F.lit(BASE_TOKENS) + F.aggregate(values, F.lit(0), lambda acc, v: acc + F.size(words(v))) + F.coalesce(media_tokens, F.lit(0))
+def token_total(values: Column, media_tokens: Column, count: Callable[[Column], Column] | None = None) -> Column:
+    """A-26: a base, the tokens of each turn, and those of the media. ``count`` is the tokenizer: a text's tokens as a Column; words if none is given.
+    One that needs Python is a pandas UDF over the exploded turns, whose sums come here as media tokens do."""
+    count = count or (lambda v: F.size(words(v)))
+    return F.lit(BASE_TOKENS) + F.aggregate(values, F.lit(0), lambda acc, v: acc + F.coalesce(count(v), F.lit(0)).cast("int")) + F.coalesce(media_tokens, F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

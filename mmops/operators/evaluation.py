@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,19 +38,19 @@ def unknown_predictions(predictions: DataFrame, truth: DataFrame, key: str = "in
     return predictions.join(truth.select(key), key, "left_anti")
 
 
-def extract(items: DataFrame, judge: Callable | None = None, prediction: str = "prediction") -> DataFrame:
+def extract(items: DataFrame, judge: Callable | None = None, prediction: str = "prediction", tries: int = 25) -> DataFrame:
     """T-17, Q-12 and Q-14: extracted_answer, extraction_method (rule, judge, random), extraction_success, hit against ``gt``.
 
-    ``judge`` is a function of a pandas Series of prompts to one of letters, tried on what the rules leave. What it leaves too is given one
+    ``judge`` is a function of a pandas Series of prompts, or of that and the number of the try, to one of letters. It is asked for what the rules
+    leave, and again, ``tries`` times at most, for what it left open or answered with no option. What is left then is given one
     of the options by a hash of the row's index.
     """
     options = options_of(items)
     out = items.withColumn("__options", options).withColumn("__rule", answers.infer(F.col(prediction), F.col("__options")))
     if judge is not None:
-        ask = F.pandas_udf(judge, "string")
+        ask = F.pandas_udf(_asked(judge, tries), "string")
         prompt = F.when(F.col("__rule").isNull(), judge_prompt(F.col("question"), F.col("__options"), F.col(prediction)))
-        out = out.withColumn("__judge", F.when(F.col("__rule").isNull(), ask(prompt)))
-        out = out.withColumn("__judge", F.when(F.array_contains(F.map_keys("__options"), F.col("__judge")), F.col("__judge")))
+        out = out.withColumn("__judge", F.when(F.col("__rule").isNull(), ask(prompt, F.array_join(F.map_keys("__options"), ""))))
     else:
         out = out.withColumn("__judge", F.lit(None).cast("string"))
     chosen = F.coalesce("__rule", "__judge", answers.fallback_option(F.col("index"), F.col("__options")))
@@ -59,6 +60,27 @@ def extract(items: DataFrame, judge: Callable | None = None, prediction: str = "
     return out.withColumn("hit", F.coalesce(F.col("extracted_answer") == F.col("gt"), F.lit(False)).cast("int")).drop("__options", "__rule", "__judge")
 
 
+def _asked(judge: Callable, tries: int) -> Callable:
+    """The judge's letters, asked again for those that are none of the row's options."""
+    from inspect import signature
+
+    counted = len(signature(judge).parameters) > 1
+
+    def run(prompts: pd.Series, letters: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+        for turn in range(tries):
+            left = prompts[prompts.notna() & out.isna()]
+            if left.empty:
+                break
+            said = judge(left, turn) if counted else judge(left)
+            for i, answer in zip(left.index, said, strict=True):
+                if answer and (answer == "Z" or answer in letters[i]):
+                    out[i] = answer
+        return out
+
+    return run
+
+
 def accuracy(results: DataFrame, by: list[str] | None = None, hit: str = "hit") -> DataFrame:
     """A-01, A-02 and A-05: n, correct, accuracy (null for no rows); missing groups are unknown."""
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in by or []]
@@ -76,18 +98,16 @@ def subject_table(results: DataFrame, extractors: list[str], category: str = "ca
     """A-04: Subject, tot, prefetch, hit, rates in percent, and for each extractor its successes and uses, on the Overall row only."""
     prefetch = F.contains(F.coalesce(F.col(log), F.lit("")), F.lit("Prefetch succeed")).cast("int")
     base = results.select(F.coalesce(F.col(category).cast("string"), F.lit("unknown")).alias("c"), prefetch.alias("p"), F.col(hit).cast("int").alias("h"), F.col(model).alias("m"), F.col(flag).alias("f"))
-    overall = F.grouping("c") == 1
     uses = []
     for name in extractors:
         uses += [
-            F.when(F.first(F.lit(True)) & (F.grouping("c") == 1), F.count_if((F.col("m") == name) & F.col("f"))).otherwise(0).alias(f"{name}_success"),
+            F.when(F.grouping("c") == 1, F.count_if((F.col("m") == name) & F.col("f"))).otherwise(0).alias(f"{name}_success"),
             F.when(F.grouping("c") == 1, F.count_if(F.col("m") == name)).otherwise(0).alias(f"{name}_all"),
         ]
     out = base.rollup("c").agg(
         F.when(F.grouping("c") == 1, "Overall").otherwise(F.col("c")).alias("Subject"), F.count("*").alias("tot"), F.sum("p").alias("prefetch"), F.sum("h").alias("hit"),
         (F.sum("p") / F.count("*") * 100).alias("prefetch_rate"), (F.sum("h") / F.count("*") * 100).alias("acc"), *uses,
     )
-    del overall
     return out.drop("c").orderBy("Subject")
 
 
