@@ -21,7 +21,8 @@ A pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS:
 once in 50,000, and above that less often.
 
 Null and empty texts have the empty set, are linked with nothing and are kept. Rows whose id is null
-take part; a component of null ids only has a null component_id. Repeated rows are one class.
+take part; a component of null ids only has a null component_id. Repeated rows are one class. Texts are whole, however long: a
+set's minima are taken in parts, so memory holds the hashes of one text.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ BEST_HUBS = 2
 #: with drawn hubs leaves more than half of them.
 PAIRS_PER_CLASS = 4
 #: Rows a task of the tables of links, labels and buckets, which are far smaller than the texts.
-ROWS_A_TASK = 200_000
+ROWS_A_TASK = 50_000
 
 
 def shingle_hashes(data: bytes, size: int = SHINGLE):

@@ -9,8 +9,8 @@ first, then the short ones in the order of a hash, so they meet sequences of all
 Groups are packed apart, so tasks never wait for each other: each has about ``group_pieces`` pieces,
 dealt out by a hash, and leaves a few open sequences, however large the corpus is. Full
 pieces are sequences of their own. Lengths decide everything, so only lengths are shuffled unless
-``with_ids`` asks for the ids too. Null and empty texts are the end id alone; repeated rows are
-packed each for itself.
+``with_ids`` asks for the ids too. Null and empty texts are the end id alone; repeated rows and rows whose id is null are
+packed each for itself. Ids are integers; others are refused. Texts are whole, however long: one of n ids is n / capacity pieces.
 """
 
 from __future__ import annotations

@@ -155,7 +155,7 @@ def test_secrets_of_very_long_texts(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found, began = secrets.digest(secrets.find_secrets(df)), time.perf_counter()
     got = found.first()
-    assert time.perf_counter() - began < 30
+    assert time.perf_counter() - began < 60
     if text[0] == "t":
         assert got.n_assign == 60_000 and got.spans.endswith(f":{len(text) - 1}")
     else:
@@ -320,3 +320,66 @@ def test_pipeline_decides_row_by_row(spark):
     zs = [r for r in got if r[1] in (text("z"), near("z"))]
     assert len(zs) == 1
     assert sorted((r for r in got if r not in zs), key=str) == sorted([(5, text("x")), (3, text("y")), (None, text("v")), (7, text("u")), (8, None), (8, "")], key=str)
+
+
+def test_pipeline_keeps_unlike_rows_of_one_id(spark):
+    import corpus_pipeline as p
+
+    text = lambda k, last="": " ".join(f"{k}word{i}" for i in range(60)) + last
+    df = lambda given: spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    assert rows(p.near_duplicates(spark, df([(0, text("a")), (1, text("a")), (1, text("b"))]), SF)) == [(0, text("a")), (1, text("b"))]
+    assert len(rows(p.near_duplicates(spark, df([(1, text("a")), (1, text("a", " tail"))]), SF))) == 1
+
+
+def test_whole_pipeline_equals_plain_version(spark, tmp_path):
+    """Null ids, repeated ids, copies, secrets and benchmark passages among real documents; a clashing column goes along."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    long = [t for _, t in pairs(docs) if t and len(t) > 2000][:3]
+    extra = [(None, long[0] + " one tail"), (None, "x1 y2"), (7, long[1] + " password=hunter2222 and the end"), (7, "A very plain sentence that is near to nothing else here, " + item), (100_000, long[2]), (100_001, None), (100_002, "")]
+    given = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumn("lang", F.lit("de"))).withColumn("__row", F.lit("clash")).withColumn("rid", F.lit(1))
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    model = langid.fit(given, ~langid.is_held_out())
+    kept = sorted(((d, t) for d, t in pairs(given) if not model.predict(t)[2]), key=lambda r: (r[0] is None, r[0] or 0, r[1] not in {x for _, x in pairs(docs)}, r[1]))
+    alone = {i for i, _, _, keep in brute.near_duplicates([(i, t) for i, (_, t) in enumerate(kept)]) if keep}
+    kept = [r for i, r in enumerate(kept) if i in alone]
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {i for i, *_, hit in brute.contamination([(i, t) for i, (_, t) in enumerate(kept)], items) if hit}
+    kept = [r for i, r in enumerate(kept) if i not in bad]
+    clean = secrets.redact(spark.createDataFrame(kept, "doc_id long, text string"))
+    want = sorted((str(d), len(ids), brute.crc(ids)) for (d, _), ids in ((r, brute.token_ids([r[1]], 0)[0]) for r in pairs(clean)) if len(ids) <= 2048)
+    got = p.run(spark, str(tmp_path)).collect()
+    whole = sorted((str(r.doc_id), r.length, r.ids_crc32) for r in got if r.piece == 0 and r.length < 2048)
+    assert [w for w in want if w[1] < 2048] == whole and len(whole) > 50
+    assert p.run(spark, str(_empty(given, tmp_path))).count() == 0
+
+
+def _empty(given, tmp_path):
+    given.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    given.sparkSession.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    return tmp_path / "none"
+
+
+def test_packing_takes_null_ids_and_refuses_strings(spark):
+    got = packing.pack_documents(spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.piece) for r in got) == [("1", 0), ("None", 0), ("None", 0)] and len({(r.sequence_id, r.offset) for r in got}) == 3
+    with pytest.raises(TypeError):
+        packing.pack_documents(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_large_bucket_of_near_copies(spark):
+    """5,000 different near copies of one text are one component; 300 texts that share words with them, but no shingle, are apart."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = [(10 + i, " ".join(base[: i % 80] + [f"x{i}"] + base[i % 80 + 1 :])) for i in range(5000)]
+    far = [(20_000 + i, " ".join(f"z{i}q{k}" if k % 4 == 0 else w for k, w in enumerate(base))) for i in range(300)]
+    got = minhash.near_duplicates(spark.createDataFrame(near + far, "doc_id long, text string").repartition(8))
+    counts = {r.component_id: r.n for r in got.groupBy("component_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {10: 5000} | {20_000 + i: 1 for i in range(300)}
