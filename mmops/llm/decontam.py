@@ -4,12 +4,11 @@ Words are runs of letters and digits (everything beyond ASCII counts as a letter
 window is ``WINDOW`` consecutive words of an item, or the whole of a shorter item. To find every
 occurrence of every window in the documents:
 
-1. Shingles are ``SHINGLE`` consecutive words (all words of a shorter window). One pass over
-   the texts joins their hashed shingles with the items' distinct ones, which leaves only the
-   occurrences of item shingles; each carries the few words around it.
-2. Those occurrences give each item shingle its frequency in the corpus. The shingles of a window
-   are ordered by rarity. Containment must be complete, so the necessary prefix is one shingle, the
-   rarest; only its occurrences are candidates.
+1. Shingles are ``SHINGLE`` consecutive words (all words of a shorter window). A first pass over the texts counts
+   how often each of the items' shingles occurs; only counts leave it.
+2. The shingles of a window are ordered by rarity. Containment must be complete, so the necessary prefix is one
+   shingle, the rarest. A second pass joins the documents' shingles with those prefixes alone; each occurrence
+   carries the few words around it. A phrase that is common in the corpus is counted, but never written.
 3. Length and positional bounds: with the prefix shingle at place p of the window and at word q of the
    document, the window would start at q - p, which must be at least 0 and leave room for its length.
 4. The words there must equal the window's words.
@@ -17,7 +16,7 @@ occurrence of every window in the documents:
 The items' shingles are broadcast only while their counted rows stay within a bound; otherwise the
 join shuffles both sides. Nothing is grouped by shingle with its rows: counts are aggregates.
 
-Null and empty texts have no words: n_words 0, no hits. Null and empty items have no windows.
+Null and empty texts have no words: n_words 0, no hits. Texts are whole, however long; a row of a pass is one shingle. Null and empty items have no windows.
 Rows with equal or null ids are told apart inside, so a result row is made for each document row.
 """
 
@@ -28,14 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_broadcast
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 SHINGLE = 3
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text. It is split where words end, as that is far cheaper than to look for words; of ASCII texts, too, lower() is cheaper."""
+    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def shingles(words: str, size: int, place: str) -> Column:
@@ -73,27 +75,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     places = scratch.table(places, "places")
     wanted = places.select("shingle").distinct()
-    wanted = bounded_broadcast(wanted.withColumn("wanted", F.lit(True)), wanted.count(), 40)
+    wanted = bounded_broadcast(wanted, wanted.count(), 40)
+    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    cells = [shingles("words", size, "at") for size in sizes]
+    spread = words.select(F.inline(F.concat(*cells) if len(cells) > 1 else cells[0]))
+    rarity = scratch.table(spread.join(wanted, "shingle").groupBy("shingle").agg(F.count("*").alias("df")), "rarity")
+
+    # A window with a shingle that no document has can't occur: it drops out here.
+    ranked = places.join(rarity, "shingle", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("rarest"), F.first("window").alias("window"), F.first("length").alias("length"))
+    prefix = ranked.where("rarest.df > 0").select("wid", "window", "length", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place"))
+    prefix = scratch.table(prefix, "prefix")
+    n_prefix = prefix.count()
+    rarest = bounded_broadcast(prefix.select("shingle", F.lit(True).alias("wanted")).distinct(), n_prefix, 40)
 
-    # One pass over the texts. The element at -1 stays for every document and carries its words' count.
+    # The element at -1 stays for every document and carries its words' count.
     around = window - 1
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     head = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("shingle")))
-    cells = F.concat(head, *[shingles("words", size, "at") for size in sizes])
-    spread = words.select("rid", "id", "words", F.inline(cells))
-    met = spread.join(wanted, "shingle", "left").where(F.col("wanted") | (F.col("at") == -1))
+    met = words.select("rid", "id", "words", F.inline(F.concat(head, *cells))).join(rarest, "shingle", "left").where(F.col("wanted") | (F.col("at") == -1))
     first = F.greatest(F.col("at") - around, F.lit(0))
     context = F.when(F.col("at") >= 0, F.slice("words", first + 1, F.lit(2 * around + shingle)))
     met = met.select("rid", F.when(F.col("at") < 0, F.col("id")).alias("id"), "at", "shingle", F.size("words").cast("long").alias("n_words"), first.alias("first"), context.alias("context"))
     met = scratch.table(met, "met", keep=True)
-
     found = met.where("at >= 0")
-    rarity = found.groupBy("shingle").agg(F.count("*").alias("df"))
-    # A window with a shingle that no document has can't occur: it drops out of the inner joins below.
-    ranked = places.join(rarity, "shingle", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")).alias("rarest"), F.first("window").alias("window"), F.first("length").alias("length"))
-    prefix = ranked.where("rarest.df > 0").select("wid", "window", "length", F.col("rarest.shingle").alias("shingle"), F.col("rarest.place").alias("place"))
-    prefix = scratch.table(prefix, "prefix")
-    hinted = bounded_broadcast(prefix, prefix.count(), 400)
+    hinted = bounded_broadcast(prefix, n_prefix, 400)
     start = F.col("at") - F.col("place")
     candidates = found.join(hinted, "shingle").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
     hits = candidates.where(F.slice("context", start - F.col("first") + 1, F.col("length")) == F.col("window")).select("rid", "wid", start.alias("start"), "length")
