@@ -131,8 +131,8 @@ class _Open:
                     del self.tags[kind]
 
 
-def blocks(page: str | None) -> list[tuple[str, str, tuple[str, ...], tuple[str, ...], int]]:
-    """[(text, parent tag, ancestor tags, their key words, characters in links)] of the non-empty leaf blocks, in page order."""
+def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int]]:
+    """[(text, ancestor tags, their key words, characters in links)] of the non-empty leaf blocks, in page order; each tag once, the parent's last."""
     page, out = page or "", []
     opened, parts = _Open(), []
     linked, at, n = 0, 0, len(page)
@@ -143,7 +143,8 @@ def blocks(page: str | None) -> list[tuple[str, str, tuple[str, ...], tuple[str,
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, opened.blocks[-1] if opened.blocks else "-", tuple(opened.tags), tuple(opened.words), linked))
+                parent = opened.blocks[-1:]
+                out.append((text, (*[t for t in opened.tags if t not in parent], *parent), tuple(opened.words), linked))
             parts.clear()
         linked = 0
 
@@ -208,13 +209,13 @@ def blocks(page: str | None) -> list[tuple[str, str, tuple[str, ...], tuple[str,
 def features(found) -> list[list[int]]:
     """Feature slots of each block of a page."""
     n, out = len(found), []
-    for i, (text, parent, tags, words, linked) in enumerate(found):
+    for i, (text, tags, words, linked) in enumerate(found):
         size, last = len(text), text[-1]
         share = linked / (size + 1)
         names = {f"t:{t}" for t in tags}
         names.update(f"w:{w}" for w in words)
         names.update((
-            "bias", f"p:{parent}", f"n:{min(size, 2000).bit_length()}", f"l:{0 if share < 0.1 else 1 if share < 0.6 else 2}",
+            "bias", f"p:{tags[-1] if tags else '-'}", f"n:{min(size, 2000).bit_length()}", f"l:{0 if share < 0.1 else 1 if share < 0.6 else 2}",
             f"e:{'stop' if last in '.!?…。' else 'colon' if last == ':' else 'other'}", f"d:{sum(map(str.isdigit, text)) * 4 > size}", f"c:{'©' in text}",
             f"a:{4 * i // n}", f"article:{'article' in tags or 'main' in tags}",
         ))
