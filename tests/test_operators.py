@@ -280,3 +280,13 @@ def test_numbers_have_no_gaps_at_size(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert (n, distinct, low, high, falls) == (1_000_000, 1_000_000, 1, 1_000_000, 0)
+
+
+def test_substring_pairs_both_ways(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "see the red house now"), (2, "red houses"), (3, "a cat; b"), (4, None), (1, "see the red house now")], "id long, text string")
+    parts = spark.createDataFrame([(10, "the red house"), (11, "cat"), (12, "green old tree"), (13, "he red ho")], "part_id long, part string")
+    want = sorted([(1, 10), (1, 10), (1, 13), (1, 13), (3, 11)])
+    pairs = lambda: sorted((r.id, r.part_id) for r in evaluation.substring_pairs(texts, parts).collect())
+    assert pairs() == want
+    monkeypatch.setattr(evaluation, "PART_BYTES", 0)
+    assert pairs() == want
