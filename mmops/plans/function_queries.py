@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry, parsing, sequences, text
+from ..functions import answers, geometry, parsing, sequences, text
 from ..operators import detection, evaluation, grounding, packing, records, validation, workspace
 from . import views
 from .queries import SYNONYM, TOKENS, _l, query
@@ -314,3 +314,23 @@ def geometry_of_first(spark, sf):
     """A-08: the feature is to look at the first 80 files by name only."""
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file"), F.when(F.col("l_linenumber") == 1, "Rectangle ").otherwise("polygon").alias("shape_type"))
     return validation.geometry_of_first(s, "file").select("n_json", "n_shapes", "n_rectangle", "n_polygon", "geometry")
+
+
+@query("SELECT user_id, CAST(3 * count(*) AS BIGINT) AS labelled, CAST(sum(event_id + 200000) AS BIGINT) AS total FROM events GROUP BY user_id")
+def label_mask_turns(spark, sf):
+    """G-15 with an answer an event: each one's id, its close and the id after that are labelled."""
+    lit = lambda *v: F.array(*[F.lit(x).cast("long") for x in v])
+    turn = lambda e: F.concat(lit(sequences.OPEN_ID, 198), F.array(e + 200_000), lit(sequences.CLOSE_ID, 198, 5))
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.flatten(F.collect_list(turn(F.col("event_id")))).alias("ids"))
+    own = F.filter(sequences.label_mask(F.col("ids")), lambda x: x != sequences.IGNORED)
+    said = F.filter(own, lambda x: ~x.isin(sequences.CLOSE_ID, 198))
+    return g.select("user_id", _l(F.size(own)).alias("labelled"), F.aggregate(said, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part")
+def answers_equal_mixed(spark, sf):
+    """Whole numbers with decimals, neighbours, fractions with their decimals, and texts."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    other = F.when(k == 0, F.concat(size, F.lit(".0"))).when(k == 1, (F.col("p_size") + 1).cast("string")).when(k == 2, (F.col("p_size") / 2).cast("string")).otherwise(F.concat("p_name", F.lit("x")))
+    given = F.when(k == 2, F.concat(size, F.lit("/2"))).when(k == 3, F.col("p_name")).otherwise(size)
+    return table(spark, sf, "part").select("p_partkey", answers.answers_equal(given, other).alias("same"))
