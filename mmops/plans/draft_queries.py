@@ -128,7 +128,7 @@ def predictions_and_paths(spark, sf):
     return p.select("index", "prediction", drafts.absolute_path(F.lit("/data/"), path).alias("path"), drafts.frame_time(k, F.col("p_size") - 10).alias("seconds"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 500.0 WHEN quality = 0 THEN 400.0 END AS fx FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CAST(CASE WHEN quality = 1 THEN 500 WHEN quality = 0 THEN 400 END AS DOUBLE) AS fx FROM documents LEFT JOIN labels USING (doc_id)")
 def cameras(spark, sf):
     cams = table(spark, sf, "labels").select(F.col("doc_id").alias("name"), F.when(F.col("quality") == 1, 500.0).otherwise(400.0).alias("fx"))
     return drafts.with_camera(table(spark, sf, "documents").select("doc_id"), cams, "doc_id")
