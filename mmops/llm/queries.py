@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, langid, line_rules, minhash, packing, quality_bayes, secrets, sstable
+from . import chat, decontam, html_extract, langid, line_rules, minhash, packing, quality_bayes, repair, secrets, sstable
 from .common import Scratch, read_table
 
 
@@ -58,7 +58,17 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read_table(spark, sf_dir, "documents"), line_rules.train())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pack, op4_language, op5_secrets, op6_chat, op7_html, op8_sstable, op9_minhash, op10_lines)}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    found = repair.Repair(repair.damaged(turns))
+    ids = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    facts, sums = found.conversations().withColumnRenamed("conv_id", "c"), found.digests().withColumnRenamed("conv_id", "d")
+    joined = ids.join(facts, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("audit").isNotNull(), "left").join(sums, F.col("conv_id").eqNullSafe(F.col("d")) & F.col("repaired_sha256").isNotNull(), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pack, op4_language, op5_secrets, op6_chat, op7_html, op8_sstable, op9_minhash, op10_lines, op12_repair)}
 
 _OP2 = r"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
