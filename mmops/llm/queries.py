@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, langid, line_rules, minhash, packing, quality_bayes, repair, secrets, sstable
+from . import byte_bpe, chat, decontam, html_extract, langid, line_rules, minhash, packing, quality_bayes, repair, secrets, sstable
 from .common import Scratch, read_table
 
 
@@ -58,6 +58,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read_table(spark, sf_dir, "documents"), line_rules.train())
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents")))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations")
     found = repair.Repair(repair.damaged(turns))
@@ -68,7 +74,7 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pack, op4_language, op5_secrets, op6_chat, op7_html, op8_sstable, op9_minhash, op10_lines, op12_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pack, op4_language, op5_secrets, op6_chat, op7_html, op8_sstable, op9_minhash, op10_lines, op11_bpe, op12_repair)}
 
 _OP2 = r"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
