@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontam, html_extract, langid, line_rules, minhash, packing, quality_bayes, repair, secrets, sstable
+from . import align, byte_bpe, chat, decontam, html_extract, langid, line_rules, minhash, packing, quality_bayes, repair, secrets, sstable
 from .common import Scratch, read_table
 
 
@@ -74,7 +74,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pack, op4_language, op5_secrets, op6_chat, op7_html, op8_sstable, op9_minhash, op10_lines, op11_bpe, op12_repair)}
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pack, op4_language, op5_secrets, op6_chat, op7_html, op8_sstable, op9_minhash, op10_lines, op11_bpe, op12_repair, op13_align)}
 
 _OP2 = r"""
 WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
