@@ -11,7 +11,8 @@ reads again as the next stage's docs. All but the last return the columns of doc
 
 Near-dedup and decontamination write their input with an id for each row and decide by that id, so rows that share
 a doc_id, or whose doc_id is null, are decided one by one. In near-dedup the order is that of doc_id, nulls
-last, then of the rows: one row of each group stays. Rows without words are near to nothing and stay.
+last, then of the rows: one row of each group stays. Rows without words are near to nothing and stay. Other columns of
+documents go along as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,44 +21,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mmops.llm import decontam, langid, minhash, packing, secrets
-from mmops.llm.common import Scratch, bounded_broadcast, read_table
-
-
-ROW = "__row"
-
+from mmops.llm.common import Scratch, as_one, bounded_broadcast, read_table
 
 def _with_rows(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` and an id for each row. A written table, as the ids of a lazy one may change when it is read again."""
-    return Scratch(docs.sparkSession, name).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed", keep=True)
+    """(row, doc): an id for each row, and all its columns as one. A written table, as the ids of a lazy one may change when it is read again."""
+    return Scratch(docs.sparkSession, name).table(docs.select(F.monotonically_increasing_id().alias("row"), as_one(docs)), "keyed", keep=True)
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` of :func:`_with_rows` without the rows of ``bad``."""
-    return docs.join(bounded_broadcast(bad, bad.count(), 40), ROW, "left_anti").drop(ROW)
+def _without(keyed: DataFrame, bad: DataFrame) -> DataFrame:
+    """The documents of :func:`_with_rows` without the rows of ``bad``."""
+    return keyed.join(bounded_broadcast(bad, bad.count(), 40), "row", "left_anti").select("doc.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, ~langid.is_held_out())
-    judged = langid.predict(docs, model)
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    judged = langid.predict(docs.select(as_one(docs), "text"), model)
+    return judged.where(~F.col("rejected")).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _with_rows(docs, "near_duplicates")
     # Orders as doc_id does, nulls last, and is another for each row.
-    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
-    found = minhash.near_duplicates(keyed.select(order.alias(ROW), "text"), ROW)
-    return _without(keyed, found.where(~F.col("kept")).select(F.col(f"{ROW}.row").alias(ROW)))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
+    found = minhash.near_duplicates(keyed.select(order.alias("place"), "doc.text"), "place")
+    return _without(keyed, found.where(~F.col("kept")).select("place.row"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _with_rows(docs, "decontaminate")
-    found = decontam.contamination(keyed, read_table(spark, sf_dir, "benchmark"), ROW)
-    return _without(keyed, found.where("contaminated").select(ROW))
+    found = decontam.contamination(keyed.select("row", "doc.text"), read_table(spark, sf_dir, "benchmark"), "row")
+    return _without(keyed, found.where("contaminated").select("row"))
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs).select(*docs.columns)
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, bounded_broadcast, shared_dir
 
-__all__ = ["Scratch", "bounded_broadcast", "bounded_sample", "read_table", "shared_dir"]
+__all__ = ["Scratch", "as_one", "bounded_broadcast", "bounded_sample", "field", "read_table", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def field(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_one(df: DataFrame, name: str = "doc") -> Column:
+    """All columns as one struct, so that columns added beside it clash with none; ``doc.*`` has them back."""
+    return F.struct(*[field(c) for c in df.columns]).alias(name)
+
+
 def bounded_sample(rows: DataFrame, most_rows: int, most_bytes: int) -> list[Row]:
     """Rows (k, t and others) for training on the driver: at most so many, and so many bytes of text t in all.
 

@@ -22,6 +22,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_sample
 
@@ -169,9 +170,10 @@ def fit(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: st
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected. The model goes along with the tasks: 2 MB for four languages."""
+    """``docs`` with lang_pred, score and rejected; columns of these names are replaced. The model goes along with the tasks: 2 MB for four languages."""
     names = docs.columns
     at = names.index(text_col)
+    rest = [i for i, c in enumerate(names) if c not in ("lang_pred", "score", "rejected")]
 
     def judge(batches):
         import pyarrow as pa
@@ -179,10 +181,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             rows = [model.predict(t) for t in batch.column(at).to_pylist()]
             lang, score, rejected = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+            own = [batch.column(i) for i in rest]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*[names[i] for i in rest], "lang_pred", "score", "rejected"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(judge, f"{kinds}, lang_pred string, score double, rejected boolean")
+    kinds = StructType([docs.schema.fields[i] for i in rest])
+    return docs.mapInArrow(judge, kinds.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
 
 
 def is_held_out(id_col: str = "doc_id") -> Column:

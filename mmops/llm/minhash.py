@@ -12,9 +12,11 @@ their Jaccard similarity is at least 0.75.
    within ``SLACK`` of the threshold, and whose sizes allow it, are confirmed on their full sets.
 4. Large buckets never become all pairs at once: rounds of hubs (each class against its most similar hubs of
    all its buckets, fresh hubs each round) merge most of them first, for as long as a round halves the pairs of
-   different components. Then all pairs of classes that are still in different components and share a bucket
-   are judged in the join itself and leave it once, in the first bucket they share, if similar enough to be confirmed.
-   So no link between components goes unchecked; a pair that has joined already needs no check.
+   different components. Then the classes that are still in different components and share a bucket of ``LARGE`` classes at most
+   are judged pair by pair in the join itself, and leave it once, in the first such bucket they share, if similar enough to be confirmed.
+   In larger buckets, such as of unlike pages of one template, pairs are not made: their classes' shingles are put in one order, the rare
+   first, and only classes that share one of the few that a similar pair must share, at places that leave room for enough others, are
+   candidates. So no link between components goes unchecked; a pair that has joined already needs no check.
 5. Components are found by label propagation with pointer jumping, on written tables.
 
 A pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: at 0.75 a pair is missed
@@ -49,6 +51,10 @@ BEST_HUBS = 2
 #: Hub rounds end when so many cross pairs a class with candidates are left at most, or when a round
 #: with drawn hubs leaves more than half of them.
 PAIRS_PER_CLASS = 4
+#: Classes of a bucket whose pairs are judged one by one.
+LARGE = 256
+#: The order of shingles is that of counts of so many hash classes, 2 MB whatever the corpus; ties by the hash itself. Any order gives the same links.
+ORDER_BITS = 18
 #: Rows a task of the tables of links, labels and buckets, which are far smaller than the texts.
 ROWS_A_TASK = 50_000
 
@@ -187,6 +193,62 @@ def _similar(a: str, b: str) -> Column:
     return (100 * small >= THRESHOLD_PERCENT * large) & (first_estimate(*near) >= least - FIRST_SLACK) & (estimate(*near) >= least - SLACK)
 
 
+def _prefixes(rows: DataFrame, counts):
+    """Of (v, n, text): v, n, token, left (tokens from it on), low (whether a set of the same size or a larger one must find it here)."""
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for v, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                hashes = shingle_hashes(text.as_py())
+                hashes = hashes[np.lexsort((hashes, counts[hashes >> np.uint64(64 - ORDER_BITS)]))]
+                # Of sets of n, a set that is similar to one of at most its size shares one of the first n - ceil(t n) + 1
+                # tokens with it, and that one has it among its first n - ceil(2t / (1 + t) n) + 1.
+                high = n - -(-THRESHOLD_PERCENT * n // 100) + 1
+                low = n - -(-2 * THRESHOLD_PERCENT * n // (100 + THRESHOLD_PERCENT)) + 1
+                at = np.arange(high)
+                out.append((np.full(high, v), np.full(high, n), hashes[:high].view(np.int64), n - at, at < low))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["v", "n", "token", "left", "low"])
+
+    return rows.mapInArrow(cut, "v long, n long, token long, left long, low boolean")
+
+
+def _token_counts(rows: DataFrame):
+    """How often the shingles of (v, n, text) are, by the first ORDER_BITS bits of their hashes: an array of fixed size."""
+    import numpy as np
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sums = np.zeros(1 << ORDER_BITS, np.int64)
+            for text in batch.column(2).cast(pa.binary()):
+                sums += np.bincount((shingle_hashes(text.as_py()) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["at", "n"])
+
+    found = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(1 << ORDER_BITS, np.int64)
+    sums[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return sums
+
+
+def prefix_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b), a > b in size or id, of the (v, n, text) rows that may be similar by the prefixes of their sets and whose labels (v, label) differ."""
+    tokens = _prefixes(rows, _token_counts(rows)).join(labels, "v")
+    side = lambda s: [F.col("token").alias(f"{s}token"), F.col("v").alias(s), *[F.col(c).alias(f"{s}{c}") for c in ("n", "left", "label")]]
+    larger, smaller = tokens.select(side("a")), tokens.where("low").select(side("b"))
+    ordered = (F.col("bn") < F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") < F.col("a"))
+    room = (100 + THRESHOLD_PERCENT) * F.least("aleft", "bleft") >= THRESHOLD_PERCENT * (F.col("an") + F.col("bn"))
+    sizes = 100 * F.col("bn") >= THRESHOLD_PERCENT * F.col("an")
+    return larger.join(smaller, (F.col("atoken") == F.col("btoken")) & ordered & sizes & room & (F.col("alabel") != F.col("blabel"))).select("a", "b").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, n_pairs: int) -> DataFrame:
     """Those of the pairs (a, b, la, lb) whose full sets are similar enough, as la, lb; texts: rid, text."""
 
@@ -245,6 +307,19 @@ def _hub(turn: int) -> Column:
     return F.max(F.struct(rank.alias("rank"), "v", "label")).alias("hub")
 
 
+def _crowded(rows: DataFrame, reps: DataFrame, crowd: DataFrame, n_crowd: int, scratch: Scratch) -> DataFrame:
+    """(a, b, la, lb) of the classes (v, label, keys) of large buckets: of different labels, in one bucket, and similar by their signatures."""
+    named = rows.select(F.col("rid").alias("v"), F.col("n_shingles").alias("n"), "text")
+    members = scratch.table(named.join(bounded_broadcast(crowd.select("v"), n_crowd, 24), "v", "left_semi"), "members")
+    pairs = scratch.table(prefix_pairs(members, crowd.select("v", "label")), "prefix")
+    vectors = reps.join(crowd, "v")
+    of = lambda s: vectors.select(F.col("v").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"), F.col("keys").alias(f"{s}keys"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("akeys", "bkeys") & _similar("a", "b"))
+    swap = F.col("la") > F.col("lb")
+    one = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return found.select(one("a", "b").alias("a"), one("b", "a").alias("b"), one("la", "lb").alias("la"), one("lb", "la").alias("lb"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_shingles, component_id (the smallest id reachable), kept (id = component_id)."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -270,11 +345,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in count():
         if labels is None:
             labelled = banded.withColumn("label", F.col("v"))
-            buckets = labelled.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("cross"), _hub(turn))
+            buckets = labelled.groupBy("key").agg((F.count("*") * (F.count("*") - 1) / 2).alias("cross"), _hub(turn), (F.count("*") > LARGE).alias("large"))
         else:
             labelled = banded.join(bounded_broadcast(labels, n_labels, 40), "v", "left").select("v", "key", "met", F.coalesce("label", "v").alias("label"))
             each = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), _hub(turn))
-            buckets = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.max("hub").alias("hub"))
+            buckets = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.max("hub").alias("hub"), (F.sum("n") > LARGE).alias("large"))
         buckets = scratch.table(_few(buckets.where("cross > 0"), n_banded), "buckets")
         n_buckets, cross = buckets.agg(F.count("*"), F.coalesce(F.sum("cross"), F.lit(0))).first()
         if not cross:
@@ -284,11 +359,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             # All pairs of different components in a bucket. The estimate and the first shared bucket are part of
             # the join, so no other pair leaves it and none leaves it twice.
-            live = scratch.table(labelled.join(bounded_broadcast(buckets.select("key"), n_buckets, 40), "key").select("key", "v", "label"), "live")
-            vectors = reps.join(live.groupBy("v").agg(F.collect_list("key").alias("keys")), "v")  # at most BANDS keys each
-            of = lambda s: live.join(vectors, "v").select(F.col("key").alias(f"{s}key"), F.col("v").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"), F.col("keys").alias(f"{s}keys"))
+            live = scratch.table(labelled.join(bounded_broadcast(buckets.select("key", "large"), n_buckets, 41), "key").select("key", "v", "label", "large"), "live")
+            few = live.where("not large")
+            vectors = reps.join(few.groupBy("v").agg(F.collect_list("key").alias("keys")), "v")  # at most BANDS keys each
+            of = lambda s: few.join(vectors, "v").select(F.col("key").alias(f"{s}key"), F.col("v").alias(s), F.col("label").alias(f"l{s}"), F.col("n").alias(f"{s}n"), F.col("bits").alias(f"{s}bits"), F.col("keys").alias(f"{s}keys"))
             first = F.col("akey") == F.array_min(F.array_intersect("akeys", "bkeys"))
             pairs = of("a").join(of("b"), (F.col("akey") == F.col("bkey")) & (F.col("la") < F.col("lb")) & _similar("a", "b") & first).select("a", "b", "la", "lb")
+            crowd = scratch.table(live.where("large").groupBy("v").agg(F.first("label").alias("label"), F.collect_list("key").alias("keys")), "crowd")
+            n_crowd = crowd.count()
+            if n_crowd:
+                pairs = pairs.unionByName(_crowded(rows, reps, crowd, n_crowd, scratch)).distinct()
         else:
             met = labelled.join(bounded_broadcast(buckets.select("key", "hub"), n_buckets, 80), "key").where("label <> hub.label")
             met = met.select(F.col("v").alias("a"), F.col("label").alias("la"), F.col("hub.v").alias("b"), F.col("hub.label").alias("lb")).distinct()

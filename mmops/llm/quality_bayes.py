@@ -147,7 +147,7 @@ def evidence(docs: DataFrame, models: tuple[Classifier, Classifier], id_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(q, pa.float64()), pa.array(x, pa.float64())], names=["id", "host", "path", "quality", "toxic"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col))
     return rows.mapInArrow(run, f"id {kind}, host string, path string, quality double, toxic double")
 
 
@@ -185,11 +185,12 @@ def classify(docs: DataFrame, models: tuple[Classifier, Classifier], id_col: str
         total = hosts.agg(F.sum("s"), F.sum("n"), F.count("*")).first()
         prior = total[0] / total[1] if total[1] else 0.5
         kappa_host = hosts.agg(_kappa(hosts, F.lit(prior))).first()[0] or 1e6
-        of_host = hosts.select("host", F.col("s").alias("hs"), F.col("n").alias("hn"))
-        both = paths.join(of_host, "host").withColumn("of_host", (F.col("hs") + kappa_host * prior) / (F.col("hn") + kappa_host))
+        of_host = hosts.select(F.col("host").alias("h"), F.col("s").alias("hs"), F.col("n").alias("hn"))
+        both = paths.join(of_host, F.col("host").eqNullSafe(F.col("h"))).withColumn("of_host", (F.col("hs") + kappa_host * prior) / (F.col("hn") + kappa_host))
         kappa_path = both.agg(_kappa(both, F.col("of_host"))).first()[0] or 1e6
-        both = scratch.table(both.select("host", "path", *[F.col(c).alias(f"{kind}_{c}") for c in ("s", "n", "hs", "hn")]), f"{kind}-sites", keep=True)
-        out = out.join(bounded_broadcast(both, paths.count(), 200), ["host", "path"])
+        both = scratch.table(both.select(F.col("host").alias("h"), F.col("path").alias("p"), *[F.col(c).alias(f"{kind}_{c}") for c in ("s", "n", "hs", "hn")]), f"{kind}-sites", keep=True)
+        same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+        out = out.join(bounded_broadcast(both, paths.count(), 200), same).drop("h", "p")
         own = _p(F.col(kind))
         s, n, hs, hn = (F.col(f"{kind}_{c}") for c in ("s", "n", "hs", "hn"))
         host_mean = (F.greatest(hs - own, F.lit(0.0)) + kappa_host * prior) / (hn - 1 + kappa_host)

@@ -28,6 +28,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_one, field
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -171,16 +173,17 @@ def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``secret_spans``: array<struct<start, kind, end, value>>, sorted by start, then kind.
 
     kind is a place in ``KINDS``; start and end are code points, end exclusive; value is the matched
-    text of a base span and empty for an entropy span.
+    text of a base span and empty for an entropy span. A column ``secret_spans`` of ``docs`` is replaced.
     """
-    df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    kept = [c for c in docs.columns if c != "secret_spans"]
+    df = docs.select(as_one(docs), F.coalesce(field(text_col), F.lit("")).alias("__text"))
     for kind, pattern in enumerate((ASSIGN, ACCESS, HEX)):
         df = _with_spans(df, f"__k{kind}", "__text", pattern, kind)
     assign = F.filter("__k0", lambda s: F.length(F.regexp_extract(s.value, ASSIGN_VALUE, 1)) >= 6)
     access = F.filter("__k1", lambda s: F.length(s.value) >= 20)
     df = df.withColumn("__base", F.array_sort(F.concat(assign, access, "__k2"))).drop("__k0", "__k1", "__k2")
     df = _with_entropy(df, "__high", "__text", "__base")
-    return df.withColumn("secret_spans", F.array_sort(F.concat("__base", "__high"))).drop("__base", "__high", "__text")
+    return df.select(*[F.col("doc").getField(c).alias(c) for c in kept], F.array_sort(F.concat("__base", "__high")).alias("secret_spans"))
 
 
 def _named(spans: Column) -> Column:
@@ -196,18 +199,19 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; overlapping and touching spans become one."""
-    df = find_secrets(docs, text_col)
+    """``docs`` with every span of its text replaced by ``mark``; overlapping and touching spans become one. All other columns stay, whatever their names."""
+    df = find_secrets(docs.select(as_one(docs, "own"), field(text_col).alias("text")))
     df = _with_before(df, "__reach", F.transform("secret_spans", lambda s: s.end), F.greatest)
     # What stays before each run of overlapping or touching spans.
     fresh = F.filter(F.arrays_zip("secret_spans", "__reach"), lambda x: (x["secret_spans"]["start"] > x["__reach"]) | (x["secret_spans"]["start"] == 0) & (x["__reach"] == 0))
     df = df.withColumn("__gaps", F.transform(fresh, lambda x: F.struct(x["__reach"].alias("from"), x["secret_spans"]["start"].alias("to"))))
     df = df.withColumn("__blocks", in_blocks("__gaps"))
     # A block's stretch of the text is cut out first, as finding a place in a string takes as long as the place is far.
-    stretch = lambda b: F.substring(F.col(text_col), b[0]["from"] + 1, F.element_at(b, -1)["to"] - b[0]["from"])
+    stretch = lambda b: F.substring(F.col("text"), b[0]["from"] + 1, F.element_at(b, -1)["to"] - b[0]["from"])
     df = df.withColumn("__blocks", F.transform("__blocks", lambda b: F.struct(b.alias("gaps"), stretch(b).alias("stretch"))))
     piece = lambda b, g: F.concat(F.substring(b["stretch"], g["from"] - b["gaps"][0]["from"] + 1, g["to"] - g["from"]), F.lit(mark))
     pieces = F.flatten(F.transform("__blocks", lambda b: F.transform(b["gaps"], lambda g: piece(b, g))))
-    tail = F.substring(F.col(text_col), F.array_max(F.transform("secret_spans", lambda s: s.end)) + 1, F.length(text_col))
+    tail = F.substring(F.col("text"), F.array_max(F.transform("secret_spans", lambda s: s.end)) + 1, F.length("text"))
     done = F.concat(F.array_join(pieces, ""), tail)
-    return df.withColumn(text_col, F.when(F.size("secret_spans") > 0, done).otherwise(F.col(text_col))).drop("secret_spans", "__reach", "__gaps", "__blocks")
+    done = F.when(F.size("secret_spans") > 0, done).otherwise(F.col("text"))
+    return df.select(*[(done if c == text_col else F.col("own").getField(c)).alias(c) for c in docs.columns])

@@ -71,6 +71,34 @@ def test_near_duplicates_in_rounds(spark, monkeypatch):
     assert rows(minhash.near_duplicates(df)) == want
 
 
+def test_near_duplicates_of_crowded_buckets(spark, monkeypatch):
+    """Pages of one template: no link is lost, and far fewer pairs are made than a bucket has."""
+    import random
+
+    rng = random.Random(23)
+    shared = [f"s{i}" for i in range(300)]
+    page = lambda own: " ".join(shared + [f"o{rng.randrange(10**6)}" for _ in range(own)])
+    given = [(k, page(95)) for k in range(500)] + [(500 + k, page(rng.randrange(20, 160))) for k in range(60)]
+    given += [(600 + k, given[k][1] + " a tail of six words more") for k in range(0, 60, 3)] + [(700, given[3][1])]
+    want = brute.near_duplicates(given)
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    seen, prefix_pairs = [], minhash.prefix_pairs
+    monkeypatch.setattr(minhash, "prefix_pairs", lambda *a: seen.append(prefix_pairs(*a)) or seen[-1])
+    counts = []
+    monkeypatch.setattr(minhash, "_crowded", lambda *a, f=minhash._crowded: (f(*a), counts.append(seen[-1].count()))[0])
+    for large in (64, 0):
+        monkeypatch.setattr(minhash, "LARGE", large)
+        assert rows(minhash.near_duplicates(df)) == want
+    assert len(counts) == 2 and max(counts) < 20_000
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_near_duplicates_by_prefixes_alone(which, request, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 0)
+    monkeypatch.setattr(minhash, "PAIRS_PER_CLASS", 10**6)
+    test_near_duplicates(which, request)
+
+
 @pytest.mark.parametrize("which", ["odd", "docs"])
 def test_contamination(which, request, spark):
     df = request.getfixturevalue(which)
@@ -339,11 +367,16 @@ def test_whole_pipeline_equals_plain_version(spark, tmp_path):
     item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
     long = [t for _, t in pairs(docs) if t and len(t) > 2000][:3]
     extra = [(None, long[0] + " one tail"), (None, "x1 y2"), (7, long[1] + " password=hunter2222 and the end"), (7, "A very plain sentence that is near to nothing else here, " + item), (100_000, long[2]), (100_001, None), (100_002, "")]
-    given = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumn("lang", F.lit("de"))).withColumn("__row", F.lit("clash")).withColumn("rid", F.lit(1))
+    given = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumn("lang", F.lit("de")))
+    clashing = ("score", "rejected", "lang_pred", "secret_spans", "own", "doc", "row", "place", "rid", "a.b", "k", "t", *(f"__{c}" for c in ("row", "text", "base", "b", "reach", "gaps", "runs", "blocks", "f")))
+    given = given.withColumns({c: F.lit(c) for c in clashing})
     given.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     given = spark.read.parquet(f"{tmp_path}/documents.parquet")
 
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, given, str(tmp_path))
+        assert out.columns == given.columns and out.where(" or ".join(f"`{c}` <> '{c}'" for c in clashing)).count() == 0, name
     model = langid.fit(given, ~langid.is_held_out())
     kept = sorted(((d, t) for d, t in pairs(given) if not model.predict(t)[2]), key=lambda r: (r[0] is None, r[0] or 0, r[1] not in {x for _, x in pairs(docs)}, r[1]))
     alone = {i for i, _, _, keep in brute.near_duplicates([(i, t) for i, (_, t) in enumerate(kept)]) if keep}
@@ -359,6 +392,31 @@ def test_whole_pipeline_equals_plain_version(spark, tmp_path):
     assert p.run(spark, str(_empty(given, tmp_path))).count() == 0
 
 
+def test_clashing_columns_of_operators(spark):
+    df = spark.createDataFrame([(1, "password=hunter2222 and more", "x", "y", "z")], "doc_id long, text string, secret_spans string, score string, __text string")
+    found = secrets.find_secrets(df)
+    assert found.columns == ["doc_id", "text", "score", "__text", "secret_spans"] and rows(secrets.digest(found), "n_assign") == [(1,)]
+    assert [tuple(r) for r in secrets.redact(df).collect()] == [(1, "[SECRET] and more", "x", "y", "z")]
+    judged = langid.predict(df, langid.train([]))
+    assert [tuple(r) for r in judged.collect()] == [(1, "password=hunter2222 and more", "x", "z", "und", 0.0, True)]
+    assert judged.columns == ["doc_id", "text", "secret_spans", "__text", "lang_pred", "score", "rejected"]
+
+
+def test_null_and_empty_hosts_are_groups_apart(spark):
+    """A null host or path and an empty one are shrunk apart; repeated and odd rows give a row each."""
+    from mmops.llm import quality_bayes
+
+    good, bad = "a fine text about mills and tides " * 5, "zzz !!! ??? " * 9
+    given = [(k, good if k % 2 else bad, None if k % 4 < 2 else "", None) for k in range(40)] + [(1, None, "h", "p"), (None, "", None, "p"), (1, None, "h", "p")]
+    df = spark.createDataFrame([(*r, "x") for r in given], "doc_id long, text string, source string, lang string, host string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality long, toxic long")
+    found = quality_bayes.classify(df, quality_bayes.fit(df, labels)).collect()
+    assert len(found) == len(given)
+    hosts = {r.host for r in found}
+    assert hosts == {None, "", "h"}
+    assert quality_bayes.classify(df.limit(0), quality_bayes.fit(df, labels)).collect() == []
+
+
 def _empty(given, tmp_path):
     given.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     given.sparkSession.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
