@@ -7,8 +7,9 @@ attributes, and its text (length, link share, end, digits, place on the page). A
 blocks of a page; Viterbi gives the likeliest labels, and the blocks of the main text are joined by two \\n.
 
 It is trained on labelled pages, which ``labelled_pages`` writes from a grammar of layouts: articles in article, main
-or div elements, with menus, headers, footers, sidebars, notices, adverts, forms, share lists and
-reader comments before, inside and after them, and with unclosed paragraphs. Nothing of it depends on the pages judged.
+or div elements, and in nearly half of the pages in a frame that tells nothing (the body itself, a plain div, a table cell, a class of no meaning),
+with menus, headers, footers, sidebars, notices, adverts, forms, share lists and
+reader comments before, inside and after them, some of them unframed too, and with unclosed paragraphs. Nothing of it depends on the pages judged.
 
 A null or empty page, and one without main text, gives the empty text. Pages are judged one by
 one: nothing is grouped, and repeated rows give equal results. Whole pages are read, whatever their length, in time that
@@ -226,7 +227,7 @@ def features(found) -> list[list[int]]:
 # ---------------------------------------------------------------- labelled pages
 
 
-def labelled_pages(count: int = 500, seed: int = 29) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 800, seed: int = 29) -> list[tuple[str, list[str]]]:
     """[(html, texts of its main blocks)] from a grammar of layouts and invented words."""
     rng = random.Random(seed)
     pick, chance = rng.choice, lambda p: rng.random() < p
@@ -268,7 +269,7 @@ def labelled_pages(count: int = 500, seed: int = 29) -> list[tuple[str, list[str
 
     def comments():
         one = lambda: tagged(*pick((("div", "comment"), ("li", "comment reply"))), f"<b>{word()}</b>" + "".join(f"<p>{sentence(4, 30)}</p>" for _ in range(rng.randint(1, 3))))
-        return tagged(*pick((("section", "comments"), ("div", "comments discussion"), ("div", "replies"))), pick((f"<h2>{words(1, 3)}</h2>", "")) + "".join(one() for _ in range(rng.randint(1, 6))))
+        return tagged(*pick((("section", "comments"), ("div", "comments discussion"), ("div", "replies"))), pick((f"<h2>{words(1, 3)}</h2>", f"<h3>{rng.randint(1, 90)} {words(1, 2)}</h3>", "")) + "".join(one() for _ in range(rng.randint(1, 6))))
 
     def share():
         return tagged("div", pick(("share social", "sharing", "tags", "social")), pick((items(3, link), " ".join(link(1, 1) for _ in range(4)))))
@@ -277,7 +278,24 @@ def labelled_pages(count: int = 500, seed: int = 29) -> list[tuple[str, list[str
         return tagged(*pick((("header", ""), ("div", "header masthead"))), pick((f"<h1>{words(1, 3)}</h1>", f"<p>{sentence(2, 8)}</p>", link())) + pick((menu(), form(), "")))
 
     def foot():
-        return tagged(*pick((("footer", ""), ("div", "footer"), ("div", "copyright legal"))), pick((f"&copy; {word()} &middot; {sentence()}", f"<p>{sentence()}</p>", items(4, link) + sentence(), f"<p>&copy; 2021 {words(1, 3)}</p>{link()}")))
+        return tagged(*pick((("footer", ""), ("div", "footer"), ("div", "copyright legal"), ("p", "footer"))), pick((f"&copy; {word()} &middot; {sentence()}", f"{sentence(2, 6)} {sentence(2, 4)}", f"<p>{sentence()}</p>", items(4, link) + sentence(), f"<p>&copy; 2021 {words(1, 3)}</p>{link()}")))
+
+    def bare_links():
+        return pick((lambda: items(rng.randint(3, 8), link), lambda: f"<p>{' | '.join(link(1, 2) for _ in range(rng.randint(2, 6)))}</p>", lambda: f"<div>{' '.join(link(1, 2) for _ in range(rng.randint(2, 7)))}</div>"))()
+
+    def bare_foot():
+        return pick((lambda: f"<hr><p>&copy; {rng.randint(1990, 2024)} {words(1, 4)}</p>", lambda: f"<p>&copy; {words(1, 3)}. {sentence(2, 6)}</p>", lambda: f"<div>{link()} {link()} &copy; {word()}</div>", bare_links))()
+
+    def plainly(inside):
+        """The article in a frame that tells nothing."""
+        r = rng.random()
+        if r < 0.3:
+            return inside
+        if r < 0.5:
+            cells = f"<td>{pick((menu, side, bare_links))()}</td>" if chance(0.5) else ""
+            return f"<table><tr>{cells}<td>{inside}</td></tr></table>"
+        core = tagged(pick(("div", "div", "div", "section", "center")), pick(("", "", "container", "wrapper", word(), f"{word()}-output")), inside)
+        return tagged("div", pick(("", "container", word())), core) if chance(0.4) else core
 
     junk_before, junk_inside, junk_after = (menu, advert, notice, head, form, side), (advert, share, side, form), (advert, comments, side, foot, share, form, notice, menu)
 
@@ -318,14 +336,16 @@ def labelled_pages(count: int = 500, seed: int = 29) -> list[tuple[str, list[str
     pages = []
     for _ in range(count):
         main, inside = body()
-        frame = pick((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "post entry"), ("section", "story")))
+        frame = pick((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article-body"), ("div", "post entry"), ("div", "main-content"), ("div", "entry-content"), ("section", "story")))
         if chance(0.15):
             inside += comments()
-        core = tagged(*frame, inside)
-        if chance(0.2):
+        telling = chance(0.55)
+        core = tagged(*frame, inside) if telling else plainly(inside)
+        if telling and chance(0.2):
             core = tagged(*pick((("main", ""), ("div", "page"), ("div", "container"))), core + (side() if chance(0.4) else ""))
-        before = "".join(pick(junk_before)() for _ in range(rng.randint(0, 4)))
-        after = "".join(pick(junk_after)() for _ in range(rng.randint(0, 4)))
+        bare = 0.0 if telling else 0.4
+        before = "".join(bare_links() if chance(bare) else pick(junk_before)() for _ in range(rng.randint(0, 4)))
+        after = "".join(bare_foot() if chance(bare) else pick(junk_after)() for _ in range(rng.randint(0, 4)))
         if chance(0.05):
             main, core = [], ""
         pages.append((f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{before}{core}{after}</body></html>", main))

@@ -259,3 +259,28 @@ def test_block_features_read_whole_blocks():
     opening = "wenlo karimen stado berchi " * 20
     late, none = html_extract.features([(opening + "12345 67890 " * 200, ("p",), (), 0), (opening, ("p",), (), 0)])
     assert html_extract.slot("d:True") in late and html_extract.slot("d:False") in none
+
+
+FRAMES = {
+    "body": "{}", "div": "<div>{}</div>", "container": '<div class="container">{}</div>', "output": '<div id="mw-parser-output">{}</div>', "cell": "<table><tr><td>{}</td></tr></table>", "section": "<section>{}</section>",
+    "content": '<div class="content">{}</div>', "grid": '<div class="wrapper"><div class="row"><div class="col-md-8">{}</div></div></div>', "center": "<center>{}</center>", "unknown": '<div class="blogpost-xyz">{}</div>', "font": "<font size=2>{}</font>",
+    "app": '<div id="root"><div id="app"><div class="css-1x2y">{}</div></div></div>', "second cell": '<table width="100%"><tr><td><ul><li><a href="x">Old</a></ul></td><td>{}</td></tr></table>', "deep": "<div><div><div><div><div>{}</div></div></div></div></div>",
+    "layout": '<div id="page-1234"><div id="c2">{}</div></div>', "main": "<main>{}</main>", "named": '<section id="s-7">{}</section>', "article": "<article>{}</article>",
+}
+FRAMED = (
+    "The mill on the coast stores the flood behind a gate of elm, and lets it out again when the sea has gone far enough back to leave a fall.",
+    "Its miller worked by the moon and not by the clock, twice a day and an hour later on each day, in the dark as often as not.",
+    "Few of them are left. The one at the mouth of the river was mended some years ago, and it still grinds a little on open days.",
+)
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_articles_in_any_frame(frame, model):
+    """Whole pages: the article and nothing else, with or without a heading, menu and footer."""
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/c">Contact</a></li></ul>'
+    nav, foot = f"<nav>{menu}</nav>", "<footer><p>&copy; 2020 Mill Notes. All rights reserved.</p></footer>"
+    for before, after in (("", ""), (nav, foot), (menu, foot), (nav, ""), ("", "<p>&copy; 2020 Mill Notes</p>")):
+        for heading in ("", "How the mill kept its hours"):
+            inside = (f"<h1>{heading}</h1>" if heading else "") + "".join(f"<p>{p}</p>" for p in FRAMED)
+            page = f"<html><head><title>Mill</title></head><body>{before}{FRAMES[frame].format(inside)}{after}</body></html>"
+            assert html_extract.main_text(model, page) == "\n\n".join([heading, *FRAMED] if heading else FRAMED)
