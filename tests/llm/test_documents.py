@@ -108,6 +108,22 @@ def test_contamination(which, request, spark):
     assert any(r[-1] for r in got)
 
 
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_contamination_beyond_the_broadcast(which, request, spark):
+    """The shuffled way gives the same rows; so does a coarse set in which many shingles meet."""
+    df = request.getfixturevalue(which)
+    items = spark.createDataFrame(ITEMS, "item_id string, text string") if which == "odd" else spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = brute.contamination(pairs(df), [(r[0], r[1]) for r in items.select("item_id", "text").collect()])
+    assert rows(decontam.contamination(df, items, broadcast_bytes=0)) == want
+
+
+def test_items_without_id(spark):
+    """Their windows make hits, but they are no items by name."""
+    items = spark.createDataFrame([(None, "a b c"), ("x", "c d")], "item_id string, text string")
+    got = decontam.contamination(spark.createDataFrame([(1, "z a b c d")], "doc_id long, text string"), items).first()
+    assert (got.n_hit, got.n_items, got.contaminated) == (4, 1, True)
+
+
 def test_contamination_without_items(odd, spark):
     got = rows(decontam.contamination(odd, spark.createDataFrame([("z", None)], "item_id string, text string")))
     assert got == brute.contamination(pairs(odd), [])
