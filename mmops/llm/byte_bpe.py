@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 from .tokens import _LETTERS, _NUMBERS, _PLAIN
 
 LEAF_CHARS = 4096
-PART_CHARS = 32_768
-CACHE_LIMIT = 600_000
+PART_CHARS = 65_536
+CACHE_LIMIT = 250_000
 CACHED_CHARS = 48
 GROUP_PIECES = 100_000
+BATCH_BYTES = 4 << 20
 LOOK = 3  # of a contraction such as 'll
 
 # The pattern of byte-level tokenizers of this kind, for texts of the characters in _PLAIN.
@@ -95,16 +96,6 @@ class ByteBPE:
         self._names = {i: t for t, i in self._tok.get_vocab(with_added_tokens=False).items()}
         self._agree = lru_cache(maxsize=100_000)(lambda a, b: self._bpe(self._names[a] + self._names[b]) == [a, b])
 
-    @property
-    def token_bytes(self) -> list[bytes]:
-        """Each id's bytes; of ids that are not there none."""
-        alphabet = byte_alphabet()
-        vocab = self._tok.get_vocab(with_added_tokens=True)
-        found = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            found[i] = bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else token.encode()
-        return found
-
     def _bpe(self, letters: str) -> list[int]:
         return [t.id for t in self._tok.model.tokenize(letters)]
 
@@ -242,7 +233,34 @@ class ByteBPE:
             yield b"".join(ids)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """Each id's bytes; of ids that are not there none. From the file alone, as decoding needs no tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, vocab = byte_alphabet(), spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+    found = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        found[i] = bytes(map(alphabet.__getitem__, token)) if all(c in alphabet for c in token) else token.encode()
+    return found
+
+
+def _sliced(rows, names: list[str], types: list):
+    """Record batches of about BATCH_BYTES of rows; the last column counts."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
+@lru_cache(maxsize=2)
 def encoder_for(path: str, specials: bool = True, leaf_chars: int = LEAF_CHARS) -> ByteBPE:
     """One encoder a Python worker, so its cache serves all the tasks that the worker runs."""
     return ByteBPE(path, specials, leaf_chars)
@@ -257,9 +275,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def whole(batches):
         import pyarrow as pa
 
+        encoder = encoder_for(path, True, leaf_chars)
         for batch in batches:
-            ids = encoder_for(path, True, leaf_chars).encode_all(t.as_py() for t in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+            ids = encoder.encode_all(t.as_py() for t in batch.column(1))
+            yield from _sliced(zip(batch.column(0).to_pylist(), ids, strict=True), ["id", "ids"], [batch.column(0).type, pa.binary()])
 
     def parts(batches):
         import pyarrow as pa
@@ -274,11 +293,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def encoded(batches):
         import pyarrow as pa
 
+        encoder, names = encoder_for(path, True, leaf_chars), ["row", "id", "part", "text", "sizes", "counts", "ids"]
         for batch in batches:
-            found = encoder_for(path, True, leaf_chars).stretches(t.as_py() for t in batch.column(3))
-            out = [(_bytes(map(len, p)), _bytes(len(i) // 4 for i in ids), b"".join(ids)) for p, ids in found]
-            sizes, counts, ids = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.binary()) for c in (sizes, counts, ids)]], names=["row", "id", "part", "text", "sizes", "counts", "ids"])
+            found = encoder.stretches(t.as_py() for t in batch.column(3))
+            own = zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            out = ((*o, _bytes(map(len, p)), _bytes(len(i) // 4 for i in ids), b"".join(ids)) for o, (p, ids) in zip(own, found, strict=True))
+            yield from _sliced(out, names, [*[c.type for c in batch.columns], *[pa.binary()] * 3])
 
     def joined(batches):
         """Parts of a text come one after another; equal depths are joined as soon as both are there."""
@@ -327,10 +347,15 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tok
     def run(batches):
         import pyarrow as pa
 
-        table = encoder_for(path).token_bytes
+        table = token_bytes(path)
+
+        def text_of(ids: list[int]) -> str:
+            known = ids if not ids or max(ids) < len(table) else [i for i in ids if i < len(table)]
+            return b"".join(map(table.__getitem__, known)).decode("utf-8", "replace")
+
         for batch in batches:
-            texts = (b"".join([table[i] for i in _numbers(ids.as_py() or b"") if i < len(table)]).decode("utf-8", "replace") for ids in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            rows = ((i.as_py(), ids.as_py(), text_of(_numbers(ids.as_py() or b""))) for i, ids in zip(batch.column(0), batch.column(1), strict=True))
+            yield from _sliced(rows, ["id", "ids", "text"], [batch.column(0).type, pa.binary(), pa.string()])
 
     found = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids binary, text string")
     return found.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col), F.col("text").alias(text_col))
