@@ -7,7 +7,7 @@ Ties go to the smallest gap left. Pieces over an eighth of the capacity come lon
 first, then the short ones in the order of a hash, so they meet sequences of all kinds of gaps.
 
 Groups are packed apart, so tasks never wait for each other: each has about ``group_pieces`` pieces,
-dealt out by a hash, and leaves a few open sequences, however large the corpus is. Full
+dealt out by a hash of the row, whatever its id and text, and leaves a few open sequences, however large the corpus is. Full
 pieces are sequences of their own. Lengths decide everything, so only lengths are shuffled unless
 ``with_ids`` asks for the ids too. Null and empty texts are the end id alone; repeated rows and rows whose id is null are
 packed each for itself. Ids are integers; others are refused. Texts are whole, however long: one of n ids is n / capacity pieces.
@@ -68,29 +68,30 @@ class SumOfSquares:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row per piece: the id column, piece, start, length, ids_crc32, and ids as array<int> if ``with_ids``."""
+    """A row per piece: the id column, piece, start, length, ids_crc32, row (another for each document), and ids as binary if ``with_ids``."""
     path = tokenizer_path or default_tokenizer_path()
 
     def cut(batches):
         import pyarrow as pa
 
         encoder, end = encoder_for(path), struct.pack("<I", end_id)
-        names = ["row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
+        names = ["id", "piece", "start", "length", "ids_crc32", "row", *["ids"] * with_ids]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
         for batch in batches:
             rows = []
-            for row, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
+                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), row, *[part] * with_ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"{id_col} is {kind}; packing takes integer ids")
-    pieces = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, "row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
-    return pieces.withColumnRenamed("row", id_col)
+    rows = docs.select(F.col(id_col).cast("long"), text_col, F.monotonically_increasing_id())
+    pieces = rows.mapInArrow(cut, "id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids binary" * with_ids)
+    return pieces.select(F.col("id").alias(id_col), *pieces.columns[1:])
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
@@ -117,5 +118,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + s for s in seqs], pa.int64()), pa.array(offsets, pa.int64())], names=[*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.repartition(groups, F.xxhash64(id_col, "piece", "ids_crc32")).sortWithinPartitions(F.coalesce(F.when(F.col("length") > capacity // 8, -F.col("length")), F.lit(0)), F.xxhash64(id_col, "piece", "ids_crc32"), id_col, "piece")
-    return dealt.mapInArrow(pack, f"{kinds}, sequence_id long, offset long")
+    deal = F.xxhash64("row", "piece")
+    dealt = pieces.repartition(groups, deal).sortWithinPartitions(F.coalesce(F.when(F.col("length") > capacity // 8, -F.col("length")), F.lit(0)), deal, "row", "piece")
+    return dealt.mapInArrow(pack, f"{kinds}, sequence_id long, offset long").drop("row")

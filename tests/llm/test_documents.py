@@ -457,3 +457,13 @@ def test_large_bucket_of_near_copies(spark):
     got = minhash.near_duplicates(spark.createDataFrame(near + far, "doc_id long, text string").repartition(8))
     counts = {r.component_id: r.n for r in got.groupBy("component_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {10: 5000} | {20_000 + i: 1 for i in range(300)}
+
+
+def test_equal_rows_without_ids_are_dealt_out(spark):
+    """Rows of one id and one text go to all groups."""
+    df = spark.createDataFrame([(None, "a text of some words")] * 400, "doc_id long, text string")
+    packed = packing.pack_documents(df, group_pieces=50, capacity=16).collect()
+    groups = defaultdict(int)
+    for r in packed:
+        groups[r.sequence_id >> 32] += 1
+    assert len(packed) == 400 and len(groups) >= 7 and max(groups.values()) < 100
