@@ -17,16 +17,19 @@ tokens' strings are plain text. Repeated rows and rows of null ids are documents
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import default_tokenizer_path, encoder_for
+from .byte_bpe import CACHE_LIMIT, CACHED_CHARS, _bytes, default_tokenizer_path, encoder_for, token_bytes
 from .common import Scratch, bounded_broadcast
 
 GROUP_CHARS = 2_000_000
 PAIR_BYTES = 48
+#: Words, each with the spaces before it; the last also with those behind it.
+_WORDS = re.compile(r" +[^ ]+(?: +\Z)?| +\Z")
 
 
 def default_model_path() -> str:
@@ -36,7 +39,11 @@ def default_model_path() -> str:
 
 
 class PieceModel:
-    """A sentencepiece model, and each id's bytes."""
+    """A sentencepiece model, and each id's bytes.
+
+    If no piece of it has a space mark behind another character, no token crosses from a character to a space after it. A
+    text's ids are then those of its words, each with the spaces before it, and words that were seen before need no second encoding.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -45,8 +52,27 @@ class PieceModel:
         sp, ids = self.model, range(self.model.vocab_size())
         self.token_bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in ids]
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
+        self._by_words = all("▁" not in sp.id_to_piece(i).lstrip("▁") for i in ids)
+        self._cache: dict[str, tuple[bytes, bool]] = {}
+
+    def _learn(self, new: list[str]) -> dict[str, tuple[bytes, bool]]:
+        found = {}
+        for word, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
+            found[word] = _bytes(ids), b"".join([self.token_bytes[i] for i in ids]) == word.encode()
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """(ids, whether their bytes are a space and the text) of each text."""
+        held = [_WORDS.findall(" " + t) if self._by_words else [" " + t] for t in texts]
+        if len(self._cache) > CACHE_LIMIT:
+            self._cache.clear()
+        found = self._learn(list(set().union(*held).difference(self._cache)))
+        self._cache.update((w, x) for w, x in found.items() if len(w) <= CACHED_CHARS)
+        known, out = self._cache, []
+        for words in held:
+            ids = [known[w] if w in known else found[w] for w in words]
+            out.append((b"".join([x for x, _ in ids]), all(ok for _, ok in ids)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -56,14 +82,14 @@ def model_for(path: str) -> PieceModel:
 
 @lru_cache(maxsize=2)
 def _tables(path_a: str, path_b: str):
-    """Bytes of each id, their lengths, and each id's decimal with the mark after it, of both tokenizers."""
+    """The bytes in each id, and each id's decimal with the mark after it, of both tokenizers."""
     import numpy as np
 
-    a, b = encoder_for(path_a, False).token_bytes, model_for(path_b).token_bytes
+    a, b = token_bytes(path_a), model_for(path_b).token_bytes
     sizes = [np.array([len(x) for x in t], dtype=np.int64) for t in (a, b)]
     # Marks: , between a group's ids, | after its A ids, ; after its B ids.
     written = [[f"{i}{mark}" for mark in marks for i in range(len(t))] for t, marks in ((a, ",|"), (b, ",;"))]
-    return a, b, *sizes, written[0] + written[1], len(written[0])
+    return *sizes, written[0] + written[1], len(written[0])
 
 
 def shared_cuts(a_ends, b_ends):
@@ -116,18 +142,15 @@ def align(texts: list[str | None], path_a: str, path_b: str) -> list[tuple]:
     """(n_a, n_b, n_groups, n_links, groups_sha256, a ids, b ids and numbers of its distinct links as arrays) of each text."""
     import numpy as np
 
-    bytes_a, bytes_b, sizes_a, sizes_b, written, base_b = _tables(path_a, path_b)
+    sizes_a, sizes_b, written, base_b = _tables(path_a, path_b)
     texts = [t or "" for t in texts]
     raw_a = [np.frombuffer(ids, dtype="<u4").astype(np.int64) for ids in encoder_for(path_a, False).encode_all(" " + t if t else "" for t in texts)]
-    raw_b = [np.array(ids, dtype=np.int64) for ids in model_for(path_b).encode_all(texts)]
+    coded_b = model_for(path_b).encode_all(texts)
+    raw_b = [np.frombuffer(ids, dtype="<u4").astype(np.int64) for ids, _ in coded_b]
     none = np.zeros(0, dtype=np.int64)
     result: list[tuple] = [(0, 0, 0, 0, "", none, none, none)] * len(texts)
-    whole = []
-    for k, text in enumerate(texts):
-        if text:
-            want = b" " + text.encode()
-            if b"".join(map(bytes_b.__getitem__, raw_b[k].tolist())) == want and b"".join(map(bytes_a.__getitem__, raw_a[k].tolist())) == want:
-                whole.append(k)
+    # A byte-level BPE keeps each byte or drops one that it lacks, so sizes tell.
+    whole = [k for k, text in enumerate(texts) if text and coded_b[k][1] and sizes_a[raw_a[k]].sum() == len(text.encode()) + 1]
     if not whole:
         return result
     # All texts one after another: their own ends are shared cuts.
@@ -136,18 +159,23 @@ def align(texts: list[str | None], path_a: str, path_b: str) -> list[tuple]:
     a_ends, b_ends = np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b])
     cut_a, cut_b = shared_cuts(a_ends, b_ends)
     # Each stretch between neighbouring ends, of whichever side, is what one A and one B token share: a link.
-    ends = np.union1d(a_ends, b_ends)
-    link_a, link_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    both_a, both_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    both_a[cut_a], both_b[cut_b] = True, True
+    ends = np.sort(np.concatenate([a_ends * 2, b_ends[~both_b] * 2 + 1]), kind="stable")  # B's own are odd
+    of_a = ends & 1 == 0
+    of_b = ~of_a
+    of_b[of_a] = both_a
+    link_a, link_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
     # Marks after each id: the last of a group's ids has another. A and B ids in the order of groups.
     mark_a, mark_b = a.copy(), b + base_b
-    mark_a[cut_a] += len(bytes_a)
-    mark_b[cut_b] += len(bytes_b)
-    group_a, group_b = np.searchsorted(cut_a, np.arange(len(a))), np.searchsorted(cut_b, np.arange(len(b)))
+    mark_a[cut_a] += len(sizes_a)
+    mark_b[cut_b] += len(sizes_b)
+    group_a, group_b = np.cumsum(both_a) - both_a, np.cumsum(both_b) - both_b
     line = np.empty(len(a) + len(b), dtype=np.int64)
     before_b = np.concatenate([[0], cut_b + 1])  # B tokens of the groups before
     line[np.arange(len(a)) + before_b[group_a]] = mark_a
     line[np.arange(len(b)) + (cut_a + 1)[group_b]] = mark_b
-    links_of = np.searchsorted(link_a, first_a)  # links are in the order of A tokens, and no link crosses texts
+    links_of = np.searchsorted(link_a, first_a)  # links are in the order of A tokens, and none crosses texts
     groups_of = np.searchsorted(cut_a, first_a)
     for n, k in enumerate(whole):
         a0, a1, b0, b1 = first_a[n], first_a[n + 1], first_b[n], first_b[n + 1]

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from .spatial import iou_pairs, nearest
+
+__all__ = ["iou_pairs", "nearest"]
 
 COVER_CHUNK = 10
 
@@ -40,15 +43,6 @@ def crop_metadata(objects: DataFrame, ratio: float = 1.5) -> DataFrame:
     return out.withColumn("crop_name", text.crop_name(F.col("stem"), F.col("obj_id"), F.col("label"))).where("crop_box is not null")
 
 
-def iou_pairs(boxes: DataFrame, others: DataFrame, least: float = 0.1, stem: str = "stem") -> DataFrame:
-    """J-12: pairs (obj_id, other_id) of one image that overlap enough."""
-    b = others.select(stem, F.col("obj_id").alias("other_id"), *[F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")])
-    a = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    joined = boxes.select(stem, "obj_id", "x1", "y1", "x2", "y2").join(b, stem)
-    near = (F.col("x1") < F.col("ox2")) & (F.col("ox1") < F.col("x2")) & (F.col("y1") < F.col("oy2")) & (F.col("oy1") < F.col("y2"))
-    return joined.where(near).withColumn("iou", geometry.iou(a, [F.col(f"o{c}") for c in ("x1", "y1", "x2", "y2")])).where(F.col("iou") >= least).select(stem, "obj_id", "other_id", "iou")
-
-
 def match_greedy(pairs: DataFrame, stem: str = "stem") -> DataFrame:
     """Q-02: objects in order take the free partner of the highest IoU, the first of equal ones. ``pairs`` come from :func:`iou_pairs`.
 
@@ -123,16 +117,6 @@ def remaining_pool(phrases: DataFrame, own: str, cls: list[str], order: str, phr
 # ------------------------------------------------------------------ captions
 
 
-def nearest(objects: DataFrame, k: int, stem: str = "stem") -> DataFrame:
-    """J-11 and L-02: for each object its k - 1 nearest in the image, by distance of centres, then by id."""
-    c = geometry.centre(*[F.col(x) for x in ("x1", "y1", "x2", "y2")])
-    points = objects.select(stem, "obj_id", c["x"].alias("cx"), c["y"].alias("cy"))
-    others = points.select(stem, F.col("obj_id").alias("other_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    pairs = points.join(others, stem).where("obj_id <> other_id").withColumn("distance", geometry.distance(F.col("cx"), F.col("cy"), F.col("ox"), F.col("oy")))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(stem, "obj_id").orderBy("distance", "other_id")))
-    return ranked.where(F.col("rank") <= k - 1).select(stem, "obj_id", "other_id", "distance", "rank")
-
-
 def covered(captions: DataFrame, stem: str = "stem", ids: str = "obj_ids") -> DataFrame:
     """A-13 and A-14: in how many captions each object is."""
     return captions.select(stem, F.explode(ids).alias("obj_id")).groupBy(stem, "obj_id").agg(F.count("*").alias("n_captions"))

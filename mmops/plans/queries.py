@@ -17,13 +17,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *ctes: str):
+def query(sql: str | None = None, *ctes: str, recursive: bool = False):
     """Registers a query by its function's name; ``sql`` may use the views named in ``ctes``."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+            recursive = "RECURSIVE " if any("taking" in c for c in ctes) else ""
+            ORACLE[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + sql
         return f
 
     return register
@@ -423,7 +424,10 @@ def iou_pairs(spark, sf):
     return grounding.iou_pairs(views.boxes(spark, sf), views.found_boxes(spark, sf)).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query("""SELECT stem, obj_id, other_id, round(iou, 6) AS iou FROM taking WHERE other_id IS NOT NULL""", V_BOX, V_DET, _PAIRS,
+       """taking AS (SELECT stem, CAST(-1 AS BIGINT) AS obj_id, CAST(NULL AS BIGINT) AS other_id, CAST(NULL AS DOUBLE) AS iou, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT stem FROM box) UNION ALL
+SELECT t.stem, t.obj_id + 1, arg_min(p.other_id, (-p.iou, p.other_id)), max(p.iou), CASE WHEN count(p.other_id) > 0 THEN list_append(t.taken, arg_min(p.other_id, (-p.iou, p.other_id))) ELSE t.taken END
+FROM taking t JOIN box o ON o.stem = t.stem AND o.obj_id = t.obj_id + 1 LEFT JOIN pairs p ON p.stem = t.stem AND p.obj_id = t.obj_id + 1 AND p.iou >= 0.1 AND NOT list_contains(t.taken, p.other_id) GROUP BY t.stem, t.obj_id, t.taken)""", recursive=True)
 def iou_match_greedy(spark, sf):
     return grounding.match_greedy(grounding.iou_pairs(views.boxes(spark, sf), views.found_boxes(spark, sf))).withColumn("iou", F.round("iou", 6))
 
