@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions.text import strip
-from ..scratch import Scratch
+from . import substrings
 from .records import last_of_duplicates
 
 OPTION_NAMES = tuple(answers.LETTERS)
-#: Parts of a substring join are broadcast up to so many bytes.
-PART_BYTES = 64 << 20
+#: Parts of a substring join are held by the tasks up to so many bytes.
+PART_BYTES = substrings.PART_BYTES
 
 
 def options_of(df: DataFrame) -> Column:
@@ -127,31 +127,8 @@ def test_tally(results: DataFrame, problem: str = "problem", code: str = "code")
 
 
 def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part") -> DataFrame:
-    """J-14 and J-18: rows of ``texts`` whose text holds a part.
-
-    A part's longest inner word narrows the candidates to texts with that word; then the text must hold the part itself. While the parts'
-    bytes are within a bound they are broadcast, and no text is shuffled. Beyond it ids and words are joined, and only candidates'
-    texts are fetched. Parts without an inner word are a query set that is held against all texts.
-    """
-    # The part's edge words may be cut short, so its longest inner word is the key.
-    tokens = F.split(F.lower(F.col(part)), "[^a-z0-9]+")
-    inner = F.array_max(F.transform(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = parts.withColumn("__w", F.when(inner.n > 0, inner.w))
-    n, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(part)), F.lit(0))).first()
-    small = size + 64 * n <= PART_BYTES
-    words = F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9]+"))).alias("__w")
-    named = keyed.where("__w is not null")
-    if small:
-        found = texts.select("*", words).join(F.broadcast(named), "__w").where(F.contains(F.col(text), F.col(part))).drop("__w")
-    else:
-        rows = Scratch(texts.sparkSession, "parts").table(texts.withColumn("__id", F.monotonically_increasing_id()), "texts", keep=True)
-        found = rows.select("__id", words).join(named, "__w").drop("__w").join(rows, "__id").where(F.contains(F.col(text), F.col(part)))
-        found = found.select(*texts.columns, *parts.columns)
-    bare = keyed.where("__w is null").drop("__w")
-    if not bare.limit(1).count():
-        return found
-    every = texts.join(F.broadcast(bare) if small else bare, F.contains(F.col(text), F.col(part)))
-    return found.unionByName(every)
+    """J-14 and J-18: rows of ``texts`` with the rows of ``parts`` that their text holds."""
+    return substrings.substring_pairs(texts, parts, text, part, PART_BYTES)
 
 
 # ------------------------------------------------------------------ prompts (own wording)

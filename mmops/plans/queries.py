@@ -198,6 +198,14 @@ def substring_leakage(spark, sf):
     return evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), parts).select("doc_id", "item_id")
 
 
+@query("SELECT doc_id, count(*) AS n_parts, CAST(sum(length(w)) AS BIGINT) AS n_chars, min(w) AS first_part FROM documents JOIN (SELECT DISTINCT unnest(string_split(text, ' ') || string_split(left(text, 40), '') || [text]) AS w FROM benchmark) ON contains(text, w) GROUP BY doc_id")
+def substring_words(spark, sf):
+    b = table(spark, sf, "benchmark")
+    words = b.select(F.explode(F.concat(F.split("text", " "), F.split(F.left("text", F.lit(40)), ""), F.array("text"))).alias("w")).distinct()
+    found = evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), words, part="w")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.length("w")).cast("long").alias("n_chars"), F.min("w").alias("first_part"))
+
+
 @query("SELECT p_brand AS problem, count(*) FILTER (c = 1) AS passed, count(*) FILTER (c = 0) AS failed, count(*) FILTER (c = -1) AS timeout, count(*) FILTER (c = -2) AS error, round(count(*) FILTER (c = 1) / count(*), 6) AS accuracy, bool_and(c = 1) AS all_passed FROM (SELECT p_brand, p_partkey % 4 - 2 AS c FROM part) GROUP BY p_brand")
 def test_tally(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_brand").alias("problem"), (F.col("p_partkey") % 4 - 2).alias("code"))
