@@ -16,9 +16,11 @@ from .grounding import pick_phrases, used_phrases, with_spans
 from .records import numbered
 from .workspace import IMAGE_FOLDERS
 
+# Most phrases to avoid and to lock, most modifiers and features, and missing files shown.
 MOST_AVOIDED, MOST_LOCKED, MOST_MODIFIERS, MOST_FEATURES = 16, 8, 12, 2
 MISSING_SHOWN = 5
 CHOSEN = "array<struct<obj_id:long,phrase:string>>"
+ITEMS = "array<struct<obj_id:long,phrase:string,keep_source_label:boolean,features:array<string>>>"
 
 
 # ------------------------------------------------------------------ captions
@@ -32,30 +34,55 @@ def chosen_phrases(phrases: Column) -> Column:
 
 
 def _written(rows: DataFrame, write: Callable[[Column], Column]) -> DataFrame:
-    """Caption and spans of rows with ``phrases``; a caption without phrases is empty, and so is its translation."""
+    """Caption and spans of rows with ``phrases``; a caption without phrases is empty."""
     none = F.size("phrases") == 0
     rows = rows.withColumn("caption", F.when(none, "").otherwise(write(F.transform("phrases", lambda p: p.phrase)))).withColumn("__p", F.transform("phrases", lambda p: p.phrase))
     return with_spans(rows, phrases="__p", complete=True).drop("__p")
 
 
+def phrase_items(df: DataFrame, phrases: str) -> Column:
+    """The phrases of a column as ``ITEMS``; fields that its structs lack are false and null."""
+    names = df.schema[phrases].dataType.elementType.names
+    keep = lambda p: F.coalesce(p.keep_source_label, F.lit(False)) if "keep_source_label" in names else F.lit(False)
+    features = lambda p: p.features if "features" in names else F.lit(None).cast("array<string>")
+    return F.transform(phrases, lambda p: F.struct(p.obj_id.cast("long").alias("obj_id"), p.phrase.alias("phrase"), keep(p).alias("keep_source_label"), features(p).alias("features")))
+
+
+def chosen_items(items: Column) -> Column:
+    """``ITEMS`` trimmed, with two features at most, without empty phrases and those of no object, once each by object, text without regard to case,
+    and whether the label is kept."""
+    features = lambda p: F.slice(F.filter(F.transform(p.features, text.strip), lambda f: f != ""), 1, MOST_FEATURES)
+    clean = F.transform(items, lambda p: F.struct(p.obj_id.alias("obj_id"), text.strip(p.phrase).alias("phrase"), p.keep_source_label.alias("keep_source_label"), F.when(F.size(features(p)) > 0, features(p)).alias("features")))
+    clean = F.filter(clean, lambda p: p.obj_id.isNotNull() & (p.phrase != ""))
+    key = lambda p: F.struct(p.obj_id, F.lower(p.phrase), p.keep_source_label)
+    # Both arrays are bound once.
+    return F.transform(F.array(clean), lambda c: F.transform(F.array(F.transform(c, key)), lambda keys: F.filter(c, lambda p, i: F.array_position(keys, key(p)) == i + 1))[0])[0]
+
+
 def refresh_captions(captions: DataFrame, requests: DataFrame, descriptions: DataFrame, write: Callable[[Column], Column] = text.template_caption, stem: str = "stem") -> DataFrame:
     """Q-11: the captions asked for in ``requests`` (stem, sentence_id, phrases or null) written anew; the others stay as they are.
 
     A request's phrases, else the caption's own, are kept; objects are never lost, and those of phrases are added. Phrases given as an empty
-    list make an empty caption. A caption whose phrases are null gets fresh ones for its objects that no caption of the image has chosen.
+    list make an empty caption. A caption whose phrases are null gets fresh ones for its objects that no caption of the image has chosen. All columns stay; of a
+    caption written anew the translation ``zh`` is emptied, as it says something else, and a strategy it lacks is refresh. Sentences are numbered anew from 0.
     """
-    asked = requests.select(stem, "sentence_id", F.col("phrases").alias("__new"), F.lit(True).alias("__asked"))
-    joined = captions.join(asked, [stem, "sentence_id"], "left")
-    todo = joined.where("__asked").withColumn("__chosen", chosen_phrases(F.coalesce("__new", "phrases")))
+    asked = requests.select(stem, "sentence_id", phrase_items(requests, "phrases").alias("__new"), F.lit(True).alias("__asked"))
+    given = captions.withColumn("phrases", phrase_items(captions, "phrases"))
+    joined = given.join(asked, [stem, "sentence_id"], "left")
+    todo = joined.where("__asked").withColumn("__chosen", chosen_items(F.coalesce("__new", "phrases")))
     spread = todo.where("__chosen is null").select(stem, "sentence_id", F.posexplode("obj_ids").alias("pos", "obj_id"))
-    fresh = pick_phrases(descriptions, used_phrases(captions, stem), stem=stem).select(stem, "obj_id", "phrase")
-    drawn = spread.join(fresh, [stem, "obj_id"]).groupBy(stem, "sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", "obj_id", "phrase"))).alias("__d"))
-    drawn = drawn.select(stem, "sentence_id", F.transform("__d", lambda d: F.struct(d.obj_id.alias("obj_id"), d.phrase.alias("phrase"))).alias("__drawn"))
-    todo = todo.join(drawn, [stem, "sentence_id"], "left").withColumn("phrases", F.coalesce("__chosen", "__drawn", F.array().cast(CHOSEN)))
+    fresh = pick_phrases(descriptions, used_phrases(captions, stem), stem=stem).select(stem, "obj_id", "phrase", "keep_source_label", "features")
+    drawn = spread.join(fresh, [stem, "obj_id"]).groupBy(stem, "sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", "obj_id", "phrase", "keep_source_label", "features"))).alias("__d"))
+    drawn = drawn.select(stem, "sentence_id", F.transform("__d", lambda d: F.struct(d.obj_id.cast("long").alias("obj_id"), d.phrase.alias("phrase"), d.keep_source_label.alias("keep_source_label"), d.features.alias("features"))).alias("__drawn"))
+    todo = todo.join(drawn, [stem, "sentence_id"], "left").withColumn("phrases", F.coalesce("__chosen", "__drawn", F.array().cast(ITEMS)))
     todo = todo.withColumn("obj_ids", F.array_distinct(F.concat("obj_ids", F.transform("phrases", lambda p: p.obj_id))))
-    done = _written(todo, write).select(stem, "sentence_id", "obj_ids", "phrases", "caption", "spans")
-    kept = joined.where("__asked is null").select(stem, "sentence_id", "obj_ids", chosen_phrases(F.col("phrases")).alias("phrases"), "caption", "spans")
-    return kept.unionByName(done)
+    if "zh" in captions.columns:
+        todo = todo.withColumn("zh", F.lit(""))
+    if "strategy" in captions.columns:
+        todo = todo.withColumn("strategy", F.when(F.col("__chosen").isNull(), F.col("strategy")).otherwise(F.coalesce("strategy", F.lit("refresh"))))
+    done = _written(todo, write).select(*captions.columns)
+    both = joined.where("__asked is null").select(*captions.columns).unionByName(done)
+    return both.withColumn("sentence_id", F.row_number().over(Window.partitionBy(stem).orderBy("sentence_id")) - 1)
 
 
 def save_captions(captions: DataFrame) -> DataFrame:
