@@ -80,71 +80,118 @@ SLOTS = tuple((area, limit, t) for area, limit in COUNTED for t in THRESHOLDS)
 SKIPPED, MISS, HIT = 0, 1, 2
 
 
-def match_image(truths: list, found: list) -> list[bytes]:
-    """One image and category: truths [(box xywh, area, crowd)], detections [box xywh] in order, best first.
+def match_groups(truth_boxes, truth_areas, truth_crowd, truth_starts, found_boxes, found_starts):
+    """Codes (a row a detection, a column a slot) of many groups, each an image's truths and detections of one category, best first.
 
-    A byte a slot for each detection: skipped (ignored, or beyond the slot's limit), a miss or a hit. A detection takes the free truth of the
-    highest overlap; of equal ones the later. An ignored truth is taken only if no other reaches the threshold.
+    Group k's rows are ``starts[k]`` to ``starts[k + 1]``; boxes are xywh. A code is skipped (ignored, or beyond the slot's limit), a miss or a hit. A detection
+    takes the free truth of the highest overlap; of equal ones the later. An ignored truth is taken only if no other reaches the threshold.
+    All pairs of a group that overlap enough are found at once; then the groups' first detections choose together, then their second ones, and so on, with
+    areas and thresholds as axes.
     """
+    import numpy as np
+
+    n_groups, n = len(found_starts) - 1, len(found_boxes)
+    codes = np.zeros((n, len(SLOTS)), np.uint8)
+    if not n:
+        return codes
+    n_truths, n_found = np.diff(truth_starts), np.diff(found_starts)
+    group = np.repeat(np.arange(n_groups), n_found)
+    place = np.arange(n) - np.repeat(found_starts[:-1], n_found)
+    bounds = np.array(list(AREAS.values()), dtype=float)
+    thresholds = np.array(THRESHOLDS)
+    size = found_boxes[:, 2] * found_boxes[:, 3]
+    outside = ~((bounds[:, 0] <= size[:, None]) & (size[:, None] <= bounds[:, 1]))
+    ignored = truth_crowd[:, None] | ~((bounds[:, 0] <= truth_areas[:, None]) & (truth_areas[:, None] <= bounds[:, 1]))
+
+    # Pairs of a detection and each truth of its group, a bounded number of detections at a time, and of these only such as overlap enough for some threshold.
+    each = n_truths[group]
+    kept = []
+    for part in np.split(np.arange(n), np.searchsorted(np.cumsum(each), np.arange(1 << 21, int(each.sum()) + 1, 1 << 21))):
+        det = np.repeat(part, each[part])
+        own = np.arange(len(det)) - np.repeat(np.cumsum(each[part]) - each[part], each[part]) + truth_starts[:-1][group[det]]
+        d, t = found_boxes[det], truth_boxes[own]
+        w = np.minimum(d[:, 0] + d[:, 2], t[:, 0] + t[:, 2]) - np.maximum(d[:, 0], t[:, 0])
+        h = np.minimum(d[:, 1] + d[:, 3], t[:, 1] + t[:, 3]) - np.maximum(d[:, 1], t[:, 1])
+        both = np.maximum(w, 0.0) * np.maximum(h, 0.0)
+        union = np.where(truth_crowd[own], d[:, 2] * d[:, 3], d[:, 2] * d[:, 3] + t[:, 2] * t[:, 3] - both)
+        over = np.where(union > 0, both / np.where(union > 0, union, 1.0), 0.0)
+        near = over >= thresholds.min() - 1e-9
+        kept.append((det[near], own[near], over[near]))
+    det, own, over = (np.concatenate(c) for c in zip(*kept, strict=True))
+    order = np.lexsort((own, over, det))  # of a detection the best pair last
+    det, own, over = det[order], own[order], over[order]
+    first = np.searchsorted(det, np.arange(n + 1))
+
+    enough = over[:, None] >= np.minimum(thresholds, 1 - 1e-10)
+    taken = np.zeros((len(truth_boxes), len(bounds), len(thresholds)), bool)
+    slot_area = [list(AREAS).index(area) for area, _ in COUNTED]
+    by_place = np.argsort(place, kind="stable")
+    for chosen in np.split(by_place, np.searchsorted(place[by_place], np.arange(1, place.max() + 1))):
+        result = np.where(outside[chosen], SKIPPED, MISS).astype(np.uint8)[:, :, None].repeat(len(thresholds), axis=2)
+        has = chosen[first[chosen + 1] > first[chosen]]
+        if len(has):
+            counts = first[has + 1] - first[has]
+            begins = np.cumsum(counts) - counts
+            pairs = np.arange(counts.sum()) - np.repeat(begins, counts) + np.repeat(first[has], counts)
+            truth = own[pairs]
+            free = enough[pairs][:, None, :] & (~taken[truth] | truth_crowd[truth][:, None, None])
+            # The key of a pair: others before ignored ones, then the pair's place.
+            key = np.where(free, (~ignored[truth][:, :, None]).astype(np.int64) * len(det) + pairs[:, None, None], -1)
+            best = np.maximum.reduceat(key, begins, axis=0)
+            k, area, step = np.nonzero(best >= 0)
+            met = own[best[k, area, step] % len(det)]
+            taken[met, area, step] = True
+            at = np.searchsorted(chosen, has) if np.all(np.diff(chosen) > 0) else np.flatnonzero(np.isin(chosen, has))
+            result[at[k], area, step] = np.where(ignored[met, area], SKIPPED, HIT)
+        here = place[chosen[0]]
+        for c, (_, limit) in enumerate(COUNTED):
+            if here < limit:
+                codes[chosen, c * len(thresholds) : (c + 1) * len(thresholds)] = result[:, slot_area[c]]
+    return codes
 
-    def overlap(d, t, crowd):
-        w = min(d[0] + d[2], t[0] + t[2]) - max(d[0], t[0])
-        h = min(d[1] + d[3], t[1] + t[3]) - max(d[1], t[1])
-        both = max(w, 0.0) * max(h, 0.0)
-        union = d[2] * d[3] if crowd else d[2] * d[3] + t[2] * t[3] - both
-        return both / union if union > 0 else 0.0
-
-    least = min(THRESHOLDS)
-    # Only truths that a detection overlaps enough for some threshold can be taken.
-    near = [[(i, o) for i, t in enumerate(truths) if (o := overlap(d, t[0], t[2])) >= least - 1e-9] for d in found]
-    out = [bytearray(len(SLOTS)) for _ in found]
-    for area, (low, high) in AREAS.items():
-        ignored = [bool(t[2]) or not low <= t[1] <= high for t in truths]
-        ranked = [sorted(x, key=lambda io: ignored[io[0]]) for x in near]
-        outside = [not low <= d[2] * d[3] <= high for d in found]
-        for step, threshold in enumerate(THRESHOLDS):
-            taken: set[int] = set()
-            at_slots = [(k * len(THRESHOLDS) + step, limit) for k, (a, limit) in enumerate(COUNTED) if a == area]
-            for place, candidates in enumerate(ranked):
-                best, at = min(threshold, 1 - 1e-10), -1
-                for i, o in candidates:
-                    if i in taken and not truths[i][2]:
-                        continue
-                    if at >= 0 and not ignored[at] and ignored[i]:
-                        break
-                    if o >= best:
-                        best, at = o, i
-                if at >= 0:
-                    taken.add(at)
-                code = SKIPPED if (ignored[at] if at >= 0 else outside[place]) else HIT if at >= 0 else MISS
-                for slot, limit in at_slots:
-                    if place < limit:
-                        out[place][slot] = code
-    return [bytes(x) for x in out]
+
+def match_image(truths: list, found: list) -> list[bytes]:
+    """:func:`match_groups` for one image and category: truths [(box xywh, area, crowd)], detections [box xywh] in order, best first."""
+    import numpy as np
+
+    boxes = lambda rows: np.array(rows, dtype=float).reshape(-1, 4)
+    areas, crowd = np.array([t[1] for t in truths], dtype=float), np.array([bool(t[2]) for t in truths], dtype=bool)
+    codes = match_groups(boxes([t[0] for t in truths]), areas, crowd, np.array([0, len(truths)]), boxes(found), np.array([0, len(found)]))
+    return [bytes(c) for c in codes]
 
 
 def matched_detections(truth: DataFrame, found: DataFrame) -> DataFrame:
     """category_id, score, image_id, place, codes (a byte a slot of SLOTS) of each detection among its image's and category's first 1,000.
 
-    The limit is taken before an image's detections are brought together; its truths are what an image can hold.
+    The limit is taken before an image's detections are brought together; its truths are what an image can hold. A task matches
+    all images of an Arrow batch together.
     """
     keys = ["image_id", "category_id"]
     first = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")
-    t = truth.groupBy(*keys).agg(F.collect_list(F.struct("bbox", "area", "iscrowd")).alias("truths"))
+    box = F.transform("bbox", lambda x: x.cast("double")).alias("bbox")
+    t = truth.groupBy(*keys).agg(F.collect_list(F.struct(box, F.col("area").cast("double").alias("area"), (F.col("iscrowd") != 0).alias("crowd"))).alias("truths"))
     d = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(LIMITS))
-    d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "score", "bbox"))).alias("found"))
+    d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.col("score").cast("double").alias("score"), box))).alias("found"))
 
-    @F.pandas_udf("array<binary>")
-    def matched(truths: pd.Series, dets: pd.Series) -> pd.Series:
-        out = []
-        for ts, ds in zip(truths, dets, strict=True):
-            ts = [(list(x["bbox"]), x["area"], x["iscrowd"]) for x in (ts if ts is not None else [])]
-            out.append(match_image(ts, [list(x["bbox"]) for x in ds]))
-        return pd.Series(out)
-
-    both = d.join(t, keys, "left").withColumn("codes", matched("truths", "found"))
-    rows = both.select(*keys, F.explode(F.arrays_zip("found", "codes")).alias("m"))
-    return rows.select("category_id", F.col("m.found.score").alias("score"), "image_id", F.col("m.found.place").alias("place"), F.col("m.codes").alias("codes"))
+    def matched(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def spread(lists):
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return lists.flatten(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+        for batch in batches:
+            ts, t_starts = spread(batch.column(2))
+            ds, d_starts = spread(batch.column(3))
+            boxes = lambda rows: rows.field("bbox").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            codes = match_groups(boxes(ts), ts.field("area").to_numpy(zero_copy_only=False), ts.field("crowd").fill_null(False).to_numpy(zero_copy_only=False).astype(bool), t_starts, boxes(ds), d_starts)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(d_starts)))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), ds.field("score"), batch.column(0).take(rows), ds.field("place"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["category_id", "score", "image_id", "place", "codes"])
+
+    both = d.join(t, keys, "left").select(*keys, "truths", "found")
+    kind = {c: found.schema[c].dataType.simpleString() for c in keys}
+    return both.mapInArrow(matched, f"category_id {kind['category_id']}, score double, image_id {kind['image_id']}, place int, codes binary")
 
 
 def _codes(pdf):

@@ -81,3 +81,53 @@ def test_image_of_very_many_objects(spark):
     assert matched.where("obj_id = other_id").count() == 50_000
     assert time.time() - began < 60
     df.unpersist()
+
+
+def plain_codes(truths, found):
+    """The matching of one image written out for each area, threshold and detection."""
+    from mmops.operators.detection import AREAS, COUNTED, HIT, MISS, SKIPPED, SLOTS, THRESHOLDS
+
+    def overlap(d, t, crowd):
+        w, h = min(d[0] + d[2], t[0] + t[2]) - max(d[0], t[0]), min(d[1] + d[3], t[1] + t[3]) - max(d[1], t[1])
+        both = max(w, 0.0) * max(h, 0.0)
+        union = d[2] * d[3] if crowd else d[2] * d[3] + t[2] * t[3] - both
+        return both / union if union > 0 else 0.0
+
+    out = [bytearray(len(SLOTS)) for _ in found]
+    for slot, (area, limit, threshold) in enumerate(SLOTS):
+        low, high = AREAS[area]
+        taken = set()
+        for place, d in enumerate(found):
+            best = None
+            for ignored in (False, True):
+                for i, (box, size, crowd) in enumerate(truths):
+                    o = overlap(d, box, crowd)
+                    if bool(crowd or not low <= size <= high) == ignored and (i not in taken or crowd) and o >= min(threshold, 1 - 1e-10) and (best is None or o >= best[0]):
+                        best = (o, i, ignored)
+                if best:
+                    break
+            if best:
+                taken.add(best[1])
+            if place < limit:
+                out[place][slot] = (SKIPPED if best[2] else HIT) if best else MISS if low <= d[2] * d[3] <= high else SKIPPED
+    assert len(COUNTED) * len(THRESHOLDS) == len(SLOTS)
+    return [bytes(x) for x in out]
+
+
+def test_matching_of_many_images_at_once(spark):
+    from mmops.operators import detection
+
+    rng, truth, found, want = random.Random(8), [], [], {}
+    for image in range(80):
+        side = rng.choice([12.0, 60.0, 300.0])
+        box = lambda: [float(rng.randrange(20)), float(rng.randrange(20)), side + rng.randrange(6), side + rng.randrange(6)]  # noqa: E731, B023
+        truths = [(b := box(), b[2] * b[3], int(rng.random() < 0.15)) for _ in range(rng.randrange(7))]
+        dets = [[x + rng.choice([0, 0, 1, 3]) for x in rng.choice(truths)[0]] if truths and rng.random() < 0.8 else box() for _ in range(rng.choice([0, 1, 4, 9, 130 if image % 20 == 0 else 5]))]
+        assert detection.match_image(truths, dets) == plain_codes(truths, dets)
+        truth += [(image, 1, *t) for t in truths]
+        found += [(image, 1, d, 1.0 - k / 1000, k) for k, d in enumerate(dets)]
+        want |= {(image, k + 1): c for k, c in enumerate(plain_codes(truths, dets))}
+    t = spark.createDataFrame(truth, "image_id long, category_id int, bbox array<double>, area double, iscrowd int")
+    f = spark.createDataFrame(found, "image_id long, category_id int, bbox array<double>, score double, ord int")
+    assert {(r.image_id, r.place): bytes(r.codes) for r in detection.matched_detections(t, f).collect()} == want
+    assert detection.matched_detections(t, f.limit(0)).collect() == []
