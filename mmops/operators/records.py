@@ -93,6 +93,32 @@ def sample_fraction(df: DataFrame, rate: float, key: str, seed: int = 0) -> Data
     return sure.unionByName(unsure.orderBy("__h", key).limit(left)).drop("__h")
 
 
+#: Ranges of the hash that each data set's rows are counted in, and of which the one with the cut is ranked.
+SAMPLE_BITS = 16
+
+
+def sample_mixture(rows: DataFrame, dataset: str, rate: Column, key: str, seed: int = 0) -> DataFrame:
+    """L-04 and L-05 for many data sets at once: of each int(n * rate) rows without replacement, all where the rate is 1 or more, chosen by a hash of the key.
+
+    Two scans of the mixture, however many data sets it has: the first counts each one's rows by ranges of the hash, sums that merge; a range in which
+    the wanted number is reached is the cut. The second keeps the ranges before it and, of the cut alone, the first rows by hash and key, so
+    a data set of any size ranks one in 65,536 of its rows. ``rate`` is the same for all rows of a data set; a null data set is one like others.
+    """
+    hashed = F.xxhash64(F.col(key), F.lit(seed))
+    marked = rows.withColumns({"__rate": rate, "__h": hashed, "__part": F.shiftrightunsigned(hashed, 64 - SAMPLE_BITS).cast("int")})
+    counts = marked.groupBy(dataset, "__part").agg(F.count("*").alias("n"), F.max("__rate").alias("rate"))
+    upto = Window.partitionBy(dataset).orderBy("__part")
+    summed = counts.withColumns({"before": F.sum("n").over(upto) - F.col("n"), "all": F.sum("n").over(Window.partitionBy(dataset))})
+    wanted = F.when(F.col("rate") >= 1, F.col("all")).otherwise((F.col("all") * F.col("rate")).cast("long"))
+    cut = summed.withColumn("wanted", wanted).where((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("n") >= F.col("wanted")))
+    cut = cut.select(F.col(dataset).alias("__d"), F.col("__part").alias("__cut"), (F.col("wanted") - F.col("before")).alias("__left"))  # a row a data set
+    joined = marked.join(cut, F.col(dataset).eqNullSafe(F.col("__d")) & (F.col("__part") <= F.col("__cut")))
+    sure = joined.where("__part < __cut").select(*rows.columns)
+    place = F.row_number().over(Window.partitionBy(dataset).orderBy("__h", key))
+    rest = joined.where("__part = __cut").withColumn("__place", place).where("__place <= __left").select(*rows.columns)
+    return sure.unionByName(rest)
+
+
 def union_all(*tables: DataFrame) -> DataFrame:
     """S-01 and S-02: all rows; columns that a table lacks are null."""
     out = tables[0]
