@@ -26,6 +26,7 @@ import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,16 @@ def _bytes(ids) -> bytes:
     return found.tobytes()
 
 
+def _each_bytes(lists) -> list[bytes]:
+    """:func:`_bytes` of many lists at once."""
+    sizes = list(map(len, lists))
+    flat, out, at = _bytes(chain.from_iterable(lists)), [], 0
+    for size in sizes:
+        out.append(flat[at : at + 4 * size])
+        at += 4 * size
+    return out
+
+
 def _numbers(ids: bytes) -> list[int]:
     found = array.array("I", ids)
     if sys.byteorder == "big":
@@ -93,9 +104,23 @@ class ByteBPE:
         self._marks = re.compile("|".join(map(re.escape, names))) if names else None
         self.leaf_chars = leaf_chars
         self._cache: dict[str, bytes] = {}
-        self._names = {i: t for t, i in self._tok.get_vocab(with_added_tokens=False).items()}
+        vocab = self._tok.get_vocab(with_added_tokens=False)
+        self._names = {i: t for t, i in vocab.items()}
+        self._one_piece = self._by_ranks(vocab, spec["model"]["merges"])
         self._agree = lru_cache(maxsize=100_000)(lambda a, b: self._bpe(self._names[a] + self._names[b]) == [a, b])
 
+    @staticmethod
+    def _by_ranks(vocab: dict[str, int], merges: list):
+        """The ids of one piece's bytes by a library that merges by rank, which is the same where ids rise with the order of merges; else None."""
+        import tiktoken
+
+        ranks = [vocab["".join(m) if not isinstance(m, str) else m.replace(" ", "")] for m in merges]
+        alphabet = byte_alphabet()
+        if any(a >= b for a, b in zip(ranks, ranks[1:], strict=False)) or not all(c in vocab and vocab[c] < ranks[0] for c in alphabet):
+            return None
+        known = {bytes(map(alphabet.__getitem__, t)): i for t, i in vocab.items()}
+        return tiktoken.Encoding("pieces", pat_str=r"(?s).+", mergeable_ranks=known, special_tokens={})._core_bpe.encode_single_piece
+
     def _bpe(self, letters: str) -> list[int]:
         return [t.id for t in self._tok.model.tokenize(letters)]
 
@@ -131,7 +156,9 @@ class ByteBPE:
             self._cache.clear()
             self._cache.update(self._special)
         new = [p for p in pieces if p not in self._cache and p not in self._special]
-        found = {p: _bytes(e.ids) for p, e in zip(new, self._tok.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
+        one = self._one_piece
+        ids = [one(p.encode()) for p in new] if one else [e.ids for e in self._tok.encode_batch_fast(new, add_special_tokens=False)]
+        found = dict(zip(new, _each_bytes(ids), strict=True))
         self._cache.update((p, ids) for p, ids in found.items() if len(p) <= CACHED_CHARS)
         self._cache.update(self._special)
         return {p: ids for p, ids in found.items() if len(p) > CACHED_CHARS}
