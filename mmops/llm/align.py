@@ -19,11 +19,12 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import CACHE_LIMIT, CACHED_CHARS, _bytes, default_tokenizer_path, encoder_for, token_bytes
+from .byte_bpe import CACHE_LIMIT, CACHED_CHARS, _each_bytes, default_tokenizer_path, encoder_for, token_bytes
 from .common import Scratch, bounded_broadcast
 
 GROUP_CHARS = 2_000_000
@@ -53,25 +54,30 @@ class PieceModel:
         self.token_bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in ids]
 
         self._by_words = all("▁" not in sp.id_to_piece(i).lstrip("▁") for i in ids)
-        self._cache: dict[str, tuple[bytes, bool]] = {}
+        self._cache: dict[str, bytes] = {}
+        self._lost: set[str] = set()  # words that are not given back byte for byte
 
-    def _learn(self, new: list[str]) -> dict[str, tuple[bytes, bool]]:
-        found = {}
-        for word, ids in zip(new, self.model.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
-            found[word] = _bytes(ids), b"".join([self.token_bytes[i] for i in ids]) == word.encode()
-        return found
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        ids = self.model.encode([w[1:] for w in new], num_threads=1) if new else []
+        get, want = self.token_bytes.__getitem__, [w.encode() for w in new]
+        # All at once, as words are nearly always given back: if not, one by one.
+        if b"".join(map(get, chain.from_iterable(ids))) != b"".join(want) or [sum(map(len, map(get, own))) for own in ids] != list(map(len, want)):
+            self._lost.update(w for w, own, x in zip(new, ids, want, strict=True) if b"".join(map(get, own)) != x)
+        return dict(zip(new, _each_bytes(ids), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids, whether their bytes are a space and the text) of each text."""
         held = [_WORDS.findall(" " + t) if self._by_words else [" " + t] for t in texts]
-        if len(self._cache) > CACHE_LIMIT:
+        if len(self._cache) + len(self._lost) > CACHE_LIMIT:
             self._cache.clear()
+            self._lost.clear()
         found = self._learn(list(set().union(*held).difference(self._cache)))
         self._cache.update((w, x) for w, x in found.items() if len(w) <= CACHED_CHARS)
         known, out = self._cache, []
+        long = any(len(w) > CACHED_CHARS for w in found)
         for words in held:
-            ids = [known[w] if w in known else found[w] for w in words]
-            out.append((b"".join([x for x, _ in ids]), all(ok for _, ok in ids)))
+            ids = [known[w] if w in known else found[w] for w in words] if long else map(known.__getitem__, words)
+            out.append((b"".join(ids), self._lost.isdisjoint(words)))
         return out
 
 
@@ -134,6 +140,8 @@ def shared_cuts(a_ends, b_ends):
         if not next_low:
             break
         low, high = np.concatenate(next_low), np.concatenate(next_high)
+        order = np.argsort(low)  # neighbours are looked up together
+        low, high = low[order], high[order]
     a = np.sort(np.concatenate(cuts)) if cuts else np.zeros(0, dtype=np.int64)
     return a, np.searchsorted(b_ends, a_ends[a])
 
