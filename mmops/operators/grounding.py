@@ -159,18 +159,19 @@ def weak_share(phrases: DataFrame, by: list[str], limit: float = 0.4) -> DataFra
 
 def pick_phrases(descriptions: DataFrame, used: DataFrame | None = None, seed: int = 0, stem: str = "stem", shortlist: int = 3) -> DataFrame:
     """L-03 and Q-08: one phrase an object: of its strong ones, else all, else its label; not a used one, and of the longest
-    by words, then characters, three by a hash. An object whose phrases are all used is left out."""
+    by words, then characters, three by a hash. An object whose phrases are all used is left out. A row for each description; nothing is shuffled unless phrases are used."""
     options = F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: text.strip(p) != "")
     strong = F.filter(options, lambda p: ~text.is_weak_phrase(p, F.col("label")))
     base = F.when(F.size(strong) > 0, strong).when(F.size(options) > 0, options).otherwise(F.array("label"))
-    rows = descriptions.select(stem, "obj_id", "label", F.posexplode(base).alias("pos", "phrase"))
-    if used is not None:
-        low = used.select(stem, "obj_id", F.lower("phrase").alias("low")).distinct()
-        rows = rows.withColumn("low", F.lower(text.strip(F.col("phrase")))).join(low, [stem, "obj_id", "low"], "left_anti")
-    n_words = F.size(text.words(F.col("phrase")))
-    order = Window.partitionBy(stem, "obj_id").orderBy(F.desc(n_words), F.desc(F.length("phrase")), "pos")
-    short = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist)
-    picked = short.groupBy(stem, "obj_id", "label").agg(F.min_by("phrase", F.struct(F.xxhash64(stem, "obj_id", "phrase", F.lit(seed)), "place")).alias("phrase"))
+    rows = descriptions.select(stem, "obj_id", "label", base.alias("base"))
+    if used is not None:  # few for each object, so they are brought to it as an array
+        low = used.groupBy(F.col(stem).alias("__s"), F.col("obj_id").alias("__o")).agg(F.collect_set(F.lower("phrase")).alias("used"))
+        rows = rows.join(low, (F.col(stem) == F.col("__s")) & (F.col("obj_id") == F.col("__o")), "left")
+        free = F.filter("base", lambda p: ~F.coalesce(F.array_contains("used", F.lower(text.strip(p))), F.lit(False)))
+        rows = rows.select(stem, "obj_id", "label", free.alias("base")).where(F.size("base") > 0)
+    ranked = F.array_sort(F.transform("base", lambda p, i: F.struct((-F.size(text.words(p))).alias("w"), (-F.length(p)).alias("n"), i.alias("i"), p.alias("phrase"))))
+    drawn = F.transform(F.slice(ranked, 1, shortlist), lambda r, i: F.struct(F.xxhash64(F.col(stem), F.col("obj_id"), r.phrase, F.lit(seed)).alias("h"), i.alias("i"), r.phrase.alias("phrase")))
+    picked = rows.select(stem, "obj_id", "label", F.array_min(drawn)["phrase"].alias("phrase"))
     keep = F.lower(text.strip(F.col("phrase"))) == F.lower(text.strip(F.col("label")))
     return picked.withColumn("keep_source_label", keep).withColumn("features", F.when(~keep, F.array("phrase")))
 
