@@ -204,10 +204,12 @@ def export_records(files: DataFrame, file: str = "file", records: str = "records
 
 
 def image_files(rows: DataFrame, folder: str, index: str = "index") -> DataFrame:
-    """E-02: where each image of a row goes: its own names for a list, else the row's index; each path once."""
+    """E-02: where each image of a row goes: its own names for a list, else the row's index; each path once. A row without images has its paths as they are."""
     many = rows.where(F.size("image") > 1).select(index, F.posexplode(F.arrays_zip("image", "image_path")).alias("pos", "x")).select(index, "pos", F.col("x.image").alias("image"), F.col("x.image_path").alias("name"))
     single = rows.where(F.size("image") == 1).select(index, F.lit(0).alias("pos"), F.col("image")[0].alias("image"), F.concat(F.col(index).cast("string"), F.lit(".jpg")).alias("name"))
     named = many.unionByName(single).withColumn("path", F.concat_ws("/", F.lit(folder), "name"))
+    bare = rows.where(F.coalesce(F.size("image"), F.lit(0)) <= 0).select(index, F.posexplode("image_path").alias("pos", "path"))
+    named = named.unionByName(bare.withColumn("image", F.lit(None).cast("string")), allowMissingColumns=True)
     return named.groupBy("path").agg(F.min(F.struct(index, "pos", "image")).alias("r")).select("path", f"r.{index}", "r.image")
 
 

@@ -120,6 +120,14 @@ def image_files(spark, sf):
     return drafts.image_files(rows, "img")
 
 
+@query("SELECT CASE WHEN p_partkey % 3 = 0 THEN 'at/' || p_name || p_partkey ELSE 'img/' || p_partkey || '.jpg' END AS path, p_partkey AS \"index\", CASE WHEN p_partkey % 3 > 0 THEN p_type END AS image FROM part")
+def image_paths(spark, sf):
+    """E-02: a third of the rows has paths only."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(k.alias("index"), F.when(k % 3 > 0, F.array("p_type")).alias("image"), F.array(F.concat(F.lit("at/"), "p_name", k.cast("string"))).alias("image_path"))
+    return drafts.image_files(rows, "img")
+
+
 @query("SELECT p_partkey AS \"index\", CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS prediction, CASE p_partkey % 3 WHEN 0 THEN '/abs/x' WHEN 1 THEN 'http://h/x' ELSE '/data/' || p_brand || '/x' END AS path, CASE WHEN p_size > 10 THEN p_partkey / CAST(p_size - 10 AS DOUBLE) END AS seconds FROM part")
 def predictions_and_paths(spark, sf):
     k = F.col("p_partkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,15 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset: on a local master a temporary folder, as driver and
-    tasks are one process; on a cluster the warehouse, never a folder of one machine."""
+    tasks are one process; on a cluster the warehouse, unless that is a folder of one machine: then it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if re.match(r"(file:|/)", warehouse) and not re.match("local-cluster", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of each machine's own")
+        return warehouse
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="mmops-")
         _delete_at_end(spark, "file://" + _OWN["dir"])
