@@ -119,3 +119,36 @@ def token_ids(texts, end):
 
 def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def language(text, model):
+    """(language, score, rejected) by loops over words, n-grams and languages."""
+    import math
+
+    size, step, out = 1 << 64, 0x9E3779B97F4A7C15, [0.0] * len(model.langs)
+    buckets = []
+    for word in re.sub(r"[\W\d_]+", " ", (text or "").lower()).split():
+        held = f" {word} "
+        for n in (2, 3, 4):
+            for i in range(len(held) - n + 1):
+                if " " not in held[i + 1 : i + n - 1]:
+                    h = 0
+                    for c in held[i : i + n]:
+                        h = (h * step + ord(c)) % size
+                    buckets.append(h)
+        whole = 0
+        for place, c in enumerate(word, 1):
+            x = (ord(c) + place * step) * 0xBF58476D1CE4E5B9 % size
+            whole = (whole + (x ^ x >> 31) * step) % size
+        buckets.append(whole)
+    if not any(map(str.isalpha, text or "")) or not model.langs:
+        return "und", 0.0, True
+    for h in buckets:
+        at = (((h ^ h >> 30) * 0x94D049BB133111EB % size) >> 33) % (1 << 17)
+        for k in range(len(out)):
+            out[k] += float(model.table[at][k])
+    z = [(x / len(buckets) + float(b)) / model.temperature for x, b in zip(out, model.bias, strict=True)]
+    p = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(p)), key=p.__getitem__)
+    score = p[best] / sum(p)
+    return model.langs[best], score, score < model.threshold

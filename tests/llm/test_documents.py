@@ -313,6 +313,18 @@ def test_language(docs, odd):
     assert held == {d for (d,) in docs.select("doc_id").collect() if zlib.crc32(str(d).encode()) % 5 == 0}
 
 
+@pytest.mark.parametrize("part", [langid.PART, 40])
+def test_language_equals_plain_version(docs, odd, part, monkeypatch):
+    """Hashes, means and softmax by loops, for texts beyond a part too."""
+    monkeypatch.setattr(langid, "PART", part)
+    model = langid.fit(docs, ~langid.is_held_out())
+    texts = [t for _, t in pairs(docs)[:60]] + [t for _, t in pairs(odd)] + ["über straße 中文字 İstanbul x", "a" * 500, "word " * 25_000, "9 _ 9"]
+    for text in texts:
+        lang, score, rejected = model.predict(text)
+        want = brute.language(text, model)
+        assert (lang, rejected) == (want[0], want[2]) and abs(score - want[1]) < 1e-6, text
+
+
 def test_language_without_labels(odd):
     model = langid.fit(odd.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert {r.lang_pred for r in langid.predict(odd, model).collect()} == {"und"}
