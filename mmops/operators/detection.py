@@ -163,13 +163,13 @@ def match_image(truths: list, found: list) -> list[bytes]:
 def matched_detections(truth: DataFrame, found: DataFrame) -> DataFrame:
     """category_id, score, image_id, place, codes (a byte a slot of SLOTS) of each detection among its image's and category's first 1,000.
 
-    The limit is taken before an image's detections are brought together; its truths are what an image can hold. A task matches
+    The limit is taken before an image's detections are brought together; its truths are what an image can hold, in the order of their boxes. A task matches
     all images of an Arrow batch together.
     """
     keys = ["image_id", "category_id"]
     first = Window.partitionBy(*keys).orderBy(F.desc("score"), "ord")
     box = F.transform("bbox", lambda x: x.cast("double")).alias("bbox")
-    t = truth.groupBy(*keys).agg(F.collect_list(F.struct(box, F.col("area").cast("double").alias("area"), (F.col("iscrowd") != 0).alias("crowd"))).alias("truths"))
+    t = truth.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(box, F.col("area").cast("double").alias("area"), (F.col("iscrowd") != 0).alias("crowd")))).alias("truths"))
     d = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(LIMITS))
     d = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.col("score").cast("double").alias("score"), box))).alias("found"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import completion, drafts, incremental, plugins
+from ..functions import geometry
+from ..operators import completion, detection, drafts, incremental, plugins
 from ..scratch import Scratch
 from . import views
 from .queries import TOKENS, _l, query
-from .views import V_BOX, table
+from .views import V_BOX, V_DET, table
 
 
 def _described(spark, sf):
@@ -98,3 +99,25 @@ def refresh_fields(spark, sf):
     done = drafts.refresh_captions(captions, requests, _described(spark, sf))
     said = F.array_join(F.transform("phrases", lambda p: F.concat(p.obj_id.cast("string"), F.lit(":"), p.phrase, F.lit(":"), p.keep_source_label.cast("string"), F.lit(":"), F.coalesce(F.array_join(p.features, ","), F.lit("")))), ";")
     return done.select("stem", _l("sentence_id").alias("sentence_id"), "zh", "strategy", "grid_cell", said.alias("items"), "caption")
+
+
+_CAT = "CASE label WHEN 'AF' THEN 0 WHEN 'RF' THEN 1 ELSE 2 END"
+
+
+@query("SELECT cat AS category_id, thr AS threshold, count(*) FILTER (hit) AS hits, count(*) AS n FROM taking WHERE place > 0 GROUP BY ALL", V_BOX, V_DET, f"truth AS (SELECT *, {_CAT} AS cat FROM box)",
+       f"dets AS (SELECT *, {_CAT} AS cat, row_number() OVER (PARTITION BY stem, {_CAT} ORDER BY obj_id) AS place FROM det)",
+       """over AS (SELECT stem, cat, place, obj_id, i / ((x2 - x1) * (y2 - y1) + a - i) AS iou, (x1, y1, x2 - x1, y2 - y1) AS k FROM (SELECT t.*, d.place, CAST((least(t.x2, d.x2) - greatest(t.x1, d.x1)) * (least(t.y2, d.y2) - greatest(t.y1, d.y1)) AS DOUBLE) AS i, (d.x2 - d.x1) * (d.y2 - d.y1) AS a
+FROM truth t JOIN dets d ON t.stem = d.stem AND t.cat = d.cat WHERE least(t.x2, d.x2) > greatest(t.x1, d.x1) AND least(t.y2, d.y2) > greatest(t.y1, d.y1)))""",
+       """taking AS (SELECT stem, cat, thr, CAST(0 AS BIGINT) AS place, false AS hit, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT stem, cat FROM dets), (SELECT unnest([0.5, 0.75]::DOUBLE[]) AS thr) UNION ALL
+SELECT t.stem, t.cat, t.thr, t.place + 1, count(o.obj_id) > 0, CASE WHEN count(o.obj_id) > 0 THEN list_append(t.taken, arg_max(o.obj_id, (o.iou, o.k))) ELSE t.taken END
+FROM taking t JOIN dets d ON d.stem = t.stem AND d.cat = t.cat AND d.place = t.place + 1 LEFT JOIN over o ON o.stem = t.stem AND o.cat = t.cat AND o.place = t.place + 1 AND o.iou >= t.thr AND NOT list_contains(t.taken, o.obj_id) GROUP BY t.stem, t.cat, t.thr, t.place, t.taken)""", recursive=True)
+def det_hits(spark, sf):
+    """A-19: hits and detections of each category at two thresholds, detections taken in order."""
+    labels = F.when(F.col("label") == "AF", 0).when(F.col("label") == "RF", 1).otherwise(2)
+    shape = lambda b: b.select(F.col("stem").alias("image_id"), labels.alias("category_id"), geometry.xywh(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("bbox"), "obj_id")
+    truth = shape(views.boxes(spark, sf)).withColumn("area", detection.box_area(F.col("bbox"))).withColumn("iscrowd", F.lit(0))
+    found = shape(views.found_boxes(spark, sf)).withColumn("score", F.lit(1.0)).withColumnRenamed("obj_id", "ord")
+    slots = [("all", 1000, t) for t in (0.5, 0.75)]
+    code = lambda s: F.ascii(F.substring("codes", detection.SLOTS.index(s) + 1, 1).cast("string"))
+    each = F.explode(F.array(*[F.struct(F.lit(s[2]).alias("threshold"), (code(s) == detection.HIT).alias("hit")) for s in slots])).alias("x")
+    return detection.matched_detections(truth, found).select("category_id", each).groupBy("category_id", "x.threshold").agg(F.count_if("x.hit").alias("hits"), F.count("*").alias("n"))
