@@ -90,7 +90,7 @@ def clustered_chips(spark, sf):
     return workspace.cluster_chips(p.select("p_brand", F.col("p_type").alias("chip")), groups, ["p_brand"])
 
 
-@query("""SELECT p_brand, array_to_string(list_filter(list_transform(g, lambda x: list_filter(x, lambda k: NOT list_contains(s, lower(k)))), lambda x: len(x) > 0).list_transform(lambda x: array_to_string(x, '+')), '|') || '|new' AS groups FROM
+@query("""SELECT p_brand, array_to_string(list_filter(list_transform(g, lambda x: list_filter(x, lambda k: NOT list_contains(s, lower(k)))), lambda x: len(x) > 0).list_transform(lambda x: array_to_string(x, '+')) || ['new'], '|') AS groups FROM
 (SELECT p_brand, list(t ORDER BY size) AS g FROM (SELECT p_brand, p_size AS size, list(p_type ORDER BY p_partkey) AS t FROM part GROUP BY ALL) GROUP BY p_brand) JOIN (SELECT p_brand, list(DISTINCT lower(p_type)) AS s FROM part WHERE p_partkey % 5 = 0 GROUP BY p_brand) USING (p_brand)""")
 def merged_clusters(spark, sf):
     """S-09: old groups lose what is in scope, empty ones go, the new one follows."""
