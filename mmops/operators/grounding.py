@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..scratch import Scratch
 from .spatial import iou_pairs, nearest
 
 __all__ = ["iou_pairs", "nearest"]
@@ -321,6 +322,34 @@ def write_captions(groups: DataFrame, picked: DataFrame, stem: str = "stem") ->
     return with_spans(rows.withColumn("caption", text.template_caption(F.col("phrases"))), complete=True)
 
 
+def cover_phrases(captions: DataFrame, descriptions: DataFrame, stem: str = "stem") -> DataFrame:
+    """Q-06 for phrases: more captions of an image until each phrase of its objects is chosen, strong ones only where an object has any.
+
+    The k-th unused phrases of an image's objects, ten objects at most, make a caption, so an object is in each once. They are numbered behind the others.
+    """
+    pairs = F.transform(F.arrays_zip("obj_ids", "phrases"), lambda p: F.struct(p.obj_ids.alias("obj_id"), p.phrases.alias("phrase")))
+    unused = unused_phrases(descriptions, captions.select(stem, pairs.alias("phrases")), stem)
+    turn = F.row_number().over(Window.partitionBy(stem, "obj_id").orderBy("phrase"))
+    rows = unused.withColumn("turn", turn)
+    chunk = F.floor((F.row_number().over(Window.partitionBy(stem, "turn").orderBy("obj_id")) - 1) / COVER_CHUNK)
+    added = rows.withColumn("chunk", chunk).groupBy(stem, "turn", "chunk").agg(F.array_sort(F.collect_list(F.struct("obj_id", "phrase"))).alias("m"))
+    number = F.row_number().over(Window.partitionBy(stem).orderBy("turn", "chunk")) - 1
+    before = captions.groupBy(stem).agg((F.max("sentence_id") + 1).alias("__n"))
+    added = added.withColumn("k", number).join(before, stem, "left").withColumn("sentence_id", (F.coalesce("__n", F.lit(0)) + F.col("k")).cast("int"))
+    added = added.select(stem, "sentence_id", F.lit("cover_phrases").alias("strategy"), F.lit(-1).alias("grid_cell"), F.transform("m", lambda x: x.obj_id).alias("obj_ids"), F.transform("m", lambda x: x.phrase).alias("phrases"))
+    return captions.unionByName(with_spans(added.withColumn("caption", text.template_caption(F.col("phrases"))), complete=True))
+
+
+def generate_captions(objects: DataFrame, descriptions: DataFrame, n: int = 5, seed: int = 0, stem: str = "stem") -> tuple[DataFrame, DataFrame]:
+    """Q-10: (captions, descriptions) of whole images: groups of objects, a phrase for each, captions with spans, more of them until all objects and phrases
+    are chosen, and the chosen phrases back in the descriptions."""
+    picked = pick_phrases(descriptions, seed=seed, stem=stem)
+    captions = write_captions(caption_groups(objects, n, seed, stem=stem), picked, stem)
+    captions = Scratch(objects.sparkSession, "captions").table(captions, "first", keep=True)  # read twice
+    captions = cover_phrases(captions, descriptions, stem)
+    return captions, sync_descriptions(descriptions, captions, stem)
+
+
 def export_annotations(captions: DataFrame, objects: DataFrame, stem: str = "stem") -> DataFrame:
     """J-01, W-04, M-18 and G-26: a row per placed phrase of an existing object: annotation_id in image, sentence and phrase
     order, image_id (the sentence), bbox, area and tokens_positive."""

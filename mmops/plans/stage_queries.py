@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import completion, detection, drafts, incremental, plugins
+from ..operators import completion, detection, drafts, grounding, incremental, plugins
 from ..scratch import Scratch
 from . import views
 from .queries import TOKENS, _l, query
@@ -121,3 +121,16 @@ def det_hits(spark, sf):
     code = lambda s: F.ascii(F.substring("codes", detection.SLOTS.index(s) + 1, 1).cast("string"))
     each = F.explode(F.array(*[F.struct(F.lit(s[2]).alias("threshold"), (code(s) == detection.HIT).alias("hit")) for s in slots])).alias("x")
     return detection.matched_detections(truth, found).select("category_id", each).groupBy("category_id", "x.threshold").agg(F.count_if("x.hit").alias("hits"), F.count("*").alias("n"))
+
+
+@query("""SELECT stem, count(*) AS n_objects, CAST(sum(len(list_distinct(own))) AS BIGINT) AS n_chosen, true AS numbered, true AS placed, CAST(sum(len(own)) + count(*) AS BIGINT) AS n_known FROM said GROUP BY stem""", V_BOX, V_SAID)
+def generated_captions(spark, sf):
+    """Q-10, Q-06: every object and phrase of an image is chosen, sentences are numbered without a gap, and each phrase stands at its span."""
+    objects, described = views.boxes(spark, sf), _described(spark, sf)
+    captions, synced = grounding.generate_captions(objects, described)
+    captions = Scratch(spark, "captions").table(captions, "all", keep=True)
+    pairs = captions.select("stem", F.explode(F.arrays_zip("obj_ids", "phrases")).alias("p")).groupBy("stem").agg(F.count_distinct("p.obj_ids").alias("n_objects"), F.count_distinct("p.obj_ids", F.lower("p.phrases")).alias("n_chosen"))
+    stands = F.forall(F.arrays_zip("phrases", "spans"), lambda x: F.substring(F.col("caption"), x.spans[0] + 1, x.spans[1] - x.spans[0]) == x.phrases)
+    numbers = captions.groupBy("stem").agg((F.count_distinct("sentence_id") == F.max("sentence_id") + 1).alias("numbered"), F.bool_and(stands).alias("placed"))
+    known = synced.groupBy("stem").agg(_l(F.sum(F.size("phrases"))).alias("n_known"))
+    return pairs.join(numbers, "stem").join(known, "stem")
