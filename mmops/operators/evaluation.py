@@ -126,9 +126,9 @@ def test_tally(results: DataFrame, problem: str = "problem", code: str = "code")
     return results.groupBy(problem).agg(F.count_if(c == 1).alias("passed"), F.count_if(c == 0).alias("failed"), F.count_if(c == -1).alias("timeout"), F.count_if(c == -2).alias("error"), F.try_divide(F.count_if(c == 1), F.count("*")).alias("accuracy"), F.bool_and(c == 1).alias("all_passed"))
 
 
-def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part") -> DataFrame:
-    """J-14 and J-18: rows of ``texts`` with the rows of ``parts`` that their text holds."""
-    return substrings.substring_pairs(texts, parts, text, part, PART_BYTES)
+def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part", keep: list[str] | None = None) -> DataFrame:
+    """J-14 and J-18: rows of ``texts`` (of them the columns ``keep``) with the rows of ``parts`` that their text holds."""
+    return substrings.substring_pairs(texts, parts, text, part, PART_BYTES, keep)
 
 
 # ------------------------------------------------------------------ prompts (own wording)

@@ -20,6 +20,10 @@ PART_BYTES = 64 << 20
 #: Short parts of one automaton.
 BLOCK_BYTES = 2 << 20
 FEW = 64
+#: What a task gathers before it gives it away: rows of pairs, bytes of their texts, and grams.
+OUT_ROWS = 1 << 16
+OUT_BYTES = 16 << 20
+OUT_GRAMS = 1 << 20
 
 
 def gram_hashes(text: str):
@@ -79,13 +83,21 @@ def _gram_counts(texts: DataFrame, words) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        def counted(met):
+            grams, n = np.unique(np.concatenate(met), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+
         for batch in batches:
-            met = []
-            for text in batch.column(0).to_pylist():
-                hashes = gram_hashes(text or "")
+            met, size = [], 0
+            for text in batch.column(0):
+                hashes = gram_hashes(text.as_py() or "")
                 met.append(hashes[_among(hashes, held.value)])
-            grams, n = np.unique(np.concatenate(met) if met else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+                size += len(met[-1])
+                if size >= OUT_GRAMS:
+                    yield counted(met)
+                    met, size = [], 0
+            if met:
+                yield counted(met)
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -113,29 +125,50 @@ def _short_found(text: str, parts: tuple[str, ...]) -> Iterator[int]:
     return iter(sorted(met))
 
 
-def _matched(texts: DataFrame, text: str, found_in) -> DataFrame:
-    """The columns of ``texts`` and ``__pid`` for each of the parts' digests that ``found_in(text)`` gives."""
-    names, at = texts.columns, texts.columns.index(text)
+def pair_batches(batch, at: int, names: list[str], found_in) -> Iterator:
+    """The columns ``names`` of an Arrow batch, a row for each digest that ``found_in`` gives for the text in column ``at``, and the digests. A text's pairs
+    may be as many as there are parts, so they go on in batches of OUT_ROWS rows and about OUT_BYTES bytes at most."""
+    import pyarrow as pa
+
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    heavy = batch.schema.names[at] in names
+    most = max(1, min(OUT_ROWS, OUT_BYTES * max(1, batch.num_rows) // max(1, sum(c.nbytes for c in columns))))
+
+    def given(rows, pids):
+        places = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*[c.take(places) for c in columns], pa.array(pids, pa.binary())], names=[*names, "__pid"])
+
+    rows, pids = [], []
+    for k, value in enumerate(batch.column(at)):
+        value = value.as_py()
+        if value is None:
+            continue
+        # Rows that take a long text along are more bytes than the others of its batch.
+        room = max(1, min(most, OUT_BYTES // (len(value) + 64))) if heavy else most
+        for pid in found_in(value):
+            rows.append(k)
+            pids.append(pid)
+            if len(rows) >= room:
+                yield given(rows, pids)
+                rows, pids = [], []
+    if rows:
+        yield given(rows, pids)
+
+
+def _matched(texts: DataFrame, text: str, keep: list[str], found_in) -> DataFrame:
+    """The columns ``keep`` of ``texts`` and ``__pid`` for each of the parts' digests that ``found_in(text)`` gives."""
+    at = texts.columns.index(text)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            rows, pids = [], []
-            for k, value in enumerate(batch.column(at).to_pylist()):
-                if value is not None:
-                    own = list(found_in(value))
-                    rows += [k] * len(own)
-                    pids += own
-            if rows:
-                kept = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pids, pa.binary())], names=[*names, "__pid"])
+            yield from pair_batches(batch, at, keep, found_in)
 
-    return texts.mapInArrow(run, StructType(list(texts.schema.fields)).add("__pid", "binary"))
+    return texts.mapInArrow(run, StructType([texts.schema[c] for c in keep]).add("__pid", "binary"))
 
 
-def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part", part_bytes: int = PART_BYTES) -> DataFrame:
-    """J-14 and J-18: rows of ``texts`` with rows of ``parts`` that their text holds, all columns of both.
+def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part: str = "part", part_bytes: int = PART_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """J-14 and J-18: rows of ``texts`` with rows of ``parts`` that their text holds, all columns of both, or of ``texts`` those in ``keep``.
+    A pair that takes its text along is as large as that text, so leave it out of ``keep`` where nothing reads it.
 
     Parts of ``GRAM`` characters or more: their grams are counted over all texts, and the rarest of each is its key. A second pass
     over the texts looks for keys alone and compares the part where one is met. While the parts' bytes are within ``part_bytes``
@@ -146,6 +179,7 @@ def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part
     must differ in name.
     """
     spark = texts.sparkSession
+    keep = texts.columns if keep is None else keep
     scratch = Scratch(spark, "parts")
     owned = parts.where(F.col(part).isNotNull()).withColumn("__pid", F.unhex(F.sha2(F.col(part), 256)))
     distinct = owned.select(F.col("__pid").alias("pid"), F.col(part).alias("part")).distinct()
@@ -162,7 +196,7 @@ def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part
         own = tuple(sorted(r[0] for r in rows))
         pids = [digest(p) for p in own]
         held = spark.sparkContext.broadcast((own, pids))
-        found.append(_matched(texts, text, lambda t, held=held: (held.value[1][i] for i in _short_found(t, held.value[0]))))
+        found.append(_matched(texts, text, keep, lambda t, held=held: (held.value[1][i] for i in _short_found(t, held.value[0]))))
 
     n_long, size = long.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("part") + 64), F.lit(0))).first()
     if n_long:
@@ -186,12 +220,12 @@ def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part
                 at = np.flatnonzero(_among(hashes, words.value))
                 return dict.fromkeys(pid for gram, i in zip(hashes[at].view(np.int64).tolist(), at.tolist(), strict=True) for place, p, pid in held.value.get(gram, ()) if i >= place and value.startswith(p, i - place))
 
-            found.append(_matched(texts, text, of))
+            found.append(_matched(texts, text, keep, of))
         else:
-            found.append(_joined(texts, text, long, keys, words, scratch))
+            found.append(_joined(texts, text, keep, long, keys, words, scratch))
     scratch.close()
     if not found:
-        return texts.join(parts.limit(0), F.lit(True), "inner")
+        return texts.select(*keep).join(parts.limit(0), F.lit(True), "inner")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -199,9 +233,8 @@ def substring_pairs(texts: DataFrame, parts: DataFrame, text: str = "text", part
     return pairs.join(own, F.col("__pid") == F.col("__own")).drop("__pid", "__own")
 
 
-def _joined(texts: DataFrame, text: str, long: DataFrame, keys: DataFrame, words, scratch: Scratch) -> DataFrame:
+def _joined(texts: DataFrame, text: str, keep: list[str], long: DataFrame, keys: DataFrame, words, scratch: Scratch) -> DataFrame:
     """As :func:`_matched`, for parts that no task holds."""
-    names = texts.columns
     rows = scratch.table(texts.withColumn("__row", F.monotonically_increasing_id()), "texts", keep=True)
 
     def run(batches):
@@ -220,4 +253,4 @@ def _joined(texts: DataFrame, text: str, long: DataFrame, keys: DataFrame, words
     asked = met.join(long, "pid").select("row", "pid", "start", "part")
     same = F.substring(F.col(text), F.col("start") + 1, F.length("part")) == F.col("part")
     pairs = scratch.table(rows.join(asked, F.col("__row") == F.col("row")).where(same).select("row", "pid").distinct(), "pairs", keep=True)
-    return rows.join(pairs, F.col("__row") == F.col("row")).select(*[F.col(c) for c in names], F.col("pid").alias("__pid"))
+    return rows.join(pairs, F.col("__row") == F.col("row")).select(*[F.col(c) for c in keep], F.col("pid").alias("__pid"))

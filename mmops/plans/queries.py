@@ -195,14 +195,14 @@ def label_accuracy(spark, sf):
 @query("SELECT doc_id, CAST(item_id AS BIGINT) AS item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def substring_leakage(spark, sf):
     parts = table(spark, sf, "benchmark").select(_l("item_id").alias("item_id"), F.col("text").alias("part"))
-    return evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), parts).select("doc_id", "item_id")
+    return evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), parts, keep=["doc_id"]).select("doc_id", "item_id")
 
 
 @query("SELECT doc_id, count(*) AS n_parts, CAST(sum(length(w)) AS BIGINT) AS n_chars, min(w) AS first_part FROM documents JOIN (SELECT DISTINCT unnest(string_split(text, ' ') || string_split(left(text, 40), '') || [text]) AS w FROM benchmark) ON contains(text, w) GROUP BY doc_id")
 def substring_words(spark, sf):
     b = table(spark, sf, "benchmark")
     words = b.select(F.explode(F.concat(F.split("text", " "), F.split(F.left("text", F.lit(40)), ""), F.array("text"))).alias("w")).distinct()
-    found = evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), words, part="w")
+    found = evaluation.substring_pairs(table(spark, sf, "documents").select("doc_id", "text"), words, part="w", keep=["doc_id"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.length("w")).cast("long").alias("n_chars"), F.min("w").alias("first_part"))
 
 

@@ -45,3 +45,23 @@ def test_plan_has_no_nested_loop(spark):
     for part_bytes in (substrings.PART_BYTES, 0):
         plan = substrings.substring_pairs(texts, parts, part_bytes=part_bytes)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pairs_leave_a_task_in_bounded_batches():
+    import pyarrow as pa
+
+    texts = ["a" * 1000] * 300 + ["b" * 1_000_000, None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    pids = [bytes([i]) for i in range(250)]
+    with_text = list(substrings.pair_batches(batch, 1, ["id", "text"], lambda t: pids))
+    ids_only = list(substrings.pair_batches(batch, 1, ["id"], lambda t: pids))
+    for out in (with_text, ids_only):
+        assert [x for b in out for x in b.column(0).to_pylist()] == [i for i in range(301) for _ in pids]
+    assert max(b.nbytes for b in with_text) < 2 * substrings.OUT_BYTES and max(b.num_rows for b in ids_only) <= substrings.OUT_ROWS
+
+
+def test_kept_columns_only(spark):
+    texts, parts = spark.createDataFrame(TEXTS, "id long, text string"), spark.createDataFrame(PARTS, "part_id long, part string")
+    for part_bytes in (substrings.PART_BYTES, 0):
+        found = substrings.substring_pairs(texts, parts, part_bytes=part_bytes, keep=["id"])
+        assert found.columns == ["id", "part_id", "part"] and sorted(((r.id, r.part_id) for r in found.collect()), key=str) == wanted(TEXTS, PARTS)
