@@ -78,6 +78,8 @@ def detections(jobs: DataFrame, classes: list[str], category_ids: list[int], rel
 COUNTED = (("all", 100), ("all", 1000), ("small", 1000), ("medium", 1000), ("large", 1000))
 SLOTS = tuple((area, limit, t) for area, limit in COUNTED for t in THRESHOLDS)
 SKIPPED, MISS, HIT = 0, 1, 2
+#: Detections that are counted together: their running counts of all slots are 800 bytes each.
+CHUNK = 1 << 15
 
 
 def match_groups(truth_boxes, truth_areas, truth_crowd, truth_starts, found_boxes, found_starts):
@@ -200,13 +202,15 @@ def _codes(pdf):
     return np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), len(SLOTS))
 
 
-def best_precision(matched: DataFrame, positives: DataFrame) -> DataFrame:
+def best_precision(matched: DataFrame, positives: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """category_id, slot, level (0 to 100), p: the highest precision of a hit at that level of recall.
 
-    Counts run over all detections of a category by falling score. They are dealt out in ranges of that order, so a large category is many
-    tasks' work: a range's sums first, then the sums of the ranges before it, then the counts inside it. positives: category_id, npos (by place in AREAS).
+    Counts run over all detections of a category by falling score. They are dealt out in ranges of that order, and a range in chunks of ``chunk`` rows,
+    whatever its size: a chunk's sums first, then the sums of the chunks before it, then the counts inside it. positives: category_id, npos (by place in AREAS).
     """
-    parts = ranged(matched.withColumn("falling", -F.col("score")), ["category_id", "falling", "image_id", "place"])
+    parts = ranged(matched.withColumn("falling", -F.col("score")).select("category_id", "falling", "image_id", "place", "codes"), ["category_id", "falling", "image_id", "place"])
+    # __i numbers a range's rows upwards from the range's own start, so its high part rises with range and place.
+    parts = parts.select("category_id", F.expr(f"__i div {chunk}").alias("__p"), "__i", "codes")
     keys = ["__p", "category_id"]
 
     def total(pdf):
@@ -214,7 +218,7 @@ def best_precision(matched: DataFrame, positives: DataFrame) -> DataFrame:
         return pd.DataFrame({"__p": [pdf["__p"].iloc[0]], "category_id": [pdf["category_id"].iloc[0]], "tp": [(codes == HIT).sum(axis=0)], "n": [(codes != SKIPPED).sum(axis=0)]})
 
     kind = matched.schema["category_id"].dataType.simpleString()
-    totals = parts.groupBy(*keys).applyInPandas(total, f"`__p` int, category_id {kind}, tp array<long>, n array<long>")
+    totals = parts.groupBy(*keys).applyInPandas(total, f"`__p` long, category_id {kind}, tp array<long>, n array<long>")
     # A row a range, category and slot: small, whatever the detections are.
     by_slot = totals.select(*keys, F.posexplode(F.arrays_zip("tp", "n")).alias("slot", "x")).select(*keys, "slot", "x.tp", "x.n")
     earlier = Window.partitionBy("category_id", "slot").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

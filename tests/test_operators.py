@@ -290,3 +290,11 @@ def test_substring_pairs_both_ways(spark, monkeypatch):
     assert pairs() == want
     monkeypatch.setattr(evaluation, "PART_BYTES", 0)
     assert pairs() == want
+
+
+def test_best_precision_counts_by_bounded_chunks(spark):
+    hit = [(k // 40, 1.0 - k % 7 / 10, k, 1, bytearray([(k + s) % 3 for s in range(len(detection.SLOTS))])) for k in range(100)]
+    matched = spark.createDataFrame(hit, "category_id int, score double, image_id long, place int, codes binary")
+    positives = spark.createDataFrame([(c, [40, 40, 40, 40]) for c in range(3)], "category_id int, npos array<long>")
+    whole, small = (rows(detection.best_precision(matched, positives, chunk), "category_id", "slot", "level") for chunk in (1 << 15, 4))
+    assert whole == small and len(whole) > 1000
