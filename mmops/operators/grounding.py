@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from ..functions import geometry, text
 from ..scratch import Scratch
@@ -228,89 +229,140 @@ def with_spans(rows: DataFrame, caption: str = "caption", phrases: str = "phrase
     return done.withColumn(caption, F.col("__s.caption")).withColumn("spans", F.col("__s.spans")).drop("__s")
 
 
+def drawer(seed):
+    """A function of keys to a number in [0, 1): the hash of ``repr((seed, *keys))``, whose common start is hashed once."""
+    start = hashlib.blake2b(f"({seed!r}, ".encode(), digest_size=7)
+
+    def draw(*keys) -> float:
+        full = start.copy()
+        full.update(repr(keys)[1:].encode() if len(keys) > 1 else f"{keys[0]!r})".encode())
+        return int.from_bytes(full.digest(), "big") / (1 << 56)
+
+    return draw
+
+
 def draw(seed, *keys) -> float:
     """A number in [0, 1) from a hash of the keys."""
     return int.from_bytes(hashlib.blake2b(repr((seed, *keys)).encode(), digest_size=7).digest(), "big") / (1 << 56)
 
 
-def _near(objects: list, anchor: int, k: int) -> list:
-    at = objects[anchor]
-    order = sorted((math.hypot(o["cx"] - at["cx"], o["cy"] - at["cy"]), i) for i, o in enumerate(objects) if i != anchor)
-    return [at["obj_id"], *[objects[i]["obj_id"] for _, i in order[: max(0, k - 1)]]]
+def _near(objects: list, anchor: int, k: int, known: dict | None = None) -> list:
+    """The object at ``anchor`` and its k - 1 nearest ones; ``known`` keeps the orders of an image's anchors."""
+    known = {} if known is None else known
+    if anchor not in known:
+        at = objects[anchor]
+        x, y = at["cx"], at["cy"]
+        order = sorted((math.hypot(o["cx"] - x, o["cy"] - y), i) for i, o in enumerate(objects) if i != anchor)
+        known[anchor] = [at["obj_id"], *[objects[i]["obj_id"] for _, i in order]]
+    return known[anchor][: max(1, k)]
 
 
-def _overlap(a: list, b: list) -> float:
-    a, b = set(a), set(b)
-    return len(a & b) / len(a | b) if a and b else 0.0
+def _overlap(a: set, b: set) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def plan_groups(objects: list, n: int, seed, grid: int = 3) -> list:
+def plan_groups(objects: list, n: int, seed, grid: int = 3, known: dict | None = None) -> list:
     """Q-03: up to n groups of an image's objects [{obj_id, cx, cy, cell}]: neighbours of an object of a fresh grid cell each, and
     one drawn from all. A group that repeats another by over 0.7 is drawn anew; then more are added up to n."""
     if not objects:
         return []
-    total, out, seen_cells = len(objects), [], set()
-    size = lambda *k: total if total < 3 else 3 + int(draw(seed, "size", *k) * (min(COVER_CHUNK, total) - 2))
+    known = {} if known is None else known
+    total, out, sets, seen_cells = len(objects), [], [], set()
+    draw = drawer(seed)
+    size = lambda *k: total if total < 3 else 3 + int(draw("size", *k) * (min(COVER_CHUNK, total) - 2))
     spread = n >= 2 and total >= 3
+    all_cells = sorted({o["cell"] for o in objects})
 
     def sample(count, *k):
-        return [o["obj_id"] for _, o in sorted(((draw(seed, "all", *k, o["obj_id"]), o) for o in objects), key=lambda p: (p[0], p[1]["obj_id"]))[:count]]
+        return [o["obj_id"] for _, o in sorted(((draw("all", *k, o["obj_id"]), o) for o in objects), key=lambda p: (p[0], p[1]["obj_id"]))[:count]]
 
     def fresh(ids, limit):
-        return all(_overlap(ids, g["obj_ids"]) <= limit for g in out)
+        ids = set(ids)
+        return all(_overlap(ids, other) <= limit for other in sets)
+
+    def add(ids, strategy, cell):
+        out.append({"obj_ids": ids, "strategy": strategy, "grid_cell": cell})
+        sets.append(set(ids))
 
     for turn in range(n):
+        k = size(turn)
+        # The second try is made only if the first one isn't fresh.
         if spread and turn == n - 1:
             cell, strategy = -1, "global_random"
-            tries = [sample(size(turn), turn), sample(size(turn), turn, "again")]
+            tries = (sample(k, turn, *again) for again in ((), ("again",)))
         else:
-            cells = sorted({o["cell"] for o in objects} - seen_cells) or sorted({o["cell"] for o in objects})
-            cell, strategy = cells[int(draw(seed, "cell", turn) * len(cells))], "anchor_neighbor"
+            cells = [c for c in all_cells if c not in seen_cells] or all_cells
+            cell, strategy = cells[int(draw("cell", turn) * len(cells))], "anchor_neighbor"
             seen_cells.add(cell)
             inside = [i for i, o in enumerate(objects) if o["cell"] == cell]
-            k = size(turn)
-            tries = [_near(objects, inside[int(draw(seed, "anchor", turn) * len(inside))], k), _near(objects, int(draw(seed, "anchor", turn, "again") * total), k)]
+            anchors = (lambda: inside[int(draw("anchor", turn) * len(inside))], lambda: int(draw("anchor", turn, "again") * total))  # noqa: B023  used within its turn
+            tries = (_near(objects, anchor(), k, known) for anchor in anchors)
         ids = next((t for t in tries if fresh(t, 0.7)), None)
         if ids:
-            out.append({"obj_ids": ids, "strategy": strategy, "grid_cell": cell})
+            add(ids, strategy, cell)
     for turn in range(40):
         if len(out) >= n:
             break
-        ids = _near(objects, int(draw(seed, "more", turn) * total), 1 + int(draw(seed, "k", turn) * min(COVER_CHUNK, total)))
-        if fresh(ids, 0.85) or turn >= 20 or total <= 3:
-            out.append({"obj_ids": ids, "strategy": "anchor_neighbor", "grid_cell": -1})
+        ids = _near(objects, int(draw("more", turn) * total), 1 + int(draw("k", turn) * min(COVER_CHUNK, total)), known)
+        if turn >= 20 or total <= 3 or fresh(ids, 0.85):
+            add(ids, "anchor_neighbor", -1)
     return out[:n]
 
 
+def image_groups(own: list, n: int, seed, cover: bool = True) -> list:
+    """The groups of :func:`plan_groups` and, with ``cover``, more until every object is in one."""
+    known: dict[int, list] = {}
+    groups = plan_groups(own, n, seed, known=known)
+    have = {x for g in groups for x in g["obj_ids"]}
+    left = [o["obj_id"] for o in own if cover and o["obj_id"] not in have]
+    while left:
+        anchor, open_ids = next(i for i, o in enumerate(own) if o["obj_id"] == left[0]), set(left)
+        near = [x for x in _near(own, anchor, min(COVER_CHUNK, len(own)), known) if x in open_ids]
+        ids = [*near, *[x for x in left if x not in near]][:COVER_CHUNK]
+        groups.append({"obj_ids": ids, "strategy": "cover_objects", "grid_cell": -1})
+        left = [x for x in left if x not in ids]
+    return groups
+
+
 def caption_groups(objects: DataFrame, n: int = 5, seed: int = 0, cover: bool = True, stem: str = "stem") -> DataFrame:
     """Q-03 to Q-06: groups of objects to be captioned in each image: stem, sentence_id, obj_ids, strategy, grid_cell.
 
     With ``cover``, groups are added until every object is in one: the first uncovered object's neighbours that are
     uncovered, then other uncovered ones, ten at most. An image's objects are few: they are collected, and many images are
-    planned in each Arrow batch.
+    planned in each Arrow batch, whose columns are read and written as flat arrays.
     """
     c = geometry.centre(*[F.col(x) for x in ("x1", "y1", "x2", "y2")])
     cell = geometry.grid_cell(c["x"], c["y"], F.col("width"), F.col("height"))
-    points = objects.groupBy(stem).agg(F.array_sort(F.collect_list(F.struct("obj_id", c["x"].alias("cx"), c["y"].alias("cy"), cell.alias("cell")))).alias("o"))
-
-    @F.pandas_udf("array<struct<sentence_id:int,obj_ids:array<long>,strategy:string,grid_cell:int>>")
-    def plan(keys: pd.Series, images: pd.Series) -> pd.Series:
-        out = []
-        for key, own in zip(keys, images, strict=True):
-            own = [dict(o) for o in own]
-            groups = plan_groups(own, n, (seed, key))
-            have = {x for g in groups for x in g["obj_ids"]}
-            left = [o["obj_id"] for o in own if cover and o["obj_id"] not in have]
-            while left:
-                anchor, open_ids = next(i for i, o in enumerate(own) if o["obj_id"] == left[0]), set(left)
-                near = [x for x in _near(own, anchor, min(COVER_CHUNK, len(own))) if x in open_ids]
-                ids = [*near, *[x for x in left if x not in near]][:COVER_CHUNK]
-                groups.append({"obj_ids": ids, "strategy": "cover_objects", "grid_cell": -1})
-                left = [x for x in left if x not in ids]
-            out.append([{"sentence_id": i, **g} for i, g in enumerate(groups)])
-        return pd.Series(out)
-
-    return points.select(stem, F.inline(plan(F.col(stem).cast("string"), "o")))
+    member = F.struct(F.col("obj_id").cast("long").alias("obj_id"), c["x"].alias("cx"), c["y"].alias("cy"), cell.alias("cell"))
+    points = objects.groupBy(stem).agg(F.array_sort(F.collect_list(member)).alias("o")).select(stem, F.col(stem).cast("string").alias("key"), "o")
+
+    def plan(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            images = batch.column(2)
+            sizes, flat = images.value_lengths().to_pylist(), images.flatten()
+            ids, xs, ys, cells = (flat.field(name).to_pylist() for name in ("obj_id", "cx", "cy", "cell"))
+            rows, sentence, members, counts, strategy, grid_cell, start = [], [], [], [], [], [], 0
+            for k, (key, size) in enumerate(zip(batch.column(1).to_pylist(), sizes, strict=True)):
+                own = [{"obj_id": ids[i], "cx": xs[i], "cy": ys[i], "cell": cells[i]} for i in range(start, start + size)]
+                start += size
+                for i, g in enumerate(image_groups(own, n, (seed, key), cover)):
+                    rows.append(k)
+                    sentence.append(i)
+                    members += g["obj_ids"]
+                    counts.append(len(g["obj_ids"]))
+                    strategy.append(g["strategy"])
+                    grid_cell.append(g["grid_cell"])
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(members, pa.int64()))
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sentence, pa.int32()), lists, pa.array(strategy, pa.string()), pa.array(grid_cell, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[stem, "sentence_id", "obj_ids", "strategy", "grid_cell"])
+
+    kind = StructType([objects.schema[stem]]).add("sentence_id", IntegerType()).add("obj_ids", ArrayType(LongType())).add("strategy", StringType()).add("grid_cell", IntegerType())
+    return points.mapInArrow(plan, kind)
 
 
 def write_captions(groups: DataFrame, picked: DataFrame, stem: str = "stem") -> DataFrame:

@@ -298,3 +298,23 @@ def test_best_precision_counts_by_bounded_chunks(spark):
     positives = spark.createDataFrame([(c, [40, 40, 40, 40]) for c in range(3)], "category_id int, npos array<long>")
     whole, small = (rows(detection.best_precision(matched, positives, chunk), "category_id", "slot", "level") for chunk in (1 << 15, 4))
     assert whole == small and len(whole) > 1000
+
+
+def test_drawer_hashes_as_draw():
+    for seed in ((0, "7"), (3, None), 5):
+        draw = grounding.drawer(seed)
+        assert all(draw(*keys) == grounding.draw(seed, *keys) for keys in (("size",), ("anchor", 3), ("all", 4, "again", 12)))
+
+
+def test_second_try_is_made_only_if_needed(monkeypatch):
+    """An image of far objects in cells of their own needs no second group anew: few draws."""
+    calls, start = [], grounding.drawer
+
+    def counted(seed):
+        draw = start(seed)
+        return lambda *keys: calls.append(keys) or draw(*keys)
+
+    monkeypatch.setattr(grounding, "drawer", counted)
+    objects = [{"obj_id": i, "cx": float(i % 3 * 100 + i), "cy": float(i // 3 * 100), "cell": i % 9} for i in range(90)]
+    groups = grounding.plan_groups(objects, 5, (0, "1"))
+    assert len(groups) == 5 and not [k for k in calls if "again" in k]
