@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 MAX_RATIO = 200
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once for a row, however often ``f`` reads it: Spark repeats an expression wherever a lambda or a branch names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _int(x: Column) -> Column:
     return x.cast("long")
 
@@ -171,14 +176,14 @@ def bounding_box(points: Column) -> Column:
 
 def polygon_area(flat: Column) -> Column:
     """M-17: of x, y, x, y ...; 0 for fewer than three points."""
-    n = F.floor(F.size(flat) / 2).cast("int")
 
-    def cross(acc, i):
-        j = (i + 1) % n
-        return acc + F.get(flat, 2 * i) * F.get(flat, 2 * j + 1) - F.get(flat, 2 * j) * F.get(flat, 2 * i + 1)
+    def area(points):
+        whole = 2 * F.floor(F.size(points) / 2).cast("int")
+        closed = F.concat(F.slice(points, F.lit(1), whole), F.slice(points, 1, 2))
+        cross = lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p) - 4, F.lit(2)), F.lit(0.0), lambda acc, i: acc + F.get(p, i) * F.get(p, i + 3) - F.get(p, i + 2) * F.get(p, i + 1))
+        return F.when(F.coalesce(F.size(points), F.lit(0)) < 6, F.lit(0.0)).otherwise(F.abs(once(closed, cross)) / 2)
 
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(0.0), cross)
-    return F.when(F.coalesce(F.size(flat), F.lit(0)) < 6, F.lit(0.0)).otherwise(F.abs(total) / 2)
+    return once(flat, area)
 
 
 def annotation_area(polygon: Column, w: Column, h: Column) -> Column:
@@ -235,18 +240,25 @@ def project_box(box: Column, fx: Column, fy: Column, cx: Column, cy: Column, ang
 
     The angles times ``angle_scale`` are degrees. Corners run over x, then y, then z, the positive side first.
     """
-    x, y, z, sx, sy, sz = (F.get(box, F.lit(i)) for i in range(6))
-    pitch, yaw, roll = (F.radians(F.get(box, F.lit(i)) * angle_scale) for i in (6, 7, 8))
-
-    def corner(sign):
-        px, py, pz = (s * k / 2 for s, k in zip((sx, sy, sz), sign, strict=True))
-        y1, z1 = py * F.cos(pitch) - pz * F.sin(pitch), py * F.sin(pitch) + pz * F.cos(pitch)
-        x2, z2 = px * F.cos(yaw) + z1 * F.sin(yaw), z1 * F.cos(yaw) - px * F.sin(yaw)
-        x3, y3 = x2 * F.cos(roll) - y1 * F.sin(roll), x2 * F.sin(roll) + y1 * F.cos(roll)
-        deep = z2 + z
-        return F.when(deep > 0, F.array(fx * ((x3 + x) / deep) + cx, fy * ((y3 + y) / deep) + cy))
-
-    return F.filter(F.array(*[corner(s) for s in _CORNERS]), lambda p: p.isNotNull())
+    side = lambda b, i: F.get(b, F.lit(i))
+
+    def angles(b):
+        each = zip("pyr", (F.radians(side(b, i) * angle_scale) for i in (6, 7, 8)), strict=True)
+        return F.struct(*[f(a).alias(f"{kind}{name}") for name, a in each for kind, f in (("c", F.cos), ("s", F.sin))])
+
+    def corners(b, t):
+        """A corner is turned in three steps, each of which reads what the one before it gave."""
+
+        def corner(sign):
+            start = F.struct(*[(side(b, 3 + i) * sign[i] / 2).alias(c) for i, c in enumerate("xyz")])
+            pitched = once(start, lambda p: F.struct(p.x.alias("x"), (p.y * t.cp - p.z * t.sp).alias("y"), (p.y * t.sp + p.z * t.cp).alias("z")))
+            seen = once(pitched, lambda p: F.struct((p.x * t.cy + p.z * t.sy).alias("x"), p.y.alias("y"), (p.z * t.cy - p.x * t.sy + side(b, 2)).alias("deep")))
+            return once(seen, lambda p: F.when(p.deep > 0, F.array(fx * ((p.x * t.cr - p.y * t.sr + side(b, 0)) / p.deep) + cx, fy * ((p.x * t.sr + p.y * t.cr + side(b, 1)) / p.deep) + cy)))
+
+        signs = F.array(*[F.array(*[F.lit(k) for k in s]) for s in _CORNERS])
+        return F.filter(F.transform(signs, corner), lambda p: p.isNotNull())
+
+    return once(box, lambda b: once(angles(b), lambda t: corners(b, t)))
 
 
 def box_edges(corners: Column) -> Column:
