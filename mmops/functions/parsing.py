@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import once
 from .text import strip
 
 GRID_BOX = "array<struct<label:string,grid:array<int>>>"
@@ -27,7 +28,7 @@ def between(text: Column, first: str, last: str) -> Column:
 
 def valid_json(text: Column) -> Column:
     """The text if it parses as JSON, else null."""
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    return once(text, lambda t: F.when(F.try_parse_json(t).isNotNull(), t))
 
 
 def json_object_text(text: Column) -> Column:
@@ -50,16 +51,15 @@ def fenced_json(text: Column) -> Column:
 
 def boxes_3d(text: Column) -> Column:
     """G-03: array<struct<label, bbox_3d>> from a json fence or from the outer brackets; one object counts as a list."""
-    fenced = F.contains(text, F.lit("```json"))
-    inside = strip(F.regexp_extract(text, r"(?s)```json(.*?)(?:```|$)", 1))
-    body = F.when(fenced, inside).otherwise(between(text, "[", "]"))
-    body = F.when(F.startswith(body, F.lit("{")), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    inside = lambda t: strip(F.regexp_extract(t, r"(?s)```json(.*?)(?:```|$)", 1))
+    body = once(text, lambda t: F.when(F.contains(t, F.lit("```json")), inside(t)).otherwise(between(t, "[", "]")))
+    body = once(body, lambda b: F.when(F.startswith(b, F.lit("{")), F.concat(F.lit("["), b, F.lit("]"))).otherwise(b))
     return F.coalesce(F.from_json(valid_json(body), "array<struct<label:string,bbox_3d:array<double>>>"), F.array().cast("array<struct<label:string,bbox_3d:array<double>>>"))
 
 
 def points_2d(text: Column) -> Column:
     """G-04: array<struct<point, label>>; a point without a label is point_k by its place among the points."""
-    body = F.when(F.contains(text, F.lit("```json")), F.regexp_extract(text, r"(?s)```json(.*?)(?:```|$)", 1)).otherwise(text)
+    body = once(text, lambda t: F.when(F.contains(t, F.lit("```json")), F.regexp_extract(t, r"(?s)```json(.*?)(?:```|$)", 1)).otherwise(t))
     items = F.from_json(valid_json(strip(body)), "array<struct<point_2d:array<double>,label:string>>")
     points = F.filter(items, lambda p: F.size(p.point_2d) == 2)
     named = F.transform(points, lambda p, i: F.struct(p.point_2d.alias("point"), F.coalesce(p.label, F.concat(F.lit("point_"), (i + 1).cast("string"))).alias("label")))

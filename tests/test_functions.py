@@ -163,3 +163,16 @@ def test_parsing(value):
     assert value(parsing.to_list(F.lit("['a', 'b']")), parsing.to_list(F.lit("x")), parsing.to_list(F.lit(None).cast("string"))) == [["a", "b"], ["x"], []]
     assert value(parsing.action_problem(F.lit('{"action":"swipe","coordinate":[1,2]}')), parsing.action_problem(F.lit('{"action":"wait","time":1}'))) == ["swipe needs coordinate2", None]
     assert value(parsing.first_code(F.lit("a <code>x</code>")), parsing.media_kind(F.lit("data:image/png;base64,aGk=")), parsing.data_url_bytes(F.lit("data:image/png;base64,aGk="))) == ["x", "data", bytearray(b"hi")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_computed_once(spark):
+    """An expression that is read many times stands in the plan once."""
+    rows = spark.range(1).select(F.concat(F.lit("mark"), F.col("id").cast("string")).alias("t"), F.array(*[F.col("id") * 1.5] * 9).alias("b"))
+    assert _plan(rows.select(parsing.points_2d(F.reverse("t")).alias("x"))).count("reverse(") == 1
+    assert _plan(rows.select(geometry.polygon_area(F.reverse("b")).alias("x"))).count("reverse(") == 1
+    turned = _plan(rows.select(geometry.project_box(F.reverse("b"), *[F.lit(1.0)] * 4).alias("x")))
+    assert turned.count("reverse(") == 1 and turned.count("COS(") == 3
