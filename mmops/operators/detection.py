@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +44,22 @@ def parse_boxes(jobs: DataFrame, answer: str = "answer") -> DataFrame:
     natively; only other answers go through Python's literal parser."""
 
     body = F.trim(F.replace(F.replace(F.coalesce(answer, F.lit("")), F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
-    native = F.when(F.try_parse_json(body).isNotNull() & F.startswith(body, F.lit("[")), F.from_json(body, BOXES))
-    ok = native.isNotNull() & ~F.exists(native, lambda b: b.isNull() | ((F.size(b.bbox_2d) == 4) & (b.label.isNull() | F.exists(b.bbox_2d, lambda v: v.isNull()))))
+    native = geometry.once(body, lambda t: F.when(F.startswith(t, F.lit("[")) & F.try_parse_json(t).isNotNull(), F.from_json(t, BOXES)))
+    bad = lambda b: b.isNull() | ((F.size(b.bbox_2d) == 4) & (b.label.isNull() | F.exists(b.bbox_2d, lambda v: v.isNull())))
+    four = lambda boxes: F.filter(boxes, lambda b: F.size(b.bbox_2d) == 4)
+    # Null where the answer isn't a list of boxes in JSON.
+    read = geometry.once(native, lambda n: F.when(F.coalesce(n.isNotNull() & ~F.exists(n, bad), F.lit(False)), four(n)))
 
-    @F.pandas_udf(BOXES)
-    def literal(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"bbox_2d": b, "label": n} for b, n in literal_boxes(t) or []] if t is not None else None for t in texts])
+    @F.arrow_udf(BOXES)
+    def literal(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):
+            return pa.nulls(len(texts), kind)
+        return pa.array([[{"bbox_2d": b, "label": n} for b, n in literal_boxes(t) or []] if t is not None else None for t in texts.to_pylist()], kind)
 
-    four = lambda boxes: F.filter(boxes, lambda b: F.size(b.bbox_2d) == 4)
-    left = F.when(~F.coalesce(ok, F.lit(False)), F.col(answer))
-    return jobs.withColumn("boxes", F.when(F.coalesce(ok, F.lit(False)), four(native)).otherwise(F.coalesce(literal(left), F.array().cast(BOXES))))
+    kind = pa.list_(pa.struct([("bbox_2d", pa.list_(pa.float64())), ("label", pa.string())]))
+    rows = jobs.withColumn("__read", read)
+    rows = rows.withColumn("boxes", F.coalesce("__read", literal(F.when(F.col("__read").isNull(), F.col(answer))), F.array().cast(BOXES)))
+    return rows.drop("__read")
 
 
 def class_index(labels: DataFrame, classes: list[str], label: str = "label") -> DataFrame:
@@ -66,7 +73,8 @@ def class_index(labels: DataFrame, classes: list[str], label: str = "label") ->
 
 def detections(jobs: DataFrame, classes: list[str], category_ids: list[int], relative: bool = False) -> DataFrame:
     """M-22, J-16 and O-OUT-08: parsed jobs (img_id, boxes, sizes) to a row per detection: image_id, category_id, bbox xywh, score, ord."""
-    rows = jobs.select("img_id", "height", "width", "resized_h", "resized_w", F.posexplode("boxes").alias("pos", "b"))
+    # Outer, as the filter that Spark infers for the plain one would read and parse all answers a second time; rows of no box have no class.
+    rows = jobs.select("img_id", "height", "width", "resized_h", "resized_w", F.posexplode_outer("boxes").alias("pos", "b"))
     rows = class_index(rows.withColumn("label", F.col("b.label")), classes)
     box = geometry.rescale_box(F.col("b.bbox_2d"), F.col("height"), F.col("width"), F.col("resized_h"), F.col("resized_w"), relative)
     ids = F.array(*[F.lit(i) for i in category_ids])
