@@ -145,8 +145,9 @@ def unused_phrases(descriptions: DataFrame, captions: DataFrame, stem: str = "st
     """Q-07: (obj_id, phrase) that no caption has yet: the strong phrases, or all of an object that has no strong one."""
     spread = descriptions.select(stem, "obj_id", "label", F.explode("phrases").alias("phrase")).withColumn("phrase", text.strip(F.col("phrase"))).where("phrase <> ''")
     spread = spread.withColumn("weak", text.is_weak_phrase(F.col("phrase"), F.col("label")))
-    strong = spread.groupBy(stem, "obj_id").agg(F.bool_or(~F.col("weak")).alias("has_strong"))
-    pool = spread.join(strong, [stem, "obj_id"]).where("not weak or not has_strong").withColumn("low", F.lower("phrase"))
+    spread = spread.where(F.col(stem).isNotNull() & F.col("obj_id").isNotNull())
+    strong = F.bool_or(~F.col("weak")).over(Window.partitionBy(stem, "obj_id"))
+    pool = spread.withColumn("has_strong", strong).where("not weak or not has_strong").withColumn("low", F.lower("phrase"))
     used = used_phrases(captions, stem).select(stem, "obj_id", F.lower("phrase").alias("low")).distinct()
     return pool.join(used, [stem, "obj_id", "low"], "left_anti").select(stem, "obj_id", "phrase").distinct()
 

@@ -318,3 +318,11 @@ def test_second_try_is_made_only_if_needed(monkeypatch):
     objects = [{"obj_id": i, "cx": float(i % 3 * 100 + i), "cy": float(i // 3 * 100), "cell": i % 9} for i in range(90)]
     groups = grounding.plan_groups(objects, 5, (0, "1"))
     assert len(groups) == 5 and not [k for k in calls if "again" in k]
+
+
+def test_unused_phrases_read_descriptions_once(spark):
+    d = spark.createDataFrame([(1, 1, "car", ["car", " red car "]), (1, 1, "car", ["Blue car"]), (1, 2, "car", ["car"]), (1, None, "car", ["red car"]), (2, 1, "car", ["green car"])], "stem int, obj_id int, label string, phrases array<string>")
+    captions = spark.createDataFrame([(1, [(1, "RED car")])], "stem int, phrases array<struct<obj_id:int,phrase:string>>")
+    found = grounding.unused_phrases(d, captions)
+    assert rows(found, "stem", "obj_id") == [(1, 1, "Blue car"), (1, 2, "car"), (2, 1, "green car")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
