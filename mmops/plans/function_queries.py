@@ -42,7 +42,8 @@ def sanitized_phrases(spark, sf):
 def fresh_phrases(spark, sf):
     avoid = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("the green tree"), F.lit("hard hat"))).otherwise(F.array(F.lit("hard hat")))
     given = F.array(F.lit("helmet"), F.lit("green  tree"), F.lit("a blue car"), F.lit("big door"), F.lit("the big door"))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(text.fresh_phrases(given, avoid, F.array(F.lit("blue truck")), F.lit(9)), "|").alias("phrases"))
+    part = table(spark, sf, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)  # a file is few row groups, and rows are work
+    return part.select("p_partkey", F.array_join(text.fresh_phrases(given, avoid, F.array(F.lit("blue truck")), F.lit(9)), "|").alias("phrases"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'jsons-segm' WHEN 1 THEN 'jsons-detect' WHEN 2 THEN 'jsons' WHEN 3 THEN 'mine' WHEN 4 THEN '/abs/jsons-sem' ELSE 'jsons' END AS shown, CASE p_partkey % 6 WHEN 0 THEN 'polygon' WHEN 1 THEN 'rectangle' WHEN 4 THEN 'polygon' END AS geometry FROM part")

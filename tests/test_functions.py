@@ -176,3 +176,15 @@ def test_values_are_computed_once(spark):
     assert _plan(rows.select(geometry.polygon_area(F.reverse("b")).alias("x"))).count("reverse(") == 1
     turned = _plan(rows.select(geometry.project_box(F.reverse("b"), *[F.lit(1.0)] * 4).alias("x")))
     assert turned.count("reverse(") == 1 and turned.count("COS(") == 3
+
+
+def test_fresh_phrases_read_each_phrase_once(spark):
+    """Keys are computed once for a phrase, whatever uses them, and the rows of a small file are dealt out."""
+    phrases, avoid, locked = (F.col(c) for c in ("p", "a", "l"))
+    df = spark.createDataFrame([(["The big door", "helmet", "big  door", None, "red van"], ["hard hat"], ["a red truck"])], "p array<string>, a array<string>, l array<string>")
+    out = df.select(text.fresh_phrases(phrases, avoid, locked, F.lit(9)).alias("x"))
+    assert out.first().x == ["The big door"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") <= 4  # phrases, avoided twice, locked
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["fresh_phrases"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
