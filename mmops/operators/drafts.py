@@ -70,11 +70,18 @@ def refresh_captions(captions: DataFrame, requests: DataFrame, descriptions: Dat
     given = captions.withColumn("phrases", phrase_items(captions, "phrases"))
     joined = given.join(asked, [stem, "sentence_id"], "left")
     todo = joined.where("__asked").withColumn("__chosen", chosen_items(F.coalesce("__new", "phrases")))
-    spread = todo.where("__chosen is null").select(stem, "sentence_id", F.posexplode("obj_ids").alias("pos", "obj_id"))
-    fresh = pick_phrases(descriptions, used_phrases(captions, stem), stem=stem).select(stem, "obj_id", "phrase", "keep_source_label", "features")
-    drawn = spread.join(fresh, [stem, "obj_id"]).groupBy(stem, "sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", "obj_id", "phrase", "keep_source_label", "features"))).alias("__d"))
-    drawn = drawn.select(stem, "sentence_id", F.transform("__d", lambda d: F.struct(d.obj_id.cast("long").alias("obj_id"), d.phrase.alias("phrase"), d.keep_source_label.alias("keep_source_label"), d.features.alias("features"))).alias("__drawn"))
-    todo = todo.join(drawn, [stem, "sentence_id"], "left").withColumn("phrases", F.coalesce("__chosen", "__drawn", F.array().cast(ITEMS)))
+    bare = captions.where("phrases is null").select(stem, "sentence_id")
+    if bare.limit(1).count():  # else none can lack phrases, and no description is read
+        need = bare.join(requests.where("phrases is null"), [stem, "sentence_id"], "left_semi").select(stem).distinct()
+        spread = todo.where("__chosen is null").select(stem, "sentence_id", F.posexplode("obj_ids").alias("pos", "obj_id"))
+        here = captions.join(need, stem, "left_semi")
+        fresh = pick_phrases(descriptions.join(need, stem, "left_semi"), used_phrases(here, stem), stem=stem).select(stem, "obj_id", "phrase", "keep_source_label", "features")
+        drawn = spread.join(fresh, [stem, "obj_id"]).groupBy(stem, "sentence_id").agg(F.array_sort(F.collect_list(F.struct("pos", "obj_id", "phrase", "keep_source_label", "features"))).alias("__d"))
+        drawn = drawn.select(stem, "sentence_id", F.transform("__d", lambda d: F.struct(d.obj_id.cast("long").alias("obj_id"), d.phrase.alias("phrase"), d.keep_source_label.alias("keep_source_label"), d.features.alias("features"))).alias("__drawn"))
+        todo = todo.join(drawn, [stem, "sentence_id"], "left")
+    else:
+        todo = todo.withColumn("__drawn", F.lit(None).cast(ITEMS))
+    todo = todo.withColumn("phrases", F.coalesce("__chosen", "__drawn", F.array().cast(ITEMS)))
     todo = todo.withColumn("obj_ids", F.array_distinct(F.concat("obj_ids", F.transform("phrases", lambda p: p.obj_id))))
     if "zh" in captions.columns:
         todo = todo.withColumn("zh", F.lit(""))
