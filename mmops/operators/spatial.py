@@ -75,18 +75,21 @@ def nearest(objects: DataFrame, k: int, stem: str = "stem") -> DataFrame:
     A uniform grid of each image, of about k points a cell at first; an object looks at its own cell and those around it. Where its
     k-th distance isn't below what these cells surely hold, it looks again with sides twice as long, and only such objects do, until
     the cells hold the image. Of points of one centre only the k first by id can be near anything, so the others are looked for, but
-    not looked at. An image of ``ONE_CELL`` points is one cell, and a table of such images only is one join.
+    not looked at. An image of ``ONE_CELL`` points is one cell, and in a table of such images only each object has its image's points in a window.
     Objects without a centre have no neighbours and are none.
     """
     c = geometry.centre(*[F.col(x) for x in SIDES])
     points = objects.select(F.col(stem).alias("s"), "obj_id", c["x"].cast("double").alias("cx"), c["y"].cast("double").alias("cy")).where("cx is not null and cy is not null and s is not null")
     order = Window.partitionBy("s", "obj_id").orderBy("distance", "other_id")
     if not _crowded(points, "s"):
-        others = points.select(F.col("s").alias("os"), F.col("obj_id").alias("other_id"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-        pairs = points.join(others, (F.col("s") == F.col("os")) & (F.col("obj_id") != F.col("other_id")))
-        pairs = pairs.withColumn("distance", geometry.distance(F.col("cx"), F.col("cy"), F.col("ox"), F.col("oy")))
-        best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k - 1)
-        return best.select(F.col("s").alias(stem), "obj_id", "other_id", "distance", "rank")
+        # Each row has its image's points at hand, so that nothing is joined and pairs are never sorted together. Rows of one id look as one.
+        here = F.collect_list(F.struct("row", "obj_id", "cx", "cy")).over(Window.partitionBy("s"))
+        known = points.withColumn("row", F.monotonically_increasing_id()).withColumn("here", here)
+        same = F.filter("here", lambda p: p.obj_id == F.col("obj_id"))
+        known = known.withColumn("same", same).where(F.array_min("same.row") == F.col("row"))
+        apart = lambda t: F.transform(F.filter("here", lambda p: p.obj_id != F.col("obj_id")), lambda p: F.struct(geometry.distance(t.cx, t.cy, p.cx, p.cy).alias("distance"), p.obj_id.alias("other_id")))
+        best = known.select("s", "obj_id", F.posexplode(F.slice(F.sort_array(F.flatten(F.transform("same", apart))), 1, k - 1)).alias("pos", "o"))
+        return best.select(F.col("s").alias(stem), "obj_id", "o.other_id", "o.distance", (F.col("pos") + 1).alias("rank"))
     extent = points.groupBy("s").agg(F.count("*").alias("n"), F.min("cx").alias("left"), F.min("cy").alias("top"), (F.max("cx") - F.min("cx")).alias("w"), (F.max("cy") - F.min("cy")).alias("h"))
     span = F.greatest("w", "h")
     side = F.sqrt(F.greatest(F.col("w"), span / F.col("n")) * F.greatest(F.col("h"), span / F.col("n")) * k / F.col("n"))

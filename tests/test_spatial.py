@@ -131,3 +131,13 @@ def test_matching_of_many_images_at_once(spark):
     f = spark.createDataFrame(found, "image_id long, category_id int, bbox array<double>, score double, ord int")
     assert {(r.image_id, r.place): bytes(r.codes) for r in detection.matched_detections(t, f).collect()} == want
     assert detection.matched_detections(t, f.limit(0)).collect() == []
+
+
+def test_nearest_in_small_images_joins_nothing(spark):
+    """Repeated ids of an image look as one object; ids that are null are none."""
+    rows = [("a", 0, 0.0), ("a", 1, 3.0), ("a", 1, 1.0), ("a", 2, 10.0), ("a", None, 0.5), (None, 1, 0.0), ("b", 7, 0.0)]
+    boxes = spark.createDataFrame([(s, i, x, 0.0, x + 2, 2.0) for s, i, x in rows], "stem string, obj_id long, x1 double, y1 double, x2 double, y2 double")
+    found = grounding.nearest(boxes, 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.stem, r.obj_id, r.rank, r.other_id, r.distance) for r in found.collect())
+    assert got == [("a", 0, 1, 1, 1.0), ("a", 0, 2, 1, 3.0), ("a", 1, 1, 0, 1.0), ("a", 1, 2, 0, 3.0), ("a", 2, 1, 1, 7.0), ("a", 2, 2, 1, 9.0)]
