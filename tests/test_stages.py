@@ -80,3 +80,18 @@ def test_a_run_that_dies_leaves_the_last_state(spark, tmp_path):
     with pytest.raises(Exception, match="boom"):
         incremental.validate(files.withColumn("size", files["size"] + 1), lambda f: shapes.join(f, "folder", "left_semi").selectExpr("folder", "file", "raise_error('boom') AS shape_type"), state)
     assert [r.tier for r in incremental.validate(files, lambda f: shapes.limit(0), state).collect()] == ["signature"]
+
+
+def test_validation_scans_by_a_written_list_of_folders(spark, tmp_path):
+    """The folders to scan are read from a table, not from the listing once more, and few of them don't make the shapes shuffle."""
+    files = spark.createDataFrame([("a", "1", 5, 10), ("b", "1", 5, 10)], "folder string, name string, size long, mtime long")
+    shapes = spark.createDataFrame([("a", "1", "rectangle"), ("b", "1", "polygon")], "folder string, file string, shape_type string")
+    plans = []
+
+    def scan(folders):
+        plans.append(folders._jdf.queryExecution().analyzed().toString())
+        return shapes.join(folders, "folder", "left_semi")
+
+    done = incremental.validate(files, scan, incremental.ValidationState(spark, f"file://{tmp_path}/state"))
+    assert {(r.folder, r.geometry) for r in done.collect()} == {("a", "rectangle"), ("b", "polygon")}
+    assert "broadcast" in plans[0] and "Aggregate" not in plans[0]
