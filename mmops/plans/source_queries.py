@@ -14,10 +14,14 @@ from .views import V_BOX, table
 def _label_files(spark, sf):
     """A file a part, of one of four kinds: its boxes as LabelMe, VOC, YOLO or SRT text."""
     b = views.boxes(spark, sf).select("partkey", "label", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.struct("stem", "obj_id").alias("o"))
-    g = b.groupBy("partkey").agg(F.array_sort(F.collect_list(F.struct("o", "label", "x1", "y1", "x2", "y2"))).alias("b"))
-    said = lambda form, *cols: F.transform("b", lambda x: F.format_string(form, *[x[c] for c in cols]))
-    labelme = F.concat(F.lit('{"imagePath": "'), F.col("partkey").cast("string"), F.lit('.jpg", "shapes": ['), F.array_join(said('{"label": "%s", "shape_type": "rectangle", "points": [[%d, %d], [%d, %d]]}', "label", "x1", "y1", "x2", "y2"), ", "), F.lit("]}"))
-    voc = F.concat(F.lit("<annotation><filename>x</filename>"), F.array_join(said("<object><name>%s</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>", "label", "x1", "y1", "x2", "y2"), "\n"), F.lit("</annotation>"))
+    g = b.groupBy("partkey").agg(F.sort_array(F.collect_list(F.struct("o", "label", "x1", "y1", "x2", "y2"))).alias("b"))
+    def said(form, *cols):
+        """Each box as the form's text with its columns put in for %s, by concat, which costs far less than format_string."""
+        texts = form.split("%s")
+        return F.transform("b", lambda x: F.concat(F.lit(texts[0]), *[p for c, t in zip(cols, texts[1:], strict=True) for p in (F.coalesce(x[c].cast("string"), F.lit("null")), F.lit(t))]))
+
+    labelme = F.concat(F.lit('{"imagePath": "'), F.col("partkey").cast("string"), F.lit('.jpg", "shapes": ['), F.array_join(said('{"label": "%s", "shape_type": "rectangle", "points": [[%s, %s], [%s, %s]]}', "label", "x1", "y1", "x2", "y2"), ", "), F.lit("]}"))
+    voc = F.concat(F.lit("<annotation><filename>x</filename>"), F.array_join(said("<object><name>%s</name><bndbox><xmin>%s</xmin><ymin>%s</ymin><xmax>%s</xmax><ymax>%s</ymax></bndbox></object>", "label", "x1", "y1", "x2", "y2"), "\n"), F.lit("</annotation>"))
     line = F.transform("b", lambda x: F.concat_ws(" ", F.lit("3"), *[(x[c] / F.lit(1024.0)).cast("string") for c in ("x1", "y1", "x2", "y1", "x2", "y2")]))
     stamp = lambda ms: F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("int"), (F.floor(ms / 60_000) % 60).cast("int"), (F.floor(ms / 1000) % 60).cast("int"), (ms % 1000).cast("int"))
     srt = F.transform("b", lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), stamp(x.x1 * 1000), F.lit(" --> "), stamp(x.x1 * 1000 + x.y1), F.lit("\nsaid "), x.label))
@@ -36,13 +40,14 @@ def label_folders(spark, sf):
     f = files.read_files(spark, folder)
     row = lambda kind, labels, numbers: F.struct(F.lit(kind).alias("kind"), labels.alias("labels"), numbers.alias("numbers"))
     points = lambda shapes: F.flatten(F.flatten(F.transform(shapes, lambda s: s.points)))
-    shapes = lambda kind, parsed: row(kind, F.transform(parsed, lambda s: s.label), points(parsed))
-    parsed = f.withColumns({"json": readers.labelme_shapes(F.col("content")), "voc": readers.voc_shapes(F.col("content"))})
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: readers.yolo_segment(x, F.lit(1024), F.lit(1024))), lambda s: s.isNotNull())
-    cues = readers.subtitles(F.col("content"))
-    one = F.when(F.col("suffix") == ".json", shapes("json", F.col("json"))).when(F.col("suffix") == ".xml", shapes("xml", F.col("voc")))
-    one = one.when(F.col("suffix") == ".txt", row("txt", F.transform(lines, lambda s: s["class"].cast("string")), F.flatten(F.transform(lines, lambda s: s.points))))
-    one = one.otherwise(row("srt", F.transform(cues, lambda c: c.text), F.flatten(F.transform(cues, lambda c: F.array(c.start_ms.cast("double"), c.end_ms.cast("double"))))))
+    shapes = lambda kind: row(kind, F.transform(kind, lambda s: s.label), points(F.col(kind)))
+    content, of = F.col("content"), lambda suffix: F.col("suffix") == suffix
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: readers.yolo_segment(x, F.lit(1024), F.lit(1024))), lambda s: s.isNotNull())
+    # Each text goes to the one parser of its kind, and what that finds is a column, so that it is parsed once.
+    parsed = f.withColumns({"json": F.when(of(".json"), readers.labelme_shapes(content)), "xml": F.when(of(".xml"), readers.voc_shapes(content)), "txt": F.when(of(".txt"), lines), "srt": F.when(~of(".json") & ~of(".xml") & ~of(".txt"), readers.subtitles(content))})
+    one = F.when(of(".json"), shapes("json")).when(of(".xml"), shapes("xml"))
+    one = one.when(of(".txt"), row("txt", F.transform("txt", lambda s: s["class"].cast("string")), F.flatten(F.transform("txt", lambda s: s.points))))
+    one = one.otherwise(row("srt", F.transform("srt", lambda c: c.text), F.flatten(F.transform("srt", lambda c: F.array(c.start_ms.cast("double"), c.end_ms.cast("double"))))))
     out = parsed.select(_l("stem").alias("stem"), one.alias("r"))
     total = F.aggregate("r.numbers", F.lit(0.0), lambda a, x: a + x)
     return out.select("stem", "r.kind", _l(F.size("r.labels")).alias("n"), _l(F.round(total)).alias("total"), F.array_join("r.labels", ",").alias("labels"))

@@ -12,11 +12,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: Bytes of content in a batch of rows, beyond its last file.
+BATCH_BYTES = 4 << 20
 SCHEMA = "name string, stem string, suffix string, size long, mtime long, content string"
 PART_BYTES = 16 << 20
+#: Folders of very many files are read in larger partitions, so that their number stays near PARTS, as far as these bytes go.
+MOST_BYTES, PARTS = 128 << 20, 1000
 #: What opening a file costs, in bytes, so that a partition has no end of tiny files.
 OPEN_BYTES = 64 << 10
 MARK = "_SUCCESS"
@@ -61,23 +65,39 @@ class SmallFileReader(DataSourceReader):
         from pyarrow import fs
 
         system, at = _folder(self.path)
-        own, size, out = [], 0, []
-        for f in sorted(system.get_file_info(fs.FileSelector(at)), key=lambda f: f.base_name):
+        found = []
+        for f in system.get_file_info(fs.FileSelector(at)):
             stem, suffix = _parts(f.base_name)
             if f.type != fs.FileType.File or f.base_name[0] in "_." or any({"name": f.base_name, "stem": stem, "suffix": suffix}[c] not in v for c, v in self.only.items()):
                 continue
-            own.append((f.path, f.base_name, stem, suffix, f.size, f.mtime_ns // 1_000_000))
-            size += f.size + OPEN_BYTES
-            if size >= PART_BYTES:
+            found.append((f.base_name, f.size, f.mtime_ns // 1_000_000))  # no more, as millions of files pass through the driver
+        most = min(MOST_BYTES, max(PART_BYTES, sum(f[1] + OPEN_BYTES for f in found) // PARTS))
+        own, size, out = [], 0, []
+        for f in sorted(found):
+            own.append(f)
+            size += f[1] + OPEN_BYTES
+            if size >= most:
                 out.append(FilePartition(own))
                 own, size = [], 0
         return [*out, *[FilePartition(own)] * bool(own)]
 
     def read(self, partition):
-        system, _ = _folder(self.path)
-        for path, name, stem, suffix, size, mtime in partition.files if partition is not None else ():
-            with system.open_input_stream(path) as stream:
-                yield name, stem, suffix, size, mtime, stream.read().decode("utf-8", "replace")
+        """Arrow batches of files: a row takes no conversion of its own."""
+        import pyarrow as pa
+
+        system, at = _folder(self.path)
+        kind = pa.schema([("name", pa.string()), ("stem", pa.string()), ("suffix", pa.string()), ("size", pa.int64()), ("mtime", pa.int64()), ("content", pa.string())])
+        rows, held = [], 0
+        for name, size, mtime in partition.files if partition is not None else ():
+            with system.open_input_stream(f"{at}/{name}") as stream:
+                content = stream.read()
+            rows.append((name, *_parts(name), size, mtime, content.decode("utf-8", "replace")))
+            held += len(content)
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
 
 @dataclass
@@ -86,25 +106,28 @@ class Written(WriterCommitMessage):
     size: int
 
 
-class SmallFileWriter(DataSourceWriter):
-    """Files go to a staging folder beside the target, each under a name of its own until it is whole. The folder is renamed once all
-    tasks are done, and removed if one fails, so that a failed export leaves nothing."""
+class SmallFileWriter(DataSourceArrowWriter):
+    """Files go to a staging folder beside the target, moved there from a folder of their task's own once they are whole: tasks that make files in one
+    folder wait for each other. The staging folder is renamed once all tasks are done, and removed if one fails, so that a failed export leaves nothing."""
 
     def __init__(self, path: str, names: list[str], overwrite: bool):
         self.path, self.overwrite = path, overwrite
-        self.name, self.content = names.index("name"), names.index("content")
+        self.name, self.content = names.index("name"), names.index("content")  # places, since batches may come without names
         self.staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+        self.parts = f"{self.staging}.parts"
         system, at = _folder(self.staging)
         system.create_dir(at)
 
     def write(self, iterator):
         system, at = _folder(self.staging)
+        own = f"{_folder(self.parts)[1]}/{uuid.uuid4().hex}"
+        system.create_dir(own)
         files = size = 0
-        for row in iterator:
-            name, content = row[self.name], (row[self.content] or "").encode()
+        for name, content in (r for b in iterator for r in zip(b.column(self.name).to_pylist(), b.column(self.content).to_pylist(), strict=True)):
+            content = (content or "").encode()
             if not name or not _NAME.fullmatch(name):
                 raise ValueError(f"no file name: {name!r}")
-            part = f"{at}/.{uuid.uuid4().hex}"
+            part = f"{own}/{name}"
             with system.open_output_stream(part) as stream:
                 stream.write(content)
             system.move(part, f"{at}/{name}")
@@ -116,6 +139,7 @@ class SmallFileWriter(DataSourceWriter):
 
         system, at = _folder(self.staging)
         _, target = _folder(self.path)
+        self._drop_parts()
         done = [m for m in messages if m is not None]
         with system.open_output_stream(f"{at}/{MARK}") as stream:
             stream.write(json.dumps({"files": sum(m.files for m in done), "bytes": sum(m.size for m in done)}).encode())
@@ -127,9 +151,17 @@ class SmallFileWriter(DataSourceWriter):
         system.move(at, target)
 
     def abort(self, messages):
+        self._drop_parts()
         system, at = _folder(self.staging)
         system.delete_dir(at)
 
+    def _drop_parts(self):
+        from pyarrow import fs
+
+        system, at = _folder(self.parts)
+        if system.get_file_info(at).type != fs.FileType.NotFound:
+            system.delete_dir(at)
+
 
 class SmallFiles(DataSource):
     @classmethod

@@ -126,7 +126,7 @@ def labelme_shapes(json: Column) -> Column:
 def first_json(json: Column) -> Column:
     """O-IN-19: without a byte-order mark; of two objects in one file, the first."""
     body = text.strip(F.regexp_replace(json, "^﻿", ""))
-    return F.when(F.try_parse_json(body).isNotNull(), body).otherwise(F.concat(F.regexp_extract(body, r"(?s)^(.*?\})\s*\{", 1)))
+    return text.once(body, lambda b: F.when(F.try_parse_json(b).isNotNull(), b).otherwise(F.concat(F.regexp_extract(b, r"(?s)^(.*?\})\s*\{", 1))))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -140,10 +140,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def yolo_segment(line: Column, width: Column, height: Column) -> Column:
     """O-IN-13: struct<class, points> in pixels of ``class x y x y ...``; null with fewer than three points or an odd count."""
-    parts = text.words(line)
-    values = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda v, i: v.try_cast("double") * F.when(i % 2 == 0, width).otherwise(height))
-    ok = (F.size(parts) >= 7) & (F.size(parts) % 2 == 1) & ~F.exists(values, lambda v: v.isNull())
-    return F.when(ok, F.struct(parts[0].try_cast("int").alias("class"), values.alias("points")))
+
+    def segment(parts):
+        values = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda v, i: v.try_cast("double") * F.when(i % 2 == 0, width).otherwise(height))
+        good = text.once(values, lambda v: F.when(~F.exists(v, lambda x: x.isNull()), F.struct(parts[0].try_cast("int").alias("class"), v.alias("points"))))
+        return F.when((F.size(parts) >= 7) & (F.size(parts) % 2 == 1), good)
+
+    return text.once(text.words(line), segment)
 
 
 def subtitles(srt: Column) -> Column:
@@ -151,12 +154,14 @@ def subtitles(srt: Column) -> Column:
     blocks = F.split(text.strip(F.regexp_replace(srt, "\r\n?", "\n")), r"\n\s*\n")
     stamp = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
 
-    def ms(b, first):
-        h, m, s, f = (F.regexp_extract(b, stamp, first + i).try_cast("long") for i in range(4))
-        return ((h * 60 + m) * 60 + s) * 1000 + f
+    def cue(b):
+        said = text.strip(F.regexp_replace(b, rf"(?s)^.*?{stamp}[^\n]*\n?", ""))
+        ms = lambda n, i: ((n[i] * 60 + n[i + 1]) * 60 + n[i + 2]) * 1000 + n[i + 3]
+        timed = lambda n: F.struct(ms(n, 0).alias("start_ms"), ms(n, 4).alias("end_ms"), said.alias("text"))
+        # A stamp's eight numbers are what its other characters leave.
+        return text.once(F.regexp_extract(b, stamp, 0), lambda at: F.when(at != "", text.once(F.transform(F.split(at, r"\D+"), lambda x: x.try_cast("long")), timed)))
 
-    timed = F.filter(blocks, lambda b: b.rlike(stamp))
-    return F.transform(timed, lambda b: F.struct(ms(b, 1).alias("start_ms"), ms(b, 5).alias("end_ms"), text.strip(F.regexp_replace(b, rf"(?s)^.*?{stamp}[^\n]*\n?", "")).alias("text")))
+    return F.filter(F.transform(blocks, cue), lambda c: c.isNotNull())
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:

@@ -33,3 +33,27 @@ def test_failed_export_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="out"):
         good.write.format("small_files").mode("append").save(folder)
     assert sorted(os.listdir(folder)) == ["_SUCCESS", "a.txt", "b.txt"]
+
+
+def test_large_folders_have_few_partitions(tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"{i}.b.txt").write_text("x")
+    monkeypatch.setattr(files, "PART_BYTES", 2 * files.OPEN_BYTES)
+    monkeypatch.setattr(files, "PARTS", 10, raising=False)
+    reader = files.SmallFileReader(str(tmp_path))
+    parts = reader.partitions()
+    assert 10 <= len(parts) <= 11 and sorted(f[0] for p in parts for f in p.files) == sorted(f"{i}.b.txt" for i in range(300))
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert {(r["name"], r["stem"], r["suffix"], r["size"], r["content"]) for r in rows} == {(f"{i}.b.txt", f"{i}.b", ".txt", 1, "x") for i in range(300)}
+
+
+def test_texts_are_parsed_once(spark):
+    from mmops.sources import readers
+
+    out = spark.createDataFrame([("1:2:3,4 --> 100:00:01.5 x\n a \n\nno cue\n\n0:0:1,2-->0:0:2,3",), ("",), (None,)], "t string")
+    cues = out.select(readers.subtitles(F.col("t")).alias("c"))
+    assert [[tuple(c) for c in r.c] if r.c is not None else None for r in cues.collect()] == [[(3_723_004, 360_001_005, "a"), (1002, 2003, "")], [], None]
+    lines = spark.createDataFrame([("3 .5 .5 1 0 0 1",), ("3 .5 .5 1 0 0",), ("3 .5 .5 1 0 x 1",), ("",), (None,)], "t string").select(readers.yolo_segment(F.col("t"), F.lit(10), F.lit(20)).alias("s"))
+    assert [tuple(r.s) if r.s else None for r in lines.collect()] == [(3, [5.0, 10.0, 10.0, 0.0, 0.0, 20.0]), None, None, None, None]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(cues).count("-->") <= 2 and plan(lines).count("split(") == 1
