@@ -452,8 +452,10 @@ def locked_phrases(captions: DataFrame, descriptions: DataFrame, stem: str = "st
     joined = rows.join(known, [stem, "obj_id"]).where("phrase <> ''")
     free = F.col("keep") | (F.size("features") > 0) | (F.size("known") == 0) | F.array_contains("known", F.lower("phrase"))
     kept = joined.where(F.coalesce(free, F.lit(True)))
-    first = kept.groupBy(stem, "sentence_id", "obj_id", F.lower("phrase").alias("low"), "keep").agg(F.min_by(F.struct("pos", "phrase", "label", "features"), "pos").alias("f"))
-    return first.select(stem, "sentence_id", "obj_id", "keep", "f.*")
+    # One sort of plain columns, without those that the caller leaves out; an aggregate of structs would sort twice.
+    once = Window.partitionBy(stem, "sentence_id", "obj_id", "low", "keep").orderBy("pos")
+    first = kept.withColumn("low", F.lower("phrase")).withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return first.select(stem, "sentence_id", "obj_id", "keep", "pos", "phrase", "label", "features")
 
 
 def refresh_merge(old: list, chosen: set, fresh: list, most: int) -> list:

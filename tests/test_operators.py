@@ -326,3 +326,15 @@ def test_unused_phrases_read_descriptions_once(spark):
     found = grounding.unused_phrases(d, captions)
     assert rows(found, "stem", "obj_id") == [(1, 1, "Blue car"), (1, 2, "car"), (2, 1, "green car")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_locked_phrases_once_by_one_sort(spark):
+    kind = "stem long, sentence_id int, phrases array<struct<obj_id:long,phrase:string,keep_source_label:boolean,features:array<string>>>"
+    said = [(1, " Red ", None, None), (1, "red", None, ["a", "b", "c"]), (1, "gone", None, None), (1, "gone", True, None), (2, "x", None, None), (None, "x", None, None), (1, None, None, None), (1, "GONE", None, ["f"]), (1, "gone", None, ["g"])]
+    captions = spark.createDataFrame([(7, 0, said), (7, None, said[:2]), (8, 0, said)], kind)
+    d = spark.createDataFrame([(7, 1, "car", ["RED "])], "stem long, obj_id long, label string, phrases array<string>")
+    out = grounding.locked_phrases(captions, d)
+    assert out.columns == ["stem", "sentence_id", "obj_id", "keep", "pos", "phrase", "label", "features"]
+    rows = sorted((r.sentence_id is None, r.pos, r.keep, r.phrase, r.label, tuple(r.features)) for r in out.collect())
+    assert rows == [(False, 0, False, "Red", "car", ()), (False, 3, True, "gone", "car", ()), (False, 7, False, "GONE", "car", ("f",)), (True, 0, False, "Red", "car", ())]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
