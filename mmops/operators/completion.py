@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,10 @@ def remaining(pool: list[str], mask: int) -> list[str]:
     return out
 
 
+def _ends(counts: Iterable[int]) -> pa.Array:
+    return pa.array(itertools.accumulate(counts, initial=0), pa.int32())
+
+
 def complete_phrases(descriptions: DataFrame, match: Matcher | None, stem: str = "stem") -> DataFrame:
     """Q-09, J-13, S-06: stem, obj_id, label, phrases to phrases, exhaustive, exhaustive_added.
 
@@ -47,23 +53,32 @@ def complete_phrases(descriptions: DataFrame, match: Matcher | None, stem: str =
     An added phrase must have a content key that the object hasn't yet. Phrases that are null or white space go. A class is a row of its image, so objects
     are joined with no pool, and the matcher gets all classes of an Arrow batch at once. Null phrases are none; repeated ids are objects each.
     """
-    clean = F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: text.strip(p) != "")
+    clean = F.filter(F.coalesce("phrases", F.array().cast("array<string>")), text.has_text)
     item = F.struct("obj_id", "label", F.transform(clean, lambda p: F.struct(p.alias("phrase"), text.content_key(p).alias("key"))).alias("own"))
-    classes = descriptions.groupBy(stem, text.label_reading(F.col("label")).alias("__class")).agg(F.array_sort(F.collect_list(item)).alias("objects"))
+    classes = descriptions.groupBy(stem, text.label_reading(F.col("label")).alias("__class")).agg(F.sort_array(F.collect_list(item)).alias("objects"))
     kind = descriptions.schema["obj_id"].dataType.simpleString()
 
-    @F.pandas_udf("array<struct<added:array<string>>>")
-    def added(batch: pd.Series) -> pd.Series:
-        asked, shape = [], []
-        for objects in batch:
-            pool, masks = class_pools([[(p["phrase"], p["key"]) for p in o["own"]] for o in objects])
-            shape.append(len(masks))
-            for o, mask in zip(objects, masks, strict=True):
-                asked.append((o["label"], [p["phrase"] for p in o["own"]], remaining(pool, mask)))
+    @F.arrow_udf("array<struct<added:array<string>>>")
+    def added(batch: pa.Array) -> pa.Array:
+        # Flat columns and counts, since a Python object for each nested value costs more than the work itself.
+        objects, shape = batch.flatten(), pc.list_value_length(batch).to_pylist()
+        own = pc.struct_field(objects, "own")
+        pairs, counts, labels = own.flatten(), pc.list_value_length(own).to_pylist(), pc.struct_field(objects, "label").to_pylist()
+        phrases, keys = pc.struct_field(pairs, "phrase").to_pylist(), pc.struct_field(pairs, "key").to_pylist()
+        asked, at, first = [], 0, 0
+        for n in shape:
+            ends = list(itertools.accumulate(counts[first : first + n], initial=at))
+            has = list(itertools.pairwise(ends))
+            pool, masks = class_pools([list(zip(phrases[i:j], keys[i:j], strict=True)) for i, j in has])
+            asked += [(label, phrases[i:j], remaining(pool, mask)) for label, (i, j), mask in zip(labels[first : first + n], has, masks, strict=True)]
+            at, first = ends[-1], first + n
         said = iter(match([a for a in asked if a[2]]) if match is not None else [])
-        held = [next(said, []) if a[2] else [] for a in asked]
-        found = iter([[p for p in a[2] if p in set(h)] for a, h in zip(asked, held, strict=True)])
-        return pd.Series([[{"added": next(found)} for _ in range(n)] for n in shape])
+        found = []
+        for _, _, candidates in asked:
+            held = set(next(said, [])) if candidates else ()
+            found.append([p for p in candidates if p in held])
+        lists = pa.ListArray.from_arrays(_ends(map(len, found)), pa.array([p for f in found for p in f], pa.string()))
+        return pa.ListArray.from_arrays(_ends(shape), pa.StructArray.from_arrays([lists], ["added"]))
 
     done = classes.select(stem, "objects", added("objects").alias("more"))
     rows = done.select(stem, F.inline(F.arrays_zip("objects", "more")))

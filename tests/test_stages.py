@@ -2,6 +2,9 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from mmops.functions import text
 from mmops.operators import completion, incremental, plugins
 
 
@@ -95,3 +98,23 @@ def test_validation_scans_by_a_written_list_of_folders(spark, tmp_path):
     done = incremental.validate(files, scan, incremental.ValidationState(spark, f"file://{tmp_path}/state"))
     assert {(r.folder, r.geometry) for r in done.collect()} == {("a", "rectangle"), ("b", "polygon")}
     assert "broadcast" in plans[0] and "Aggregate" not in plans[0]
+
+
+def test_completion_reads_nested_batches_flat(spark, monkeypatch):
+    kind = "stem string, obj_id int, label string, phrases array<string>"
+    rows = [(f"s{k}", i, "A_b" if i % 2 else "a b", [f"p {i % 3}", None, " \n", "", "é x"] if i % 4 else None) for k in range(5) for i in range(7)]
+    monkeypatch.setattr(completion.pd, "Series", None) if hasattr(completion, "pd") else None  # no pandas value for each nested row
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = completion.complete_phrases(spark.createDataFrame(rows, kind), lambda asked: [c for _, _, c in asked])
+        found = {(r.stem, r.obj_id): (r.label, r.phrases, r.exhaustive_added) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pool = ["p 1", "é x", "p 2", "p 0"]  # in the order of obj_id; 0 and 4 have none
+    for stem, i, label, phrases in rows:
+        own = [f"p {i % 3}", "é x"] if phrases else []
+        more = [p for p in pool if p not in own]
+        assert found.pop((stem, i)) == (label, own + more, more)
+    assert not found
+    blank = spark.createDataFrame([(" \x1c\n\x85 ",), ("",), (" a ",), (None,)], "t string").select(text.has_text(F.col("t")).alias("x"))
+    assert [r.x for r in blank.collect()] == [False, False, True, None]
