@@ -91,10 +91,15 @@ def work_list(objects: DataFrame, descriptions: DataFrame, keys: tuple[str, ...]
     return objects.join(usable, list(keys), "left_anti")
 
 
+def _keyed(phrases: DataFrame, key: Column, columns: list[str]) -> DataFrame:
+    """The rows whose key isn't empty. A generator makes the key once; a filter on a column makes it a second time."""
+    return phrases.select(*dict.fromkeys(columns), F.explode(F.filter(F.array(key), lambda k: k != "")).alias("phrase_key"))
+
+
 def dedup_phrases(phrases: DataFrame, by: list[str], order: str, phrase: str = "phrase", synonyms: bool = False) -> DataFrame:
     """W-07: the first phrase of each content key within a group; empty keys go."""
     key = (text.synonym_key if synonyms else text.content_key)(F.col(phrase))
-    keyed = phrases.withColumn("phrase_key", key).where("phrase_key <> ''")
+    keyed = _keyed(phrases, key, [*by, order, phrase])
     first = keyed.groupBy(*by, "phrase_key").agg(F.min_by(F.struct(order, phrase), order).alias("first"))
     return first.select(*by, "phrase_key", F.col("first")[order].alias(order), F.col("first")[phrase].alias(phrase))
 
@@ -110,7 +115,7 @@ def remaining_pool(phrases: DataFrame, own: str, cls: list[str], order: str, phr
 
     The difference of counts, not a join of every object with its class's pool: an own key is always in the pool.
     """
-    keyed = phrases.withColumn("phrase_key", text.content_key(F.col(phrase))).where("phrase_key <> ''")
+    keyed = _keyed(phrases, text.content_key(F.col(phrase)), [*cls, own])
     pool = keyed.select(*cls, "phrase_key").distinct().groupBy(*cls).agg(F.count("*").alias("pool"))
     has = keyed.select(*cls, own, "phrase_key").distinct().groupBy(*cls, own).agg(F.count("*").alias("own"))
     return has.join(pool, cls).select(*cls, own, "pool", "own", (F.col("pool") - F.col("own")).alias("remaining"))

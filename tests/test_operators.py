@@ -338,3 +338,14 @@ def test_locked_phrases_once_by_one_sort(spark):
     rows = sorted((r.sentence_id is None, r.pos, r.keep, r.phrase, r.label, tuple(r.features)) for r in out.collect())
     assert rows == [(False, 0, False, "Red", "car", ()), (False, 3, True, "gone", "car", ()), (False, 7, False, "GONE", "car", ("f",)), (True, 0, False, "Red", "car", ())]
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrase_keys_are_made_once(spark):
+    rows = [("en", 3, "s", "The red car"), ("en", 1, "s", "red, CAR"), ("en", 2, "t", "of the"), ("en", 4, "t", None), (None, 5, "t", "x"), ("de", 6, "t", "red car")]
+    p = spark.createDataFrame(rows, "lang string, place long, source string, phrase string")
+    first = grounding.dedup_phrases(p, ["lang"], "place")
+    assert {tuple(r) for r in first.collect()} == {("en", "red car", 1, "red, CAR"), (None, "x", 5, "x"), ("de", "red car", 6, "red car")}
+    left = grounding.remaining_pool(p, "source", ["lang"], "place")
+    assert {tuple(r) for r in left.collect()} == {("en", "s", 1, 1, 0), ("de", "t", 1, 1, 0)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(first).count("[^a-z0-9]+") == 1 and plan(left).count("[^a-z0-9]+") == 2
