@@ -7,11 +7,15 @@ Every random draw is a hash of keys and a seed.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
-import re
+import string
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
@@ -142,8 +146,12 @@ def low_frequency(objects: DataFrame, captions: DataFrame, seed: int = 0, stem:
 
 def used_phrases(captions: DataFrame, stem: str = "stem", phrases: str = "phrases") -> DataFrame:
     """A-12: (obj_id, phrase) that captions have chosen; phrases array<struct<obj_id, phrase, ...>>."""
+    return _chosen(captions, stem, phrases).distinct()
+
+
+def _chosen(captions: DataFrame, stem: str, phrases: str) -> DataFrame:
     spread = captions.select(stem, F.explode(phrases).alias("p")).select(stem, F.col("p.obj_id").alias("obj_id"), text.strip(F.col("p.phrase")).alias("phrase"))
-    return spread.where("obj_id is not null and phrase <> ''").distinct()
+    return spread.where("obj_id is not null and phrase <> ''")
 
 
 def unused_phrases(descriptions: DataFrame, captions: DataFrame, stem: str = "stem") -> DataFrame:
@@ -153,7 +161,7 @@ def unused_phrases(descriptions: DataFrame, captions: DataFrame, stem: str = "st
     spread = spread.where(F.col(stem).isNotNull() & F.col("obj_id").isNotNull())
     strong = F.bool_or(~F.col("weak")).over(Window.partitionBy(stem, "obj_id"))
     pool = spread.withColumn("has_strong", strong).where("not weak or not has_strong").withColumn("low", F.lower("phrase"))
-    used = used_phrases(captions, stem).select(stem, "obj_id", F.lower("phrase").alias("low")).distinct()
+    used = _chosen(captions, stem, "phrases").select(stem, "obj_id", F.lower("phrase").alias("low")).distinct()
     return pool.join(used, [stem, "obj_id", "low"], "left_anti").select(stem, "obj_id", "phrase").distinct()
 
 
@@ -169,8 +177,8 @@ def pick_phrases(descriptions: DataFrame, used: DataFrame | None = None, seed: i
     """L-03 and Q-08: one phrase an object: of its strong ones, else all, else its label; not a used one, and of the longest
     by words, then characters, three by a hash. An object whose phrases are all used is left out. A row for each description; nothing is shuffled unless phrases are used."""
     options = F.filter(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: text.strip(p) != "")
-    strong = F.filter(options, lambda p: ~text.is_weak_phrase(p, F.col("label")))
-    base = F.when(F.size(strong) > 0, strong).when(F.size(options) > 0, options).otherwise(F.array("label"))
+    strong = lambda o: F.filter(o, lambda p: ~text.is_weak_phrase(p, F.col("label")))
+    base = text.once(options, lambda o: text.once(strong(o), lambda s: F.when(F.size(s) > 0, s).when(F.size(o) > 0, o).otherwise(F.array("label"))))
     rows = descriptions.select(stem, "obj_id", "label", base.alias("base"))
     if used is not None:  # few for each object, so they are brought to it as an array
         low = used.groupBy(F.col(stem).alias("__s"), F.col("obj_id").alias("__o")).agg(F.collect_set(F.lower("phrase")).alias("used"))
@@ -178,13 +186,15 @@ def pick_phrases(descriptions: DataFrame, used: DataFrame | None = None, seed: i
         free = F.filter("base", lambda p: ~F.coalesce(F.array_contains("used", F.lower(text.strip(p))), F.lit(False)))
         rows = rows.select(stem, "obj_id", "label", free.alias("base")).where(F.size("base") > 0)
     ranked = F.array_sort(F.transform("base", lambda p, i: F.struct((-F.size(text.words(p))).alias("w"), (-F.length(p)).alias("n"), i.alias("i"), p.alias("phrase"))))
-    drawn = F.transform(F.slice(ranked, 1, shortlist), lambda r, i: F.struct(F.xxhash64(F.col(stem), F.col("obj_id"), r.phrase, F.lit(seed)).alias("h"), i.alias("i"), r.phrase.alias("phrase")))
+    # Words are counted only where there are more than the shortlist takes.
+    listed = F.when(F.size("base") > shortlist, F.transform(F.slice(ranked, 1, shortlist), lambda r: r.phrase)).otherwise(F.col("base"))
+    drawn = F.transform(listed, lambda p, i: F.struct(F.xxhash64(F.col(stem), F.col("obj_id"), p, F.lit(seed)).alias("h"), i.alias("i"), p.alias("phrase")))
     picked = rows.select(stem, "obj_id", "label", F.array_min(drawn)["phrase"].alias("phrase"))
     keep = F.lower(text.strip(F.col("phrase"))) == F.lower(text.strip(F.col("label")))
     return picked.withColumn("keep_source_label", keep).withColumn("features", F.when(~keep, F.array("phrase")))
 
 
-_ALNUM = re.compile("[A-Za-z0-9]")
+_ALNUM = frozenset(string.ascii_letters + string.digits)
 
 
 def assign_spans(caption: str | None, phrases: list) -> list:
@@ -193,13 +203,13 @@ def assign_spans(caption: str | None, phrases: list) -> list:
     caption = caption or ""
     found: list = [None] * len(phrases)
     free = bytearray(b"\x01" * len(caption))
-    for i in sorted(range(len(phrases)), key=lambda i: (-len(phrases[i]), i)):
+    for i in sorted(range(len(phrases)), key=list(map(len, phrases)).__getitem__, reverse=True):  # equal ones stay in order
         p = phrases[i]
         at = caption.find(p) if p else -1
         while at >= 0:
             end = at + len(p)
-            edges = (at == 0 or not _ALNUM.match(caption[at - 1])) and (end == len(caption) or not _ALNUM.match(caption[end]))
-            if edges and all(free[at:end]):
+            edges = (at == 0 or caption[at - 1] not in _ALNUM) and (end == len(caption) or caption[end] not in _ALNUM)
+            if edges and free.find(0, at, end) < 0:
                 found[i] = [at, end]
                 free[at:end] = bytes(len(p))
                 break
@@ -214,34 +224,46 @@ def complete_caption(caption: str | None, phrases: list) -> tuple[str, list]:
         spans = assign_spans(caption, phrases)
         missing = [p for p, s in zip(phrases, spans, strict=True) if p and s is None]
         if not missing:
-            break
+            return caption, spans
         caption = f"{caption.rstrip('. ')}, with {', '.join(missing)}."
     return caption, assign_spans(caption, phrases)
 
 
 def with_spans(rows: DataFrame, caption: str = "caption", phrases: str = "phrases", complete: bool = False) -> DataFrame:
-    """G-11 or G-12 for a table: ``spans`` array<array<int>>, and the caption completed if asked. An Arrow-batched map."""
-
-
-    @F.pandas_udf("caption string, spans array<array<int>>")
-    def spans(captions: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, p in zip(captions, texts, strict=True):
-            p = ["" if x is None else x.strip() for x in (p if p is not None else [])]
-            out.append(complete_caption(c, p) if complete else (c, assign_spans(c, p)))
-        return pd.DataFrame(out, columns=["caption", "spans"])
+    """G-11 or G-12 for a table: ``spans`` array<array<int>>, and the caption completed if asked. Arrow batches, whose phrases and spans are flat columns."""
+
+    @F.arrow_udf("caption string, spans array<array<int>>")
+    def spans(captions: pa.Array, texts: pa.Array) -> pa.Array:
+        said = ["" if x is None else x.strip() for x in texts.flatten().to_pylist()]
+        ends = [0, *itertools.accumulate(pc.list_value_length(texts).fill_null(0).to_pylist())]
+        done, found = [], []
+        for c, (i, j) in zip(captions.to_pylist(), itertools.pairwise(ends), strict=True):
+            c, own = complete_caption(c, said[i:j]) if complete else (c, assign_spans(c, said[i:j]))
+            done.append(c)
+            found += own
+        starts = [0, *itertools.accumulate(2 if s else 0 for s in found)]
+        # A list whose start is null is null.
+        each = pa.array([a if s else None for a, s in zip(starts, found)] + starts[-1:], pa.int32())  # noqa: B905  starts has one more
+        each = pa.ListArray.from_arrays(each, pa.array([x for s in found if s for x in s], pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(done, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["caption", "spans"])
 
     done = rows.withColumn("__s", spans(F.col(caption), F.col(phrases)))
     return done.withColumn(caption, F.col("__s.caption")).withColumn("spans", F.col("__s.spans")).drop("__s")
 
 
+@functools.lru_cache(1 << 14)
+def _said(keys: tuple) -> bytes:
+    """What follows the seed in the text that is hashed. Images draw by the same few keys; only plain numbers and strings, as equal keys must read alike."""
+    return repr(keys)[1:].encode() if len(keys) > 1 else f"{keys[0]!r})".encode()
+
+
 def drawer(seed):
     """A function of keys to a number in [0, 1): the hash of ``repr((seed, *keys))``, whose common start is hashed once."""
     start = hashlib.blake2b(f"({seed!r}, ".encode(), digest_size=7)
 
     def draw(*keys) -> float:
         full = start.copy()
-        full.update(repr(keys)[1:].encode() if len(keys) > 1 else f"{keys[0]!r})".encode())
+        full.update(_said(keys))
         return int.from_bytes(full.digest(), "big") / (1 << 56)
 
     return draw
@@ -285,7 +307,10 @@ def plan_groups(objects: list, n: int, seed, grid: int = 3, known: dict | None =
 
     def fresh(ids, limit):
         ids = set(ids)
-        return all(_overlap(ids, other) <= limit for other in sets)
+        for other in sets:
+            if _overlap(ids, other) > limit:
+                return False
+        return True
 
     def add(ids, strategy, cell):
         out.append({"obj_ids": ids, "strategy": strategy, "grid_cell": cell})
@@ -307,12 +332,19 @@ def plan_groups(objects: list, n: int, seed, grid: int = 3, known: dict | None =
         ids = next((t for t in tries if fresh(t, 0.7)), None)
         if ids:
             add(ids, strategy, cell)
+    stale = set()  # what repeats a group repeats it when there are more, too
     for turn in range(40):
         if len(out) >= n:
             break
-        ids = _near(objects, int(draw("more", turn) * total), 1 + int(draw("k", turn) * min(COVER_CHUNK, total)), known)
-        if turn >= 20 or total <= 3 or fresh(ids, 0.85):
+        tried = int(draw("more", turn) * total), 1 + int(draw("k", turn) * min(COVER_CHUNK, total))
+        anyway = turn >= 20 or total <= 3
+        if not anyway and tried in stale:
+            continue
+        ids = _near(objects, *tried, known)
+        if anyway or fresh(ids, 0.85):
             add(ids, "anchor_neighbor", -1)
+        else:
+            stale.add(tried)
     return out[:n]
 
 
@@ -385,6 +417,11 @@ def cover_phrases(captions: DataFrame, descriptions: DataFrame, stem: str = "ste
 
     The k-th unused phrases of an image's objects, ten objects at most, make a caption, so an object is in each once. They are numbered behind the others.
     """
+    return captions.unionByName(_more_captions(captions, descriptions, stem))
+
+
+def _more_captions(captions: DataFrame, descriptions: DataFrame, stem: str) -> DataFrame:
+    """What :func:`cover_phrases` adds."""
     pairs = F.transform(F.arrays_zip("obj_ids", "phrases"), lambda p: F.struct(p.obj_ids.alias("obj_id"), p.phrases.alias("phrase")))
     unused = unused_phrases(descriptions, captions.select(stem, pairs.alias("phrases")), stem)
     turn = F.row_number().over(Window.partitionBy(stem, "obj_id").orderBy("phrase"))
@@ -395,16 +432,21 @@ def cover_phrases(captions: DataFrame, descriptions: DataFrame, stem: str = "ste
     before = captions.groupBy(stem).agg((F.max("sentence_id") + 1).alias("__n"))
     added = added.withColumn("k", number).join(before, stem, "left").withColumn("sentence_id", (F.coalesce("__n", F.lit(0)) + F.col("k")).cast("int"))
     added = added.select(stem, "sentence_id", F.lit("cover_phrases").alias("strategy"), F.lit(-1).alias("grid_cell"), F.transform("m", lambda x: x.obj_id).alias("obj_ids"), F.transform("m", lambda x: x.phrase).alias("phrases"))
-    return captions.unionByName(with_spans(added.withColumn("caption", text.template_caption(F.col("phrases"))), complete=True))
+    return with_spans(added.withColumn("caption", text.template_caption(F.col("phrases"))), complete=True)
 
 
 def generate_captions(objects: DataFrame, descriptions: DataFrame, n: int = 5, seed: int = 0, stem: str = "stem") -> tuple[DataFrame, DataFrame]:
     """Q-10: (captions, descriptions) of whole images: groups of objects, a phrase for each, captions with spans, more of them until all objects and phrases
-    are chosen, and the chosen phrases back in the descriptions."""
-    picked = pick_phrases(descriptions, seed=seed, stem=stem)
+    are chosen, and the chosen phrases back in the descriptions.
+
+    Descriptions and both kinds of captions are written tables, since each is read more than once: no step runs again when the result is read."""
+    scratch = Scratch(objects.sparkSession, "captions")
+    descriptions = scratch.table(descriptions, "descriptions", keep=True)
+    # Merged, as a written table is far larger in memory than its files, by which Spark would broadcast it.
+    picked = pick_phrases(descriptions, seed=seed, stem=stem).hint("merge")
     captions = write_captions(caption_groups(objects, n, seed, stem=stem), picked, stem)
-    captions = Scratch(objects.sparkSession, "captions").table(captions, "first", keep=True)  # read twice
-    captions = cover_phrases(captions, descriptions, stem)
+    captions = scratch.table(captions, "first", keep=True)
+    captions = captions.unionByName(scratch.table(_more_captions(captions, descriptions, stem), "more", keep=True))
     return captions, sync_descriptions(descriptions, captions, stem)
 
 
@@ -439,8 +481,8 @@ def delete_caption(captions: DataFrame, stem_value, sentence_id: int, stem: str
 
 def sync_descriptions(descriptions: DataFrame, captions: DataFrame, stem: str = "stem") -> DataFrame:
     """G-14: phrases that captions chose are added to their object's phrases; translations are filled up."""
-    used = used_phrases(captions.withColumn("__p", F.arrays_zip(F.col("obj_ids").alias("obj_id"), F.col("phrases").alias("phrase"))), stem, "__p")
-    chosen = used.groupBy(stem, "obj_id").agg(F.array_sort(F.collect_list("phrase")).alias("chosen"))
+    used = _chosen(captions.withColumn("__p", F.arrays_zip(F.col("obj_ids").alias("obj_id"), F.col("phrases").alias("phrase"))), stem, "__p")
+    chosen = used.groupBy(stem, "obj_id").agg(F.array_sort(F.collect_set("phrase")).alias("chosen"))
     joined = descriptions.drop("chosen").join(chosen, [stem, "obj_id"], "left")
     phrases = F.array_distinct(F.concat("phrases", F.coalesce("chosen", F.array().cast("array<string>"))))
     zh = F.coalesce("zh", F.array().cast("array<string>")) if "zh" in descriptions.columns else F.array().cast("array<string>")

@@ -128,9 +128,11 @@ def generated_captions(spark, sf):
     """Q-10, Q-06: every object and phrase of an image is chosen, sentences are numbered without a gap, and each phrase stands at its span."""
     objects, described = views.boxes(spark, sf), _described(spark, sf)
     captions, synced = grounding.generate_captions(objects, described)
-    captions = Scratch(spark, "captions").table(captions, "all", keep=True)
-    pairs = captions.select("stem", F.explode(F.arrays_zip("obj_ids", "phrases")).alias("p")).groupBy("stem").agg(F.count_distinct("p.obj_ids").alias("n_objects"), F.count_distinct("p.obj_ids", F.lower("p.phrases")).alias("n_chosen"))
     stands = F.forall(F.arrays_zip("phrases", "spans"), lambda x: F.substring(F.col("caption"), x.spans[0] + 1, x.spans[1] - x.spans[0]) == x.phrases)
-    numbers = captions.groupBy("stem").agg((F.count_distinct("sentence_id") == F.max("sentence_id") + 1).alias("numbered"), F.bool_and(stands).alias("placed"))
+    chosen = F.transform(F.arrays_zip("obj_ids", "phrases"), lambda p: F.struct(p.obj_ids.alias("obj_id"), F.lower(p.phrases).alias("low")))
+    # An image's captions are few: brought together once, they are counted in one shuffle.
+    image = captions.groupBy("stem").agg(F.flatten(F.collect_list(chosen)).alias("chosen"), F.collect_list("sentence_id").alias("ids"), F.bool_and(stands).alias("placed")).where(F.size("chosen") > 0)
+    distinct = lambda c: _l(F.size(F.array_distinct(c)))
+    counted = image.select("stem", distinct("chosen.obj_id").alias("n_objects"), distinct("chosen").alias("n_chosen"), (distinct("ids") == F.array_max("ids") + 1).alias("numbered"), "placed")
     known = synced.groupBy("stem").agg(_l(F.sum(F.size("phrases"))).alias("n_known"))
-    return pairs.join(numbers, "stem").join(known, "stem")
+    return counted.join(known, "stem")

@@ -349,3 +349,31 @@ def test_phrase_keys_are_made_once(spark):
     assert {tuple(r) for r in left.collect()} == {("en", "s", 1, 1, 0), ("de", "t", 1, 1, 0)}
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(first).count("[^a-z0-9]+") == 1 and plan(left).count("[^a-z0-9]+") == 2
+
+
+def test_generated_captions_run_no_step_twice(spark):
+    """What is returned reads written tables: neither groups nor spans are made again, whatever is asked of it."""
+    objects = spark.createDataFrame([(s, i, 10 * i, 10 * i, 10 * i + 8, 10 * i + 8, 640, 480, "car") for s in (1, 2) for i in range(12 * s)], "stem int, obj_id long, x1 long, y1 long, x2 long, y2 long, width long, height long, label string")
+    described = objects.select("stem", "obj_id", "label", F.array(F.lit(" Car "), F.lit("red car"), F.concat(F.lit("car no "), F.col("obj_id").cast("string")), F.lit(" ")).alias("phrases"))
+    captions, synced = grounding.generate_captions(objects, described)
+    for df in (captions, synced):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan and "Window" not in plan
+    chosen = captions.select("stem", F.explode(F.arrays_zip("obj_ids", "phrases")).alias("p")).select("stem", "p.*").distinct()
+    assert chosen.count() == 2 * 36 and captions.where(F.exists("spans", lambda s: s.isNull())).count() == 0
+    assert synced.where("size(phrases) = 4 and size(chosen) = 2 and size(zh) = 4").count() == 36
+
+
+def test_spans_of_nulls_and_empty_lists(spark):
+    df = spark.createDataFrame([(1, "a red car", ["car", None, "boat", " red "]), (2, None, ["x"]), (3, "y", []), (4, "z", None)], "id int, caption string, phrases array<string>")
+    assert [(r.caption, r.spans) for r in grounding.with_spans(df).orderBy("id").collect()] == [("a red car", [[6, 9], None, None, [2, 5]]), (None, [None]), ("y", []), ("z", [])]
+    assert [r.caption for r in grounding.with_spans(df, complete=True).orderBy("id").collect()] == ["a red car, with boat.", ", with x.", "y", "z"]
+
+
+def test_strip_takes_the_pattern_s_characters(spark):
+    from mmops.functions import text
+
+    ends = [chr(i) for i in [*range(0x300), *range(0x1600, 0x1900), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF]]
+    df = spark.createDataFrame([(e + " \n" + "a b" + "\t" + e,) for e in ends] + [("",), (" 　",), (None,)], "t string")
+    old = F.regexp_replace("t", rf"^[{text._SPACE}]+|[{text._SPACE}]+$", "")
+    assert df.where(~old.eqNullSafe(text.strip(F.col("t")))).count() == 0
