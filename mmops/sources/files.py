@@ -6,8 +6,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import time
 import uuid
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +45,57 @@ def _parts(name: str) -> tuple[str, str]:
 
 @dataclass
 class FilePartition(InputPartition):
-    files: list
+    """Files as compressed blocks: a few bytes each, as all partitions pass through the driver."""
+
+    blocks: list
+
+    @property
+    def files(self):
+        """(name, size, mtime) one by one."""
+        for block in self.blocks:
+            for row in zlib.decompress(block).decode("utf-8", "surrogateescape").split("/"):
+                name, size, mtime = row.split("\0")
+                yield name, int(size), int(mtime)
+
+
+def _block(files: list) -> bytes:
+    """No name holds a slash or a null."""
+    return zlib.compress("/".join(f"{name}\0{size}\0{mtime}" for name, size, mtime in sorted(files)).encode("utf-8", "surrogateescape"))
+
+
+def _listed(system, at: str):
+    """(name, size, mtime in ms) of a folder's files. A local folder is read entry by entry, whatever its size; Arrow lists others whole."""
+    from pyarrow import fs
+
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(at) as entries:
+            for e in entries:
+                if e.is_file():
+                    stat = e.stat()
+                    yield e.name, stat.st_size, stat.st_mtime_ns // 1_000_000
+    else:
+        for f in system.get_file_info(fs.FileSelector(at)):
+            if f.type == fs.FileType.File:
+                yield f.base_name, f.size, f.mtime_ns // 1_000_000
+
+
+def _delete(system, at: str) -> None:
+    """A folder in which tasks that were told to stop may still make a file."""
+    from pyarrow import fs
+
+    for left in range(9, -1, -1):
+        try:
+            if system.get_file_info(at).type != fs.FileType.NotFound:
+                system.delete_dir(at)
+            return
+        except OSError:
+            if not left:
+                raise
+            time.sleep(0.2)
 
 
 class SmallFileReader(DataSourceReader):
-    """Lists once; files of other stems and suffixes than asked for are neither opened nor planned."""
+    """Lists once, and holds no more of it than compressed blocks of names; files of other stems and suffixes than asked for are neither opened nor planned."""
 
     def __init__(self, path: str):
         self.path = path
@@ -62,20 +111,23 @@ class SmallFileReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        from pyarrow import fs
-
-        system, at = _folder(self.path)
-        found = []
-        for f in system.get_file_info(fs.FileSelector(at)):
-            stem, suffix = _parts(f.base_name)
-            if f.type != fs.FileType.File or f.base_name[0] in "_." or any({"name": f.base_name, "stem": stem, "suffix": suffix}[c] not in v for c, v in self.only.items()):
+        blocks, own, size = [], [], 0
+        for f in _listed(*_folder(self.path)):
+            stem, suffix = _parts(f[0])
+            if f[0][0] in "_." or any({"name": f[0], "stem": stem, "suffix": suffix}[c] not in v for c, v in self.only.items()):
                 continue
-            found.append((f.base_name, f.size, f.mtime_ns // 1_000_000))  # no more, as millions of files pass through the driver
-        most = min(MOST_BYTES, max(PART_BYTES, sum(f[1] + OPEN_BYTES for f in found) // PARTS))
-        own, size, out = [], 0, []
-        for f in sorted(found):
             own.append(f)
             size += f[1] + OPEN_BYTES
+            if size >= PART_BYTES:
+                blocks.append((_block(own), size))
+                own, size = [], 0
+        if own:
+            blocks.append((_block(own), size))
+        most = min(MOST_BYTES, max(PART_BYTES, sum(b[1] for b in blocks) // PARTS))
+        own, size, out = [], 0, []
+        for block, n in blocks:
+            own.append(block)
+            size += n
             if size >= most:
                 out.append(FilePartition(own))
                 own, size = [], 0
@@ -117,11 +169,12 @@ class SmallFileWriter(DataSourceArrowWriter):
         self.parts = f"{self.staging}.parts"
         system, at = _folder(self.staging)
         system.create_dir(at)
+        system.create_dir(_folder(self.parts)[1])
 
     def write(self, iterator):
         system, at = _folder(self.staging)
         own = f"{_folder(self.parts)[1]}/{uuid.uuid4().hex}"
-        system.create_dir(own)
+        system.create_dir(own, recursive=False)  # fails once the export was given up
         files = size = 0
         for name, content in (r for b in iterator for r in zip(b.column(self.name).to_pylist(), b.column(self.content).to_pylist(), strict=True)):
             content = (content or "").encode()
@@ -139,7 +192,7 @@ class SmallFileWriter(DataSourceArrowWriter):
 
         system, at = _folder(self.staging)
         _, target = _folder(self.path)
-        self._drop_parts()
+        _delete(system, _folder(self.parts)[1])
         done = [m for m in messages if m is not None]
         with system.open_output_stream(f"{at}/{MARK}") as stream:
             stream.write(json.dumps({"files": sum(m.files for m in done), "bytes": sum(m.size for m in done)}).encode())
@@ -151,16 +204,9 @@ class SmallFileWriter(DataSourceArrowWriter):
         system.move(at, target)
 
     def abort(self, messages):
-        self._drop_parts()
         system, at = _folder(self.staging)
-        system.delete_dir(at)
-
-    def _drop_parts(self):
-        from pyarrow import fs
-
-        system, at = _folder(self.parts)
-        if system.get_file_info(at).type != fs.FileType.NotFound:
-            system.delete_dir(at)
+        _delete(system, _folder(self.parts)[1])
+        _delete(system, at)
 
 
 class SmallFiles(DataSource):

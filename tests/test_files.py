@@ -57,3 +57,29 @@ def test_texts_are_parsed_once(spark):
     assert [tuple(r.s) if r.s else None for r in lines.collect()] == [(3, [5.0, 10.0, 10.0, 0.0, 0.0, 20.0]), None, None, None, None]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(cues).count("-->") <= 2 and plan(lines).count("split(") == 1
+
+
+def test_listing_holds_few_bytes_a_file(tmp_path):
+    """The driver holds compressed blocks of names, and neither Arrow's nor Python's objects for each file."""
+    import pickle
+    import tracemalloc
+
+    for i in range(20_000):
+        (tmp_path / f"{i}.json").write_bytes(b"x")
+    reader = files.SmallFileReader(str(tmp_path))
+    tracemalloc.start()
+    parts = reader.partitions()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 20_000 and len(pickle.dumps(parts)) < 16 * 20_000
+    assert sorted(f[0] for p in parts for f in p.files) == sorted(f"{i}.json" for i in range(20_000))
+
+
+def test_late_task_makes_no_folder_of_a_failed_export(tmp_path):
+    import pyarrow as pa
+
+    writer = files.SmallFileWriter(str(tmp_path / "out"), ["name", "content"], True)
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write([pa.RecordBatch.from_pydict({"name": ["a.txt"], "content": ["1"]})])
+    assert os.listdir(tmp_path) == []
