@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..scratch import Scratch
 from .records import ranged
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -170,6 +171,14 @@ def match_image(truths: list, found: list) -> list[bytes]:
     return [bytes(c) for c in codes]
 
 
+def _binary(codes):
+    """A binary value a row of ``codes``."""
+    import numpy as np
+
+    ends = np.arange(len(codes) + 1, dtype=np.int32) * len(SLOTS)
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends), pa.py_buffer(codes.tobytes())])
+
+
 def matched_detections(truth: DataFrame, found: DataFrame) -> DataFrame:
     """category_id, score, image_id, place, codes (a byte a slot of SLOTS) of each detection among its image's and category's first 1,000.
 
@@ -197,17 +206,17 @@ def matched_detections(truth: DataFrame, found: DataFrame) -> DataFrame:
             boxes = lambda rows: rows.field("bbox").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
             codes = match_groups(boxes(ts), ts.field("area").to_numpy(zero_copy_only=False), ts.field("crowd").fill_null(False).to_numpy(zero_copy_only=False).astype(bool), t_starts, boxes(ds), d_starts)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(d_starts)))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), ds.field("score"), batch.column(0).take(rows), ds.field("place"), pa.array([c.tobytes() for c in codes], pa.binary())], names=["category_id", "score", "image_id", "place", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), ds.field("score"), batch.column(0).take(rows), ds.field("place"), _binary(codes)], names=["category_id", "score", "image_id", "place", "codes"])
 
     both = d.join(t, keys, "left").select(*keys, "truths", "found")
     kind = {c: found.schema[c].dataType.simpleString() for c in keys}
     return both.mapInArrow(matched, f"category_id {kind['category_id']}, score double, image_id {kind['image_id']}, place int, codes binary")
 
 
-def _codes(pdf):
+def _codes(values):
     import numpy as np
 
-    return np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), len(SLOTS))
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, len(SLOTS))
 
 
 def best_precision(matched: DataFrame, positives: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -216,19 +225,32 @@ def best_precision(matched: DataFrame, positives: DataFrame, chunk: int = CHUNK)
     Counts run over all detections of a category by falling score. They are dealt out in ranges of that order, and a range in chunks of ``chunk`` rows,
     whatever its size: a chunk's sums first, then the sums of the chunks before it, then the counts inside it. positives: category_id, npos (by place in AREAS).
     """
-    parts = ranged(matched.withColumn("falling", -F.col("score")).select("category_id", "falling", "image_id", "place", "codes"), ["category_id", "falling", "image_id", "place"])
+    # Written, as ranges are sampled from the rows before they are dealt out, which would match them all a second time.
+    scratch = Scratch(matched.sparkSession, "precision")
+    matched = scratch.table(matched.select("category_id", (-F.col("score")).alias("falling"), "image_id", "place", "codes"), "matched")
+    parts = ranged(matched, ["category_id", "falling", "image_id", "place"])
+    scratch.close()
     # __i numbers a range's rows upwards from the range's own start, so its high part rises with range and place.
     parts = parts.select("category_id", F.expr(f"__i div {chunk}").alias("__p"), "__i", "codes")
     keys = ["__p", "category_id"]
 
-    def total(pdf):
-        codes = _codes(pdf)
-        return pd.DataFrame({"__p": [pdf["__p"].iloc[0]], "category_id": [pdf["category_id"].iloc[0]], "tp": [(codes == HIT).sum(axis=0)], "n": [(codes != SKIPPED).sum(axis=0)]})
+    def total(batches):
+        """The sums of a batch's runs of one chunk and category, so that no code is shuffled for them."""
+        import numpy as np
+
+        lists = lambda sums: pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(SLOTS)), pa.array(sums.ravel().astype(np.int64)))
+        for batch in batches:
+            if batch.num_rows:
+                p, category = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (category[1:] != category[:-1])]))
+                codes = _codes(batch.column(2).to_pylist())
+                hits, counted = (np.add.reduceat(x, starts, axis=0, dtype=np.int64) for x in (codes == HIT, codes != SKIPPED))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(starts)) for i in (0, 1)), lists(hits), lists(counted)], names=["__p", "category_id", "tp", "n"])
 
     kind = matched.schema["category_id"].dataType.simpleString()
-    totals = parts.groupBy(*keys).applyInPandas(total, f"`__p` long, category_id {kind}, tp array<long>, n array<long>")
-    # A row a range, category and slot: small, whatever the detections are.
-    by_slot = totals.select(*keys, F.posexplode(F.arrays_zip("tp", "n")).alias("slot", "x")).select(*keys, "slot", "x.tp", "x.n")
+    totals = parts.select(*keys, "codes").mapInArrow(total, f"`__p` long, category_id {kind}, tp array<long>, n array<long>")
+    # A row a batch's part of a chunk, category and slot: small, whatever the detections are.
+    by_slot = totals.select(*keys, F.posexplode(F.arrays_zip("tp", "n")).alias("slot", "x")).groupBy(*keys, "slot").agg(F.sum("x.tp").alias("tp"), F.sum("x.n").alias("n"))
     earlier = Window.partitionBy("category_id", "slot").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     before = by_slot.select(*keys, "slot", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("tp", "n")])
     before = before.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "tp", "n"))).alias("slots"))
@@ -241,7 +263,7 @@ def best_precision(matched: DataFrame, positives: DataFrame, chunk: int = CHUNK)
         if pdf.empty or start.empty:
             return pd.DataFrame({c: [] for c in columns})
         pdf = pdf.sort_values("__i", kind="stable")
-        codes, row, out = _codes(pdf), start.iloc[0], []
+        codes, row, out = _codes(pdf["codes"]), start.iloc[0], []
         hits = codes == HIT
         tp, n = hits.cumsum(axis=0) + np.asarray(row["tp"]), (codes != SKIPPED).cumsum(axis=0) + np.asarray(row["n"])
         for slot, (area, _, _) in enumerate(SLOTS):

@@ -377,3 +377,18 @@ def test_strip_takes_the_pattern_s_characters(spark):
     df = spark.createDataFrame([(e + " \n" + "a b" + "\t" + e,) for e in ends] + [("",), (" 　",), (None,)], "t string")
     old = F.regexp_replace("t", rf"^[{text._SPACE}]+|[{text._SPACE}]+$", "")
     assert df.where(~old.eqNullSafe(text.strip(F.col("t")))).count() == 0
+
+
+def test_average_precision_matches_once(spark, monkeypatch):
+    """Ranges are sampled from written rows, not from the match itself, and no code is shuffled to be summed."""
+    from mmops.operators import detection
+
+    plans, ranged = [], detection.ranged
+    monkeypatch.setattr(detection, "ranged", lambda df, order: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or ranged(df, order))
+    box = [(i, c, [float(j), 0.0, 10.0 + j, 10.0], j) for i in range(5) for c in ("a", "b") for j in range(3)]
+    found = spark.createDataFrame(box, "image_id int, category_id string, bbox array<double>, ord int").withColumn("score", F.lit(0.5))
+    truth = found.withColumn("area", F.col("bbox")[2] * 10).withColumn("iscrowd", F.lit(0))
+    out = detection.average_precision(truth, found)
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.select("mAP", "mAP_50").first() == (1.0, 1.0)
